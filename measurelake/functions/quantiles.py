@@ -29,10 +29,19 @@ def _cell(value: Column) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float]
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probabilities: Mapping[str, float],
+    few_groups: bool = False,
 ) -> DataFrame:
     """Linearly interpolated quantiles of ``value`` per ``keys``.
 
+    ``few_groups`` declares that the number of groups has a bound of its own
+    (months, named metrics; no keys at all is one group).  The wanted cells, at
+    most two per group and quantile, are then broadcast and the counts are not
+    shuffled a second time.  Otherwise adaptive execution decides by size.
+
     Returns ``keys`` plus one double column per entry of ``probabilities``.
     Nulls are ignored.  Groups without a value have no row, except that without
     keys there is always exactly one row.
@@ -65,12 +74,16 @@ def exact_quantiles(
     wanted = cells.where(
         reduce(or_, [holds(r, F.col("_start"), F.col("_cell_n")) for r in ranks])
     )
-    # Null-safe, because a null key is a group of its own.
+    # Null-safe, because a null key is a group of its own; and for the cell, so that
+    # no null check is pushed below the counts on one side only.  Both sides then
+    # are the same shuffle, and the input is read once.
     wanted = wanted.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_cell").alias("_k_cell"), "_start", "_total"
     )
+    if few_groups or not keys:
+        wanted = F.broadcast(wanted)
     same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    same.append(F.col("_cell") == F.col("_k_cell"))
+    same.append(F.col("_cell").eqNullSafe(F.col("_k_cell")))
     inside = Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )

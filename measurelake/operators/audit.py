@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -158,7 +158,7 @@ def _medians(df: DataFrame, named: dict[str, str]) -> DataFrame:
             )
         )
     )
-    found = exact_quantiles(long, ["metric"], "value", {"median": 0.5})
+    found = exact_quantiles(long, ["metric"], "value", {"median": 0.5}, few_groups=True)
     return found.agg(
         *[
             round_half_up(F.max(F.when(F.col("metric") == n, F.col("median"))), 2).alias(n)
@@ -313,30 +313,35 @@ def problem_examples(
 
     One scan: a row is repeated once per class it falls into, and the rank
     filter becomes a group limit, so each task hands on at most
-    ``example_limit`` rows per class before anything is shuffled.
+    ``example_limit`` rows per class before anything is shuffled.  The draw
+    depends on ``seed`` and the row only, so a retried task draws the same rows.
     """
     classes = problem_classes(config)
     shown = list(dict.fromkeys(c for _, cols in classes.values() for c in cols))
-    types = dict(raw.dtypes)
-
-    def entry(name: str, test: Column, cols: tuple) -> Column:
-        values = [
-            (F.col(c) if c in cols else F.lit(None).cast(types[c])).alias(c) for c in shown
-        ]
-        return F.when(test, F.struct(F.lit(name).alias("problem"), *values))
-
-    hits = F.array_compact(F.array(*[entry(n, t, c) for n, (t, c) in classes.items()]))
-    numeric = {"pm25_raw", "observation_percent"}
+    number, names = F.col("_class"), list(classes)
+    values = [
+        F.when(
+            number.isin([i for i, (_, cols) in enumerate(classes.values()) if c in cols]), F.col(c)
+        ).alias(c)
+        for c in shown
+    ]
+    # Doubles enter the draw as whole millionths, which print alike everywhere.
     key = [
-        F.col(c).cast("decimal(18,6)") if c in numeric else F.col(c) for c in shown
+        F.floor(F.col(c) * 1e6 + 0.5) if c in ("pm25_raw", "observation_percent") else F.col(c)
+        for c in shown
     ]
-    draw = Window.partitionBy("problem").orderBy("_draw", *shown)
+    tests = [test for test, _ in classes.values()]
+    # Partitioned by class number: sorting compares it first, and text would be slower.
+    draw = Window.partitionBy(number).orderBy("_draw", *shown)
     return (
-        raw.select(F.inline(hits))
+        raw.where(reduce(or_, tests))
+        .select(*shown, F.posexplode(F.array(*tests)).alias("_class", "_hit"))
+        .where("_hit")
+        .select(number, *values)
         .withColumn("_draw", stable_draw(F.lit(str(seed)), *key))
         .withColumn("_rank", F.row_number().over(draw))
         .where(F.col("_rank") <= config.example_limit)
-        .select("problem", *shown)
+        .select(F.array(*[F.lit(n) for n in names])[number].alias("problem"), *shown)
     )
 
 
@@ -345,14 +350,32 @@ def problem_examples(
 
 def data_quality_metrics(cleaned: DataFrame, sigmas: float = 3.0) -> DataFrame:
     """Nulls, fixed negatives, outliers beyond ``sigmas`` deviations, and the score."""
-    pm25 = F.col("pm25_cleaned")
-    # One row: the outlier limits.
-    spread = cleaned.agg(F.avg(pm25).alias("_mean"), F.stddev_samp(pm25).alias("_std"))
-    counted = cleaned.crossJoin(F.broadcast(spread)).agg(
-        F.count(F.lit(1)).alias("total_records"),
-        F.count_if(pm25.isNull()).alias("null_count"),
-        F.count_if(F.col("pm25_original") < 0).alias("negative_count"),
-        F.count_if(F.abs(pm25 - F.col("_mean")) > F.lit(sigmas) * F.col("_std")).alias("outlier_count"),
+    # Value counts instead of rows from here on: the table is read once, and mean,
+    # deviation and outliers all come from the same shuffle.
+    counts = cleaned.groupBy(
+        F.col("pm25_cleaned").alias("_v"),
+        F.coalesce(F.col("pm25_original") < 0, F.lit(False)).alias("_negative"),
+    ).agg(F.count(F.lit(1)).alias("_n"))
+    v, n = F.col("_v"), F.col("_n")
+    # One row each: the mean, then the deviation around it.
+    mean = counts.agg(
+        divide(F.sum(v * n), F.sum(F.when(v.isNotNull(), n))).alias("_mean"),
+        F.sum(F.when(v.isNotNull(), n)).alias("_known"),
+    )
+    off = v - F.col("_mean")
+    spread = counts.crossJoin(F.broadcast(mean)).agg(
+        F.max("_mean").alias("_mean"),
+        F.sqrt(divide(F.sum(off * off * n), F.max("_known") - 1)).alias("_std"),
+    )
+
+    def rows(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
+
+    counted = counts.crossJoin(F.broadcast(spread)).agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("total_records"),
+        rows(v.isNull()).alias("null_count"),
+        rows(F.col("_negative")).alias("negative_count"),
+        rows(F.abs(off) > F.lit(float(sigmas)) * F.col("_std")).alias("outlier_count"),
     )
     total = F.col("total_records")
 

@@ -33,22 +33,24 @@ def with_day_offset(history: DataFrame, min_days: int = MIN_DAYS) -> DataFrame:
     ``t`` counts calendar days since a state's first row, ``rn`` its rows, and
     ``n`` is the number of rows.
     """
-    return (
-        history.select("state_name", "date_local", "pm25")
-        .withColumn("n", F.count(F.lit(1)).over(_state()))
-        .where(F.col("n") >= min_days)
-        .withColumn("t", F.datediff("date_local", F.min("date_local").over(_state())))
-        .withColumn("rn", F.row_number().over(_state().orderBy("date_local")))
-    )
+    return history.select(
+        "state_name",
+        "date_local",
+        "pm25",
+        F.count(F.lit(1)).over(_state()).alias("n"),
+        F.datediff("date_local", F.min("date_local").over(_state())).alias("t"),
+        F.row_number().over(_state().orderBy("date_local")).alias("rn"),
+    ).where(F.col("n") >= min_days)
 
 
 def _future(models: DataFrame, horizon: int) -> DataFrame:
     """One row per model row and future day: ``step``, ``date_local`` and ``t``."""
-    return (
-        models.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
-        .withColumn("date_local", F.date_add("last_date", F.col("step")))
-        .withColumn("t", F.col("last_t") + F.col("step"))
-        .withColumn("step", F.col("step").cast("bigint"))
+    steps = models.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("_step"))
+    return steps.select(
+        "*",
+        F.col("_step").cast("bigint").alias("step"),
+        F.date_add("last_date", F.col("_step")).alias("date_local"),
+        (F.col("last_t") + F.col("_step")).alias("t"),
     )
 
 
@@ -261,9 +263,7 @@ def fit_models(
                 "ma_level"
             ),
             "seasonal_slope",
-            F.transform_values(
-                "_means", lambda _, m: m["_y"] - F.col("seasonal_slope") * m["_x"]
-            ).alias("weekday_intercept"),
+            F.col("_means").alias("weekday_means"),
             # For a weekday the history does not contain.
             ((F.col("_ty") - F.col("seasonal_slope") * F.col("_tx")) / n).alias("common_intercept"),
             F.sqrt(F.when(freedom > 0, left_over / freedom)).alias("sigma"),
@@ -273,8 +273,9 @@ def fit_models(
 
 
 def _seasonal(day: Column) -> Column:
-    own = F.col("weekday_intercept")[weekday_number(day)]
-    return F.coalesce(own, F.col("common_intercept")) + F.col("seasonal_slope") * F.col("t")
+    own = F.col("weekday_means")[weekday_number(day)]
+    slope = F.col("seasonal_slope")
+    return F.coalesce(own["_y"] - slope * own["_x"], F.col("common_intercept")) + slope * F.col("t")
 
 
 def seasonal_forecast(

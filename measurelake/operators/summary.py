@@ -7,6 +7,8 @@ rows, so a state holding a third of all rows costs no more than the others.
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,11 +84,15 @@ def kpi_metrics(cleaned: DataFrame, aqi_max: int = 500) -> DataFrame:
 
 
 def monthly_trends(
-    cleaned: DataFrame, selection: FilterState = FilterState(), by_state: bool | None = None
+    cleaned: DataFrame,
+    selection: FilterState = FilterState(),
+    by_state: bool | None = None,
+    quartiles: bool = True,
 ) -> DataFrame:
     """Monthly means, exact quartiles, spread and unhealthy readings.
 
-    Grouped by state too in comparison mode (or with ``by_state``).
+    Grouped by state too in comparison mode (or with ``by_state``).  Quartiles
+    need a second scan; leave them out where only the means are used.
     """
     by_state = selection.comparison_mode if by_state is None else by_state
     keys = ["month", "state_name"] if by_state else ["month"]
@@ -98,23 +104,28 @@ def monthly_trends(
         _rows().alias("measurements"),
         round_half_up(F.stddev_samp(_pm25()), 2).alias("std_pm25"),
     )
-    quartiles = exact_quantiles(
-        rows, keys, "pm25_cleaned", {"q1_pm25": 0.25, "median_pm25": 0.5, "q3_pm25": 0.75}
+    order = [F.asc_nulls_last(k) for k in keys]
+    if not quartiles:
+        return base.orderBy(*order)
+    quarters = exact_quantiles(
+        rows,
+        keys,
+        "pm25_cleaned",
+        {"q1_pm25": 0.25, "median_pm25": 0.5, "q3_pm25": 0.75},
+        few_groups=not by_state,
     )
-    quartiles = quartiles.select(
+    quarters = quarters.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         *[round_half_up(F.col(q), 2).alias(q) for q in ("q1_pm25", "median_pm25", "q3_pm25")],
     )
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
     return (
-        base.join(quartiles, same, "left")
+        base.join(quarters, same, "left")
         .select(
             *keys, "avg_pm25", "q1_pm25", "median_pm25", "q3_pm25", "avg_aqi",
             "unhealthy_days", "measurements", "std_pm25",
         )
-        .orderBy(*[F.asc_nulls_last(k) for k in keys])
+        .orderBy(*order)
     )
 
 
@@ -224,32 +235,29 @@ def current_aqi(monthly: DataFrame) -> DataFrame:
     return latest.withColumn("category", aqi_band(F.col("current_aqi")))
 
 
-def describe_columns(df: DataFrame, columns: list[str]) -> DataFrame:
-    """count, mean, std, min, quartiles and max of numeric columns, one row each."""
-    long = df.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
-                    for c in columns
-                ]
-            )
-        )
-    )
-    value = F.col("value")
-    base = long.groupBy("metric").agg(
-        F.count(value).alias("count"),
-        round_half_up(F.avg(value), 6).alias("mean"),
-        round_half_up(F.stddev_samp(value), 6).alias("std"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-    )
-    quartiles = exact_quantiles(long, ["metric"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    quartiles = quartiles.select("metric", *[round_half_up(F.col(q), 6).alias(q)
-                                             for q in ("q25", "q50", "q75")])
-    return base.join(quartiles, "metric", "left").select(
-        "metric", "count", "mean", "std", "min", "q25", "q50", "q75", "max"
-    )
+def describe_columns(series: DataFrame, columns: list[str]) -> DataFrame:
+    """count, mean, std, min, quartiles and max of numeric columns, one row each.
+
+    ``series`` is a short result such as :func:`monthly_trends`, bounded by the
+    calendar; its values fit one aggregate.  For tables of any size see
+    :func:`measurelake.functions.quantiles.exact_quantiles`.
+    """
+
+    def figures(c: str) -> Column:
+        value = F.col(c).cast("double")
+        quarters = F.percentile(value, [0.25, 0.5, 0.75])
+        return F.struct(
+            F.lit(c).alias("metric"),
+            F.count(value).alias("count"),
+            round_half_up(F.avg(value), 6).alias("mean"),
+            round_half_up(F.stddev_samp(value), 6).alias("std"),
+            F.min(value).alias("min"),
+            *[round_half_up(quarters[i], 6).alias(n) for i, n in enumerate(("q25", "q50", "q75"))],
+            F.max(value).alias("max"),
+        ).alias(c)
+
+    row = series.agg(*[figures(c) for c in columns])
+    return row.select(F.inline(F.array(*[F.col(c) for c in columns])))
 
 
 def trend_summary(monthly: DataFrame) -> DataFrame:

@@ -293,7 +293,8 @@ def pm25_levels(spark, sf):
 
 @_query
 def current_aqi(spark, sf):
-    return summary.current_aqi(summary.monthly_trends(_cleaned(spark, sf), WHOLE, by_state=True))
+    monthly = summary.monthly_trends(_cleaned(spark, sf), WHOLE, by_state=True, quartiles=False)
+    return summary.current_aqi(monthly)
 
 
 @_query
@@ -436,7 +437,8 @@ def forecast_history(spark, sf):
 
 @_query
 def anomalies_zscore(spark, sf):
-    monthly = summary.monthly_trends(_cleaned(spark, sf), WHOLE).select("month", "avg_pm25")
+    monthly = summary.monthly_trends(_cleaned(spark, sf), WHOLE, quartiles=False)
+    monthly = monthly.select("month", "avg_pm25")
     return _rounded(anomalies.detect_anomalies(monthly, "avg_pm25", "zscore", 2.5))
 
 

@@ -221,7 +221,7 @@ def _problem_examples() -> str:
         )
         parts.append(f"SELECT '{name}' AS problem, {cols} FROM measurements WHERE {test}")
     key = ", ".join(
-        f"COALESCE(CAST({f'CAST({c} AS DECIMAL(18,6))' if t == 'DOUBLE' else c} AS VARCHAR), '~')"
+        f"COALESCE(CAST({f'CAST(FLOOR({c} * 1e6 + 0.5) AS BIGINT)' if t == 'DOUBLE' else c} AS VARCHAR), '~')"
         for c, t in _EXAMPLE_COLUMNS.items()
     )
     return _raw(f"""SELECT * FROM ({' UNION ALL '.join(parts)})

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Call-site capture costs more than planning for expression-rich queries.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
