@@ -50,7 +50,7 @@ def search(df: DataFrame, term: str, literal: bool = False) -> DataFrame:
     ``term`` is a (Java) regular expression unless ``literal``; a null cell
     never matches.
     """
-    pattern = "(?i)" + (re.escape(term) if literal else term)
+    pattern = "(?iu)" + (re.escape(term) if literal else term)
     hits = [F.coalesce(F.col(c).cast("string").rlike(pattern), F.lit(False)) for c in df.columns]
     return df.where(reduce(or_, hits))
 
