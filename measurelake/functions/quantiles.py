@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 # doublings, so a group has at most 2 * 1,024 * 1,024 cells; sensor values below
 # 1,000 fill about 10,000.
 _CELLS_PER_DOUBLING = 1024.0
+_INFINITE, _NAN = 2_000_000, 3_000_000  # beyond every finite cell; NaN sorts last
 
 
 def _cell(value: Column) -> Column:
     """Histogram cell, non-decreasing in ``value``."""
     size = F.floor(F.log2(F.abs(value) + 1.0) * F.lit(_CELLS_PER_DOUBLING))
-    return (F.signum(value) * size).cast("bigint")
+    cell = F.signum(value) * F.least(size, F.lit(_INFINITE))
+    return F.when(F.isnan(value), F.lit(_NAN)).otherwise(cell).cast("bigint")
 
 
 def exact_quantiles(
@@ -104,12 +106,10 @@ def exact_quantiles(
             F.max(pos - F.floor(pos)).alias(f"_f_{name}"),
         ]
     picked = ordered.groupBy(*keys).agg(*picks)
-    return picked.select(
-        *keys,
-        *[
-            (
-                F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")
-            ).alias(n)
-            for n in probabilities
-        ],
-    )
+
+    def between(name: str) -> Column:
+        low, high, part = (F.col(f"_{c}_{name}") for c in ("lo", "hi", "f"))
+        # Two equal infinities have no difference to interpolate.
+        return F.when(low == high, low).otherwise(low + (high - low) * part)
+
+    return picked.select(*keys, *[between(n).alias(n) for n in probabilities])

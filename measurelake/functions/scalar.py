@@ -46,9 +46,6 @@ PM25_LEVELS = [
 # Weekday names, Sunday = 0.
 WEEKDAYS = ["Sonntag", "Montag", "Dienstag", "Mittwoch", "Donnerstag", "Freitag", "Samstag"]
 
-# Beyond this magnitude a double has no decimals left to round.
-_ROUNDABLE = 1e13
-
 
 def round_half_up(value: Column, digits: int = 0) -> Column:
     """Round a double half away from zero on its binary value.
@@ -58,8 +55,9 @@ def round_half_up(value: Column, digits: int = 0) -> Column:
     is normalised, null stays null, NaN and infinities pass through.
     """
     scale = float(10**digits)
+    finest = 2.0**52 / scale  # from here on a double has no further digits to round
     rounded = F.signum(value) * F.floor(F.abs(value) * scale + 0.5) / scale + F.lit(0.0)
-    return F.when(F.abs(value) < _ROUNDABLE, rounded).otherwise(value)
+    return F.when(F.abs(value) < finest, rounded).otherwise(value)
 
 
 def divide(numerator: Column, denominator: Column) -> Column:
@@ -139,8 +137,10 @@ def stable_draw(*key: Column) -> Column:
 
 def stable_normal(*key: Column) -> Column:
     """Standard-normal number that depends only on ``key`` (Box-Muller on two hashes)."""
-    half = float(2**63)
-    one = (F.xxhash64(F.lit("u"), *key) / F.lit(half) + 1.0) / 2.0
-    two = (F.xxhash64(F.lit("v"), *key) / F.lit(half) + 1.0) / 2.0
-    radius = F.sqrt(F.lit(-2.0) * F.log(F.greatest(one, F.lit(1e-300))))
-    return radius * F.cos(F.lit(6.283185307179586) * two)
+
+    def uniform(salt: str) -> Column:
+        digits = F.conv(F.substring(stable_draw(F.lit(salt), *key), 1, 13), 16, 10)
+        return (digits.cast("double") + 1.0) / float(2**52)
+
+    radius = F.sqrt(F.lit(-2.0) * F.log(uniform("u")))
+    return radius * F.cos(F.lit(6.283185307179586) * uniform("v"))

@@ -1,7 +1,9 @@
 """Anomaly flags and trend direction for any table or series.
 
 Flags join the limits of each group back to its rows.  A window would be
-shorter to write, but it sorts every group whole into one task.
+shorter to write, but it sorts every group whole into one task.  The limits are
+settled first: their true size decides the join, so the large side is shuffled
+only if they are too many to broadcast.
 """
 
 from __future__ import annotations
@@ -15,12 +17,13 @@ from pyspark.sql import functions as F
 
 from measurelake.functions.quantiles import exact_quantiles
 from measurelake.functions.scalar import divide
+from measurelake.sources.writers import settle
 
 
 def _with_limits(df: DataFrame, limits: DataFrame, keys: Sequence[str]) -> DataFrame:
     if not keys:  # a global aggregate, one row
         return df.crossJoin(F.broadcast(limits))
-    limits = limits.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    limits = settle(limits.withColumnsRenamed({k: f"_k_{k}" for k in keys}), "limits")
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
     return df.join(limits, same, "left").drop(*[f"_k_{k}" for k in keys])
 

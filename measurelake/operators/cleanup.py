@@ -98,6 +98,15 @@ def clean(
     )
 
 
+def originals(cleaned: DataFrame) -> DataFrame:
+    """The raw table a cleaned table with tracking columns was made from."""
+    return cleaned.select(
+        *_CARRIED,
+        F.col("pm25_original").alias("pm25_raw"),
+        F.col("aqi_original").alias("aqi_raw"),
+    )
+
+
 def share_by(df: DataFrame, label: str, digits: int = 2) -> DataFrame:
     """Rows and percent of all rows per value of a label column.
 

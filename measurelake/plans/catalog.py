@@ -12,7 +12,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from measurelake.functions.scalar import aqi_from_pm25, round_half_up
+from measurelake.functions import scalar
 from measurelake.model import CleanupConfig, ColumnMap, FilterState
 from measurelake.operators import anomalies, audit, cleanup, filters, forecast, series, summary
 from measurelake.sources import readers, writers
@@ -25,6 +25,7 @@ _QUERIES: dict[str, Query] = {}
 # The selections the queries run with; the test tables span 1995 to 2001.
 SELECTION = FilterState(("ASIA", "EUROPE"), date(1996, 1, 1), date(1998, 12, 31))
 WHOLE = FilterState.everything()
+PLAIN = ColumnMap(**{name: name for name in ColumnMap().pairs()})
 NARROW_BAND = 0.05  # quarters of the test tables differ by less than 1 µg/m³
 
 
@@ -53,7 +54,7 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Double columns rounded, so that results compare across engines."""
     return df.select(
         *[
-            round_half_up(F.col(c), digits).alias(c) if t == "double" else F.col(c)
+            scalar.round_half_up(F.col(c), digits).alias(c) if t == "double" else F.col(c)
             for c, t in df.dtypes
         ]
     )
@@ -85,6 +86,12 @@ def sink_csv_roundtrip(spark, sf):
     return readers.read_csv(spark, paths["csv"])
 
 
+@_query
+def sink_explorer_csv(spark, sf):
+    rows = filters.explorer_rows(_cleaned(spark, sf), SELECTION, limit=1000)
+    return readers.read_csv(spark, writers.write_csv(rows, writers.working_path(spark, "rows")), PLAIN)
+
+
 @_query
 def schema_profile(spark, sf):
     names = ["state_name", "county_name", "date_local", "pm25_raw", "aqi_raw", "observation_percent"]
@@ -144,9 +151,9 @@ def cleaned_without_fixes(spark, sf):
 
 
 @_query
-def aqi_from_pm25_scale(spark, sf):
+def aqi_from_pm25(spark, sf):
     rows = measurements(spark, sf).groupBy("pm25_raw").agg(F.count(F.lit(1)).alias("n"))
-    return _rounded(rows.withColumn("aqi", aqi_from_pm25(F.col("pm25_raw"))))
+    return _rounded(rows.withColumn("aqi", scalar.aqi_from_pm25(F.col("pm25_raw"))))
 
 
 @_query
@@ -382,6 +389,12 @@ def alarm_days_all(spark, sf):
     return series.alarm_days(_cleaned(spark, sf), SELECTION.states, limit=None)
 
 
+@_query
+def alarm_days_critical(spark, sf):
+    alarms = series.alarm_days(_cleaned(spark, sf), limit=None)
+    return filters.with_label(alarms, "alarm_level", ["KRITISCH"])
+
+
 @_query
 def alarm_summary(spark, sf):
     return series.alarm_summary(series.alarm_days(_cleaned(spark, sf)))
@@ -417,6 +430,12 @@ def zscore_anomalies(spark, sf):
     return series.zscore_anomalies(_cleaned(spark, sf))
 
 
+@_query
+def zscore_anomalies_strong(spark, sf):
+    scores = series.zscore_anomalies(_cleaned(spark, sf), limit=None)
+    return filters.with_label(scores, "anomaly_level", ["Extreme Anomalie", "Starke Anomalie"])
+
+
 @_query
 def zscore_anomalies_events(spark, sf):
     return series.zscore_anomalies(event_readings(spark, sf), limit=None)

@@ -441,6 +441,11 @@ _SEASON_AHEAD = f"""SELECT state_name, step, date_local, {_r('forecast', 6)} AS
   {_r('forecast + CAST(1.96 AS DOUBLE) * sigma', 6)} AS upper FROM ahead"""
 
 
+def _draw(salt: str) -> str:
+    key = f"CONCAT_WS('|', '{salt}', '7', state_name, CAST(date_local AS VARCHAR))"
+    return f"((CAST(CAST('0x' || SUBSTR(MD5({key}), 1, 13) AS BIGINT) AS DOUBLE) + 1) / 4503599627370496)"
+
+
 def _stats_of(model: str, slope: str, level: str) -> str:
     return f"""SELECT state_name, '{model}' AS model, {_r(f'AVG({model})', 6)} AS mean_forecast,
   {_r(f'STDDEV_POP({model})', 6)} AS variability, {slope} AS slope_per_day, {level} AS constant_value
@@ -490,6 +495,8 @@ def all_sql() -> dict[str, str]:
         "src_csv_roundtrip": _raw("SELECT * FROM measurements"),
         "sink_parquet_roundtrip": _on(f"SELECT {_ALL} FROM cleaned"),
         "sink_csv_roundtrip": _on(f"SELECT {_ALL} FROM cleaned"),
+        "sink_explorer_csv": _on(
+            f"SELECT {_ALL} FROM cleaned WHERE {_SELECTED} ORDER BY {_EXPLORER_ORDER} LIMIT 1000"),
         "schema_profile": _profile(["state_name", "county_name", "date_local", "pm25_raw",
                                     "aqi_raw", "observation_percent"]),
         "export_projection": _on(
@@ -513,7 +520,7 @@ def all_sql() -> dict[str, str]:
             f"SELECT {_ALL} FROM cleaned",
             base=_cleaned("pm25_raw",
                           f"GREATEST(COALESCE(CAST(aqi_raw AS DOUBLE), {_aqi('pm25_raw')}), 0)")),
-        "aqi_from_pm25_scale": _raw(
+        "aqi_from_pm25": _raw(
             f"SELECT {_r('pm25_raw', 6)} AS pm25_raw, COUNT(*) AS n, {_r(_aqi('pm25_raw'), 6)} AS aqi "
             "FROM measurements GROUP BY measurements.pm25_raw"),
         "cleanup_summary": _on(_share("cleanup_action", "cleaned")),
@@ -666,6 +673,8 @@ ORDER BY aqi_cleaned DESC, county_name, date_local, pm25_cleaned LIMIT 20"""),
                                       _DAILY_SKIP, base=EVENTS),
         "alarm_days": _on("SELECT * FROM alarms", *_alarms("TRUE", "LIMIT 100")),
         "alarm_days_all": _on("SELECT * FROM alarms", *_alarms("state_name IN ('ASIA', 'EUROPE')", "")),
+        "alarm_days_critical": _on("SELECT * FROM alarms WHERE alarm_level = 'KRITISCH'",
+                                   *_alarms("TRUE", "")),
         "alarm_summary": _on(
             f"""SELECT {_count("alarm_level = 'KRITISCH'")} AS kritisch,
   {_count("alarm_level = 'WARNUNG'")} AS warnung, MAX(prozent_change) AS max_change,
@@ -686,6 +695,9 @@ ORDER BY aqi_cleaned DESC, county_name, date_local, pm25_cleaned LIMIT 20"""),
             "SELECT * FROM streaks WHERE state_rank = 1 ORDER BY tage DESC, state_name, streak_start LIMIT 10",
             _DAILY_SKIP, _STREAKS),
         "zscore_anomalies": _on("SELECT * FROM scores", *_scores("LIMIT 100")),
+        "zscore_anomalies_strong": _on(
+            "SELECT * FROM scores WHERE anomaly_level IN ('Extreme Anomalie', 'Starke Anomalie')",
+            *_scores("")),
         "zscore_anomalies_events": _on("SELECT * FROM scores", *_scores(""), base=EVENTS),
         "trend_centered_ma": _on(
             f"""SELECT *, {_r('CASE WHEN COUNT(*) OVER w = 3 THEN AVG(avg_pm25) OVER w END', 6)} AS ma3
@@ -733,6 +745,11 @@ FROM (SELECT state_name, COUNT(*) AS n, REGR_SLOPE(pm25, i) / AVG(pm25) * 100 AS
         "ma_forecast": _forecast(
             f"SELECT state_name, step, last_date + CAST(step AS INTEGER) AS date_local, "
             f"{_r('GREATEST(last_ma, 0)', 6)} AS forecast FROM ma_fit CROSS JOIN steps", _MA, _STEPS),
+        "ma_forecast_noisy": _forecast(
+            f"""SELECT state_name, step, date_local,
+  {_r(f"GREATEST(last_ma + SQRT(-2 * LN({_draw('u')})) * COS(2 * PI() * {_draw('v')}) * CAST(0.3 AS DOUBLE) * volatility, 0)", 6)} AS forecast
+FROM (SELECT *, last_date + CAST(step AS INTEGER) AS date_local FROM ma_fit CROSS JOIN steps)""",
+            _MA, _STEPS),
         "seasonal_forecast": _forecast(_SEASON_AHEAD, _STEPS, _SEASON),
         "seasonal_forecast_events": _forecast(_SEASON_AHEAD, _STEPS, _SEASON, base=EVENTS),
         "seasonal_summary": _forecast(

@@ -44,10 +44,10 @@ def run_cleanup(
 ) -> CleanupRun:
     """Clean the table at ``source`` and write ``<target>_cleaned.*`` and a report.
 
-    The source is scanned once for the export.  A Parquet export with tracking
-    columns holds originals and cleaned values, so everything after it
-    (validation, summaries, report) reads that file instead of the source and
-    nothing is cached: a lost executor costs re-reading its splits only.
+    A Parquet export with tracking columns holds originals and cleaned values,
+    so everything after it (validation, summaries, examples, report) reads that
+    file: the source is scanned once.  Nothing is cached, so a lost executor
+    costs re-reading its splits only.
     """
     columns = columns or ColumnMap()
     raw = readers.read_first_available(spark, [source], columns)
@@ -57,6 +57,7 @@ def run_cleanup(
     checked = cleaned
     if "parquet" in paths and config.include_cleanup_flags:
         checked = readers.read_parquet(spark, paths["parquet"], columns)
+        raw = cleanup.originals(checked)
 
     run = CleanupRun(
         raw=raw,

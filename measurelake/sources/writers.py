@@ -99,6 +99,17 @@ def write_report(report: DataFrame, path: str, mode: str = "error") -> str:
     return path
 
 
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    Its size is then known from its files: a join broadcasts it while it is
+    below Spark's threshold, and shuffles otherwise.  A lost executor costs
+    re-reading it, not recomputing it.
+    """
+    path = write_parquet(df, working_path(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def working_path(spark: SparkSession, name: str) -> str:
     """A fresh path for intermediate tables in the folder shared by the cluster.
 

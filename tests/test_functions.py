@@ -96,6 +96,13 @@ def test_quantiles_equal_numpy(spark, few_groups):
             assert r[name] == pytest.approx(np.quantile(groups[r.k], p), rel=1e-12, abs=1e-12)
 
 
+def test_quantiles_order_special_values_last(spark):
+    values = [float("-inf"), 1.0, 2.0, float("inf"), float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    row = exact_quantiles(df, [], "v", {"lo": 0.0, "m": 0.5, "q3": 0.75}).collect()[0]
+    assert (row.lo, row.m, row.q3) == (float("-inf"), 2.0, float("inf"))
+
+
 def test_quantiles_without_keys_and_without_values(spark):
     df = spark.createDataFrame([(float(i),) for i in range(7)], "v double")
     assert exact_quantiles(df, [], "v", {"m": 0.5}).collect()[0].m == 3.0

@@ -13,7 +13,7 @@ from measurelake.operators import audit, cleanup, filters, series, summary
 from measurelake.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-WRITING = {"src_csv_roundtrip", "sink_parquet_roundtrip", "sink_csv_roundtrip"}
+WRITING = {"src_csv_roundtrip", "sink_parquet_roundtrip", "sink_csv_roundtrip", "sink_explorer_csv"}
 
 
 def plan(df, run=False):
