@@ -25,7 +25,7 @@ HEADLINE = [
     "quality_audit",
     "before_after",
     "problem_counts",
-    "problem_examples",
+    "problem_example_counts",
     "kpi_metrics",
     "monthly_trends",
     "state_comparison",
@@ -83,8 +83,9 @@ def main() -> None:
         import duckdb
 
         con = duckdb.connect(config={"threads": int(cpus) if cpus.isdigit() else 8})
-        for file in Path(sf_dir).glob("*.parquet"):
-            con.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM '{file}'")
+        for path in Path(sf_dir).glob("*.parquet"):
+            files = f"{path}/*.parquet" if path.is_dir() else path
+            con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{files}'")
         sql = oracle.all_sql()
         line["duckdb"] = {
             name: timed(lambda: con.execute(sql[name]).to_arrow_table(), runs) for name in HEADLINE

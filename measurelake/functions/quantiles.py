@@ -36,6 +36,7 @@ def exact_quantiles(
     value: str,
     probabilities: Mapping[str, float],
     few_groups: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles of ``value`` per ``keys``.
 
@@ -44,16 +45,19 @@ def exact_quantiles(
     most two per group and quantile, are then broadcast and the counts are not
     shuffled a second time.  Otherwise adaptive execution decides by size.
 
+    ``weight`` names a column that says how often a row counts.
+
     Returns ``keys`` plus one double column per entry of ``probabilities``.
     Nulls are ignored.  Groups without a value have no row, except that without
     keys there is always exactly one row.
     """
     keys = list(keys)
+    times = F.col(weight) if weight else F.lit(1)
     counts = (
-        df.select(*keys, F.col(value).cast("double").alias("_v"))
+        df.select(*keys, F.col(value).cast("double").alias("_v"), times.alias("_w"))
         .where(F.col("_v").isNotNull())
         .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.sum("_w").alias("_n"))
         .withColumn("_cell", _cell(F.col("_v")))
     )
 

@@ -126,21 +126,36 @@ def season(day: Column) -> Column:
     )
 
 
-def stable_draw(*key: Column) -> Column:
-    """Text that orders rows pseudo-randomly but depends only on ``key``.
+def number_draw(*key: Column) -> Column:
+    """Pseudo-random number that depends only on ``key``.
 
     Unlike ``rand(seed)`` it does not depend on how rows are spread over
-    partitions, so a retried task draws the same sample.
+    partitions, so a retried task draws the same.
     """
-    return F.md5(F.concat_ws("|", *[F.coalesce(k.cast("string"), F.lit("~")) for k in key]))
+    return F.shiftrightunsigned(F.xxhash64(*key), 1)
+
+
+def number_range(draw: Column) -> Column:
+    """Which of 256 equal ranges a number was drawn from."""
+    return F.shiftright(draw, 55)
+
+
+def text_draw(*key: Column) -> Column:
+    """The same as an MD5 of the text of ``key``: slower, but equal in any engine."""
+    text = F.concat_ws("|", *[F.coalesce(k.cast("string"), F.lit("~")) for k in key])
+    return F.md5(text)
+
+
+def text_range(draw: Column) -> Column:
+    return F.substring(draw, 1, 2)
 
 
 def stable_normal(*key: Column) -> Column:
-    """Standard-normal number that depends only on ``key`` (Box-Muller on two hashes)."""
+    """Standard-normal number that depends only on ``key`` (Box-Muller on two draws)."""
 
-    def uniform(salt: str) -> Column:
-        digits = F.conv(F.substring(stable_draw(F.lit(salt), *key), 1, 13), 16, 10)
-        return (digits.cast("double") + 1.0) / float(2**52)
+    def uniform(salt: str) -> Column:  # 13 hexadecimal digits, 52 bits
+        digits = F.substring(text_draw(F.lit(salt), *key), 1, 13)
+        return (F.conv(digits, 16, 10).cast("double") + 1.0) / float(2**52)
 
     radius = F.sqrt(F.lit(-2.0) * F.log(uniform("u")))
     return radius * F.cos(F.lit(6.283185307179586) * uniform("v"))

@@ -13,9 +13,12 @@ from measurelake.functions.quantiles import exact_quantiles
 from measurelake.functions.scalar import (
     aqi_from_pm25,
     divide,
+    number_draw,
+    number_range,
     percent_of,
     round_half_up,
-    stable_draw,
+    text_draw,
+    text_range,
 )
 from measurelake.model import CleanupConfig
 from measurelake.operators.cleanup import quality_flag
@@ -147,8 +150,15 @@ def _audit(
 
 
 def _medians(df: DataFrame, named: dict[str, str]) -> DataFrame:
-    """One row with the median of each column, exact, in one scan for all of them."""
-    long = df.select(
+    """One row with the median of each column, exact, in one scan for all of them.
+
+    Rows are counted per combination of the columns before each combination is
+    split into its values.  The columns depend on one another (an index follows
+    from its concentration), so there are far fewer combinations than rows.
+    """
+    columns = list(dict.fromkeys(named.values()))
+    combinations = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("times"))
+    long = combinations.select(
         F.inline(
             F.array(
                 *[
@@ -156,9 +166,12 @@ def _medians(df: DataFrame, named: dict[str, str]) -> DataFrame:
                     for n, c in named.items()
                 ]
             )
-        )
+        ),
+        "times",
+    )
+    found = exact_quantiles(
+        long, ["metric"], "value", {"median": 0.5}, few_groups=True, weight="times"
     )
-    found = exact_quantiles(long, ["metric"], "value", {"median": 0.5}, few_groups=True)
     return found.agg(
         *[
             round_half_up(F.max(F.when(F.col("metric") == n, F.col("median"))), 2).alias(n)
@@ -307,18 +320,23 @@ def problem_counts(raw: DataFrame, config: CleanupConfig = CleanupConfig()) -> D
 
 
 def problem_examples(
-    raw: DataFrame, config: CleanupConfig = CleanupConfig(), seed: int = 0
+    raw: DataFrame,
+    config: CleanupConfig = CleanupConfig(),
+    seed: int = 0,
+    portable: bool = False,
 ) -> DataFrame:
     """Up to ``example_limit`` pseudo-random rows per problem class.
 
-    One scan: a row is repeated once per class it falls into, and the rank
-    filter becomes a group limit, so each task hands on at most
-    ``example_limit`` rows per class before anything is shuffled.  The draw
-    depends on ``seed`` and the row only, so a retried task draws the same rows.
+    A row is repeated once per class it falls into and gets a draw, which depends
+    on ``seed`` and the row only, so a retried task draws the same rows.  The
+    rows with the lowest draws are the sample.  A first pass counts draws in 256
+    ranges and yields the range each class needs to reach; only the rows up to
+    there are ranked, and none of a large class has to be sorted whole.
+    ``portable`` draws by MD5, which other engines can repeat.
     """
     classes = problem_classes(config)
     shown = list(dict.fromkeys(c for _, cols in classes.values() for c in cols))
-    number, names = F.col("_class"), list(classes)
+    number = F.col("_class")
     values = [
         F.when(
             number.isin([i for i, (_, cols) in enumerate(classes.values()) if c in cols]), F.col(c)
@@ -331,17 +349,34 @@ def problem_examples(
         for c in shown
     ]
     tests = [test for test, _ in classes.values()]
-    # Partitioned by class number: sorting compares it first, and text would be slower.
-    draw = Window.partitionBy(number).orderBy("_draw", *shown)
-    return (
+    draw, part = (text_draw, text_range) if portable else (number_draw, number_range)
+    drawn = (
         raw.where(reduce(or_, tests))
         .select(*shown, F.posexplode(F.array(*tests)).alias("_class", "_hit"))
         .where("_hit")
         .select(number, *values)
-        .withColumn("_draw", stable_draw(F.lit(str(seed)), *key))
-        .withColumn("_rank", F.row_number().over(draw))
+        .withColumn("_draw", draw(F.lit(str(seed)), *key))
+        .withColumn("_range", part(F.col("_draw")))
+    )
+    upto = Window.partitionBy("_class").orderBy("_range")
+    # At most 256 rows per class, and one row per class to broadcast.
+    reach = (
+        drawn.groupBy("_class", "_range")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_n", F.sum("_n").over(upto))
+        .groupBy(number.alias("_k_class"))
+        .agg(F.min(F.when(F.col("_n") >= config.example_limit, F.col("_range"))).alias("_last"))
+    )
+    near = drawn.join(
+        F.broadcast(reach),
+        (number == F.col("_k_class"))
+        & (F.col("_last").isNull() | (F.col("_range") <= F.col("_last"))),
+    )
+    lowest = Window.partitionBy("_class").orderBy("_draw", *shown)
+    return (
+        near.withColumn("_rank", F.row_number().over(lowest))
         .where(F.col("_rank") <= config.example_limit)
-        .select(F.array(*[F.lit(n) for n in names])[number].alias("problem"), *shown)
+        .select(F.array(*[F.lit(n) for n in classes])[number].alias("problem"), *shown)
     )
 
 

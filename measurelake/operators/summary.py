@@ -19,7 +19,6 @@ from measurelake.functions.scalar import (
     divide,
     percent_of,
     pm25_level,
-    quarter_label,
     round_half_up,
     season,
     weekday_name,
@@ -52,10 +51,27 @@ def _rows() -> Column:
     return F.count(F.lit(1))
 
 
+def _sort_few(df: DataFrame, *order: Column | str) -> DataFrame:
+    """Order a result with a fixed number of rows (weekdays, seasons, months) in one task.
+
+    ``orderBy`` would first sample it to partition it by range.
+    """
+    return df.coalesce(1).sortWithinPartitions(*order)
+
+
 def _unhealthy() -> Column:
     return F.count_if(_aqi() > 100)
 
 
+def _means() -> list[Column]:
+    return [
+        _rows().alias("measurements"),
+        _mean(_pm25(), 2).alias("avg_pm25"),
+        _mean(_aqi(), 1).alias("avg_aqi"),
+        _unhealthy().alias("unhealthy_days"),
+    ]
+
+
 # -- overview ----------------------------------------------------------------
 
 
@@ -95,8 +111,12 @@ def monthly_trends(
     need a second scan; leave them out where only the means are used.
     """
     by_state = selection.comparison_mode if by_state is None else by_state
-    keys = ["month", "state_name"] if by_state else ["month"]
-    rows = apply_filter(cleaned, selection).withColumn("month", year_month(F.col("date_local")))
+    # Grouped by the first of the month, a number, and labelled when few rows are left.
+    first = F.trunc("date_local", "month").alias("month")
+    states = ["state_name"] if by_state else []
+    keys = ["month", *states]
+    rows = apply_filter(cleaned, selection).select(first, *states, "pm25_cleaned", "aqi_cleaned")
+    label = year_month(F.col("month")).alias("month")
     base = rows.groupBy(*keys).agg(
         _mean(_pm25(), 2).alias("avg_pm25"),
         _mean(_aqi(), 1).alias("avg_aqi"),
@@ -105,8 +125,16 @@ def monthly_trends(
         round_half_up(F.stddev_samp(_pm25()), 2).alias("std_pm25"),
     )
     order = [F.asc_nulls_last(k) for k in keys]
+
+    def ordered(df: DataFrame) -> DataFrame:
+        return df.orderBy(*order) if by_state else _sort_few(df, *order)
+
     if not quartiles:
-        return base.orderBy(*order)
+        return ordered(
+            base.select(
+                label, *states, "avg_pm25", "avg_aqi", "unhealthy_days", "measurements", "std_pm25"
+            )
+        )
     quarters = exact_quantiles(
         rows,
         keys,
@@ -119,13 +147,11 @@ def monthly_trends(
         *[round_half_up(F.col(q), 2).alias(q) for q in ("q1_pm25", "median_pm25", "q3_pm25")],
     )
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-    return (
-        base.join(quarters, same, "left")
-        .select(
-            *keys, "avg_pm25", "q1_pm25", "median_pm25", "q3_pm25", "avg_aqi",
+    return ordered(
+        base.join(quarters, same, "left").select(
+            label, *states, "avg_pm25", "q1_pm25", "median_pm25", "q3_pm25", "avg_aqi",
             "unhealthy_days", "measurements", "std_pm25",
         )
-        .orderBy(*order)
     )
 
 
@@ -275,19 +301,19 @@ def quarterly_trend(cleaned: DataFrame, stable_within: float = 1.0) -> DataFrame
     quarters are aggregated, and per state they fold into one row.
     """
     quarters = (
-        cleaned.withColumn("quartal", quarter_label(F.col("date_local")))
-        .where(F.col("quartal").isin("Q1", "Q4"))
+        cleaned.withColumn("quartal", F.quarter("date_local"))
+        .where(F.col("quartal").isin(1, 4))
         .groupBy("state_name", "quartal")
         .agg(_mean(_zero_floor(_pm25()), 2).alias("avg_pm25"))
     )
 
-    def of(q: str) -> Column:
+    def of(q: int) -> Column:
         return F.max(F.when(F.col("quartal") == q, F.col("avg_pm25")))
 
     q1, q4 = F.col("q1_avg"), F.col("q4_avg")
     both = (
         quarters.groupBy("state_name")
-        .agg(of("Q1").alias("q1_avg"), of("Q4").alias("q4_avg"))
+        .agg(of(1).alias("q1_avg"), of(4).alias("q4_avg"))
         .where(q1.isNotNull() & q4.isNotNull())
     )
     # The window runs over one row per state.
@@ -308,7 +334,7 @@ def quarterly_trend(cleaned: DataFrame, stable_within: float = 1.0) -> DataFrame
 
 def quarterly_summary(trend: DataFrame) -> DataFrame:
     """States per category of :func:`quarterly_trend`."""
-    return trend.groupBy("kategorie").agg(_rows().alias("states")).orderBy("kategorie")
+    return _sort_few(trend.groupBy("kategorie").agg(_rows().alias("states")), "kategorie")
 
 
 def top_changes(trend: DataFrame, n: int = 5) -> DataFrame:
@@ -334,38 +360,23 @@ def weekday_analysis(cleaned: DataFrame) -> DataFrame:
         _mean(_aqi(), 1).alias("avg_aqi"),
         round_half_up(F.stddev_samp(_pm25()), 2).alias("std_pm25"),
     )
-    return grouped.select(
+    named = grouped.select(
         "day_num", weekday_name(F.col("day_num")).alias("wochentag"),
         "messungen", "avg_pm25", "avg_aqi", "std_pm25",
-    ).orderBy("day_num")
+    )
+    return _sort_few(named, "day_num")
 
 
 def weekend_vs_weekday(cleaned: DataFrame) -> DataFrame:
     weekend = F.dayofweek("date_local").isin(1, 7)
-    return (
-        cleaned.groupBy(F.when(weekend, "Weekend").otherwise("Weekday").alias("day_type"))
-        .agg(
-            _rows().alias("measurements"),
-            _mean(_pm25(), 2).alias("avg_pm25"),
-            _mean(_aqi(), 1).alias("avg_aqi"),
-            _unhealthy().alias("unhealthy_days"),
-        )
-        .orderBy("day_type")
-    )
+    day_type = F.when(weekend, "Weekend").otherwise("Weekday").alias("day_type")
+    return _sort_few(cleaned.groupBy(day_type).agg(*_means()), "day_type")
 
 
 def seasonal_pattern(cleaned: DataFrame) -> DataFrame:
     """Means and unhealthy readings per season."""
-    return (
-        cleaned.groupBy(season(F.col("date_local")).alias("season"))
-        .agg(
-            _rows().alias("measurements"),
-            _mean(_pm25(), 2).alias("avg_pm25"),
-            _mean(_aqi(), 1).alias("avg_aqi"),
-            _unhealthy().alias("unhealthy_days"),
-        )
-        .orderBy("season")
-    )
+    seasons = cleaned.groupBy(season(F.col("date_local")).alias("season")).agg(*_means())
+    return _sort_few(seasons, F.asc_nulls_last("season"))
 
 
 # -- sites and places --------------------------------------------------------

@@ -207,7 +207,14 @@ def problem_counts(spark, sf):
 
 @_query
 def problem_examples(spark, sf):
-    return audit.problem_examples(measurements(spark, sf))
+    return audit.problem_examples(measurements(spark, sf), portable=True)
+
+
+@_query
+def problem_example_counts(spark, sf):
+    # The default draw picks other rows, but as many of each class.
+    rows = audit.problem_examples(measurements(spark, sf), CleanupConfig(example_limit=25))
+    return rows.groupBy("problem").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @_query

@@ -226,7 +226,7 @@ def _problem_examples() -> str:
     )
     return _raw(f"""SELECT * FROM ({' UNION ALL '.join(parts)})
 QUALIFY ROW_NUMBER() OVER (PARTITION BY problem
-  ORDER BY md5(CONCAT_WS('|', '0', {key}))) <= 10""")
+  ORDER BY MD5(CONCAT_WS('|', '0', {key}))) <= 10""")
 
 
 # -- summaries ---------------------------------------------------------------
@@ -549,6 +549,9 @@ def all_sql() -> dict[str, str]:
   FROM cleaned)"""),
         "problem_counts": _problem_counts(),
         "problem_examples": _problem_examples(),
+        "problem_example_counts": _raw(" UNION ALL ".join(
+            f"SELECT '{n}' AS problem, LEAST(COUNT(*), 25) AS rows FROM measurements "
+            f"WHERE {t} HAVING COUNT(*) > 0" for n, (t, _) in _PROBLEMS.items())),
         "data_quality_metrics": _on(
             f"""SELECT total_records, null_count, negative_count, outlier_count,
   {_r('(1 - CAST(null_count AS DOUBLE) / total_records) * 100', 6)} AS completeness_score,

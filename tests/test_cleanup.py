@@ -160,6 +160,8 @@ def test_problem_examples(raw):
     assert all(r.pm25_raw < 0 for r in rows)
     same = audit.problem_examples(many.repartition(9), config).collect()
     assert sorted(map(str, rows)) == sorted(map(str, same))
+    text = audit.problem_examples(many, config, portable=True).collect()
+    assert len(text) == len(rows) and all(r.pm25_raw < 0 for r in text)
     other = audit.problem_examples(many, config, seed=1).collect()
     assert sorted(map(str, rows)) != sorted(map(str, other))
 
