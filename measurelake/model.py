@@ -73,11 +73,18 @@ class ColumnMap:
         return {f.name: getattr(self, f.name) for f in fields(self)}
 
     def to_canonical(self, df: DataFrame) -> DataFrame:
-        """Keep the mapped columns of ``df`` and give them their canonical names."""
+        """Keep the mapped columns of ``df`` and give them their canonical names.
+
+        The day becomes a date: compared as a timestamp, the last day of a
+        selection would end at its midnight.
+        """
         present = set(df.columns)
-        return df.select(
-            *[_quoted(src).alias(name) for name, src in self.pairs().items() if src in present]
-        )
+
+        def column(name: str, source: str) -> Column:
+            found = _quoted(source)
+            return (found.cast("date") if name == "date_local" else found).alias(name)
+
+        return df.select(*[column(n, s) for n, s in self.pairs().items() if s in present])
 
     def to_source(self, df: DataFrame) -> DataFrame:
         """Rename canonical columns back to the source table's names."""

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import by
-from measurelake.model import CLEANED_SCHEMA, RAW_SCHEMA, CleanupConfig, ColumnMap
-from measurelake.operators import cleanup
+from measurelake.model import CLEANED_SCHEMA, RAW_SCHEMA, CleanupConfig, ColumnMap, FilterState
+from measurelake.operators import cleanup, filters
 from measurelake.plans import pipeline
 from measurelake.sources import readers, writers
 
@@ -65,6 +65,14 @@ def test_other_column_names(spark, tmp_path):
     assert columns.to_source(got).columns == ["land", "feinstaub"]
 
 
+def test_timestamps_become_days(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.sql("select timestamp_ntz'2024-12-31 10:00:00' as `Date Local`, 'A' as `State Name`").write.parquet(path)
+    df = readers.read_parquet(spark, path)
+    assert dict(df.dtypes)["date_local"] == "date"
+    assert filters.apply_filter(df, FilterState()).count() == 1
+
+
 def test_first_available(spark, csv, tmp_path):
     missing = str(tmp_path / "none.parquet")
     assert readers.read_first_available(spark, [missing, csv]).count() == 3
