@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from measurelake.model import FilterState
-from measurelake.operators import audit, cleanup, filters, series, summary
+from measurelake.operators import anomalies, audit, cleanup, filters, series, summary
 from measurelake.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -92,3 +92,17 @@ def test_no_python_workers_or_cartesian_products(spark, name):
 def test_large_table_is_never_the_broadcast_side(spark):
     text = plan(catalog.all_queries()["cleaned_rows"](spark, "/root/testdata/sf0.1"))
     assert text.count("BuildRight") == 3 and "BuildLeft" not in text
+
+
+def test_flags_do_not_shuffle_the_rows(table):
+    rows = cleanup.clean(table).select("state_name", "pm25_cleaned")
+    for method in ("zscore", "iqr"):
+        text = plan(anomalies.detect_anomalies(rows, "pm25_cleaned", method, keys=["state_name"]))
+        assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
+
+
+def test_few_groups_do_not_shuffle_the_counts_again(table):
+    text = plan(summary.monthly_trends(cleanup.clean(table), FilterState.everything()))
+    assert "SortMergeJoin [_cell" not in text
+    by_cell = [line for line in text.splitlines() if "BroadcastHashJoin" in line and "_k_cell" in line]
+    assert by_cell
