@@ -11,12 +11,12 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 
-_CACHE_PIECES = 2_000_000  # pieces a Python worker keeps; beyond it starts over
+_CACHE_PIECES = 1_000_000  # pieces a Python worker keeps; beyond it starts over
 
 def _byte_names() -> dict[int, str]:
     """The characters by which byte-level vocabularies write bytes: printable ones stand for
@@ -72,7 +72,7 @@ class PieceEncoder:
 
     def _start_over(self) -> None:
         self._number = _Numbers()
-        self._stems: dict[str, tuple[int, ...]] = {}  # lower-case letters -> ids
+        self._stems: dict[str, bytes] = {}  # lower-case letters -> ids, two bytes each
         self._ids = np.empty(0, np.uint16)
         self._begin = np.empty(0, np.int64)  # by number of the piece
         self._size = np.empty(0, np.int64)
@@ -104,14 +104,14 @@ class PieceEncoder:
         new = self._number.new
         found = [self._piece(p.decode("utf-8", "replace")) for p in new]
         new.clear()
-        size = np.fromiter(map(len, found), np.int64, len(found))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 2
         begin = len(self._ids) + np.cumsum(size) - size
-        ids = np.fromiter(chain.from_iterable(found), np.uint16, int(size.sum()))
+        ids = np.frombuffer(b"".join(found), np.uint16)
         self._ids = np.concatenate([self._ids, ids])
         self._begin = np.concatenate([self._begin, begin])
         self._size = np.concatenate([self._size, size])
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _piece(self, piece: str) -> bytes:
         # Letters, with one full stop or comma at most, in Latin-1, where lower case and
         # normal form are character by character: one word of the model, and the mark.
         letters = piece[:-1] if piece[-1] in ".," else piece
@@ -120,23 +120,21 @@ class PieceEncoder:
                 return self._encoded(piece)
             # The file's pattern for ASCII without contractions and special tokens.
             parts = _ASCII_PARTS.findall(piece.lower())
-            return tuple(chain.from_iterable(
-                self._piece(p) if p.isalpha() else self._mark(p) for p in parts
-            ))
+            return b"".join([self._piece(p) if p.isalpha() else self._mark(p) for p in parts])
         stem = letters.lower()
         ids = self._stems.get(stem)
         if ids is None:
             word = stem if stem.isascii() else "".join(map(_BYTE_NAMES.__getitem__, stem.encode()))
-            ids = self._stems[stem] = tuple([t.id for t in self._tokenizer.model.tokenize(word)])
+            ids = self._stems[stem] = array("H", [t.id for t in self._tokenizer.model.tokenize(word)]).tobytes()
         return ids if letters is piece else ids + self._mark(piece[-1])
 
-    def _mark(self, mark: str) -> tuple[int, ...]:
+    def _mark(self, mark: str) -> bytes:
         if mark not in self._stems:
             self._stems[mark] = self._encoded(mark)
         return self._stems[mark]
 
-    def _encoded(self, text: str) -> tuple[int, ...]:
-        return tuple(self._tokenizer.encode(text, add_special_tokens=False).ids)
+    def _encoded(self, text: str) -> bytes:
+        return array("H", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 def crc32(ids: np.ndarray) -> int:
