@@ -148,7 +148,8 @@ def _linked(groups: DataFrame, base: DataFrame, percent: int) -> DataFrame:
     sized = groups.join(
         groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component"
     )
-    texts = base.join(sized, F.col("doc_id") == F.col("node"))
+    # A merge join at every size: the groups' documents grow with the corpus.
+    texts = base.join(sized.hint("merge"), F.col("doc_id") == F.col("node"))
     dealt = blocked(texts, "doc_id", "n", GROUP_BLOCK)
     keys = ["component", "block_a", "block_b"]
     return map_groups(
