@@ -7,7 +7,7 @@ import xxhash
 
 WORDS = 5  # words in a shingle
 
-_CACHE_WORDS = 1_000_000  # word hashes a Python worker keeps; beyond it starts over
+_CACHE_WORDS = 300_000  # word hashes a Python worker keeps; beyond it starts over
 _hashes: dict[bytes, int] = {}
 
 
