@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from measurelake.sources.writers import settle, working_path
 
-__all__ = ["blocked", "forest", "map_arrow", "map_groups", "run_arrow", "settle", "spans", "table",
-           "working_path"]
+__all__ = ["blocked", "forest", "hashed_sample", "map_arrow", "map_groups", "run_arrow", "settle",
+           "spans", "table", "working_path"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,19 @@ def map_groups(
     return run_arrow(dealt, run, schema)
 
 
+def hashed_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """About ``rows`` rows and never more, those with low hashes of the keys; all, if fewer.
+
+    A cut on the hash comes first, so that each task passes on its share only.
+    """
+    total = df.count()
+    if total <= rows:
+        return df
+    cut = int((1 << 30) * 0.97 * rows / total)
+    low = df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < cut)
+    return low.orderBy(F.xxhash64(*keys), *keys).limit(rows)
+
+
 def spans(columns: list[pa.ChunkedArray]) -> np.ndarray:
     """Offsets at which runs of equal values begin, and the number of rows."""
     new = np.ones(len(columns[0]), bool)

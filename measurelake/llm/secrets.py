@@ -19,7 +19,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from measurelake.llm.common import map_arrow, settle
+from measurelake.llm.common import hashed_sample, map_arrow, settle
 from measurelake.llm.files import binary
 
 SAMPLE_ROWS = 20_000  # labelled findings that the forest is fitted on, at most
@@ -151,13 +151,13 @@ def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 3
     At most ``rows`` findings are used, those with the lowest hashes: half of
     either label, so that a rare one is not lost.
     """
-    order = F.xxhash64("doc_id", "start", "value_crc32")
+    keys = ["doc_id", "start", "value_crc32"]
     parts = [
-        labelled.where(F.col("is_secret") == label).orderBy(order, "doc_id", "start").limit(rows // 2)
+        hashed_sample(labelled.where(F.col("is_secret") == label), rows // 2, *keys)
         for label in (0, 1)
     ]
     sample = settle(
-        parts[0].union(parts[1]).coalesce(1).select(
+        parts[0].union(parts[1]).repartition(1).sortWithinPartitions(*keys).select(
             F.col("is_secret").cast("double").alias("label"), "features"), "labelled")
     if sample.select("label").distinct().count() < 2:
         return None
