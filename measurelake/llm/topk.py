@@ -11,6 +11,8 @@ that are left are then resolved from the components not yet read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,7 +22,7 @@ from measurelake.llm.common import map_groups, settle
 
 BLOCK = 2048  # vectors of a block, on average
 QUERY_BLOCK = 512
-STEPS = 16  # reads of each list until its end
+DEPTHS = (8, 4, 2, 1)  # parts of each list that are read before bounds are compared
 
 
 def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = 1024) -> DataFrame:
@@ -76,9 +78,9 @@ def top_k(
             all_ = flat.reshape(end - at, width[at])
             asked = side[at:end] == 0
             lists = SortedLists(ids[at:end][~asked], all_[~asked])
-            for query_id, query in zip(ids[at:end][asked].tolist(), all_[asked], strict=True):
-                best, score = lists.best(query, k, query_id)
-                found.append(np.column_stack([np.full(len(best), query_id), best, score]))
+            own = ids[at:end][asked]
+            for number, best, score in lists.best(all_[asked], own, k):
+                found.append(np.column_stack([np.full(len(best), own[number]), best, score]))
         out = np.concatenate(found)
         return pa.RecordBatch.from_arrays(
             [pa.array(out[:, i].astype(np.int64)) for i in range(3)], ["query_id", "vec_id", "score"]
@@ -95,45 +97,54 @@ class SortedLists:
     """A block of vectors with its sorted list for each dimension."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        self._ids, self._vectors = ids, vectors
-        self._order = np.argsort(vectors, axis=0, kind="stable")  # ascending, by dimension
-        self._values = np.take_along_axis(vectors, self._order, axis=0)
-
-    def best(self, query: np.ndarray, k: int, own_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best vectors for a query, its own id left out."""
-        n, dims = self._vectors.shape
-        if not n:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        used = np.flatnonzero(query)  # other lists contribute nothing
-        weight = query[used]
-        down = weight > 0  # read from the top; the others from the bottom
-        worst = np.where(down, self._values[0, used], self._values[-1, used]) * weight
-        others = self._ids != own_id
-        score = np.zeros(n, np.int64)  # of what has been read
-        read = np.zeros((n, len(used)), bool)
-        step, depth = max(1, -(-n // STEPS)), 0
-        open_ = others.copy()
-        while True:
-            new = min(n, depth + step)
-            for j, (dim, from_top, w) in enumerate(zip(used, down, weight, strict=True)):
-                part = slice(n - new, n - depth) if from_top else slice(depth, new)
-                rows = self._order[part, dim]
-                score[rows] += w * self._values[part, dim]
-                read[rows, j] = True
-            depth = new
-            last = np.where(down, self._values[n - depth, used], self._values[depth - 1, used]) * weight
-            unread = (~read).astype(np.float64)  # whole numbers far below 2**53
-            lower = score + (unread @ worst.astype(np.float64)).astype(np.int64)
-            upper = score + (unread @ last.astype(np.float64)).astype(np.int64)
-            if depth == n or np.count_nonzero(others) <= k:
-                open_ &= others
-                break
-            floor = np.partition(lower[others], -k)[-k]
-            open_ = others & (upper >= floor)  # ties may still win by their id
-            if np.count_nonzero(open_) <= 2 * k:
-                break
-        left = np.flatnonzero(open_)
-        missing = np.where(read[left], 0, self._vectors[np.ix_(left, used)] * weight).sum(axis=1)
-        exact = score[left] + missing
-        first = np.lexsort((self._ids[left], -exact))[:k]
-        return self._ids[left][first], exact[first]
+        self._ids, self._vectors = ids, vectors.astype(np.float64)  # whole numbers below 2**53
+        order = np.argsort(vectors, axis=0, kind="stable")  # ascending, by dimension
+        self._values = np.take_along_axis(self._vectors, order, axis=0)
+        self._rank = np.empty_like(order)
+        places = np.broadcast_to(np.arange(len(vectors))[:, None], order.shape)
+        np.put_along_axis(self._rank, order, places, axis=0)
+
+    def best(
+        self, queries: np.ndarray, own_ids: np.ndarray, k: int
+    ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query's number, ids, scores) of the k best vectors for each query but its own id.
+
+        All queries read the same lists, those with positive components from the top
+        and those with negative ones from the bottom, to the same depth at a time.
+        """
+        n = len(self._ids)
+        asked = np.arange(len(queries))
+        for depth in sorted({-(-n // part) for part in DEPTHS}) if n else ():
+            q = queries[asked].astype(np.float64).T
+            upper, lower = self._bounds(np.maximum(q, 0), np.minimum(q, 0), depth)
+            own = self._ids[:, None] == own_ids[asked]
+            upper[own] = lower[own] = -np.inf
+            at = max(n - k, 0)
+            floor = np.partition(lower, at, axis=0)[at]
+            open_ = (upper >= floor) & ~own  # ties may still win by their id
+            done = (open_.sum(axis=0) <= 2 * k) | (depth == n)
+            for column in np.flatnonzero(done):
+                left = np.flatnonzero(open_[:, column])
+                exact = (self._vectors[left] @ q[:, column]).astype(np.int64)
+                first = np.lexsort((self._ids[left], -exact))[:k]
+                yield int(asked[column]), self._ids[left][first], exact[first]
+            asked = asked[~done]
+            if not len(asked):
+                return
+
+    def _bounds(
+        self, up: np.ndarray, down: np.ndarray, depth: int
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of all scores when each list has been read to a depth from either end.
+
+        A component not yet read lies between the last value read and the list's other end.
+        """
+        values, n = self._values, len(self._values)
+        top, bottom = self._rank >= n - depth, self._rank < depth
+        upper = np.where(top, self._vectors, values[n - depth]) @ up
+        upper += np.where(bottom, self._vectors, values[depth - 1]) @ down
+        if depth == n:
+            return upper, upper.copy()
+        lower = np.where(top, self._vectors, values[0]) @ up
+        lower += np.where(bottom, self._vectors, values[-1]) @ down
+        return upper, lower
