@@ -224,6 +224,7 @@ def _verify(rows: pa.Table, starts: np.ndarray, edits: int) -> pa.RecordBatch:
     hashes, blocks = rows.column("h").to_pylist(), rows.column("block_own").to_pylist()
     owns, lines = rows.column("own").to_pylist(), rows.column("line").to_pylist()
     keys = rows.column("key").to_pylist()
+    crossing = rows.column("block_a").to_numpy() != rows.column("block_b").to_numpy()
     links: list[tuple[int, int]] = []
     counts: dict[int, int] = {}
     for at, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
@@ -233,7 +234,7 @@ def _verify(rows: pa.Table, starts: np.ndarray, edits: int) -> pa.RecordBatch:
             members[hashes[i]] = lines[i], blocks[i]
             if owns[i]:
                 listed.add(hashes[i])
-        sides = len({block for _, block in members.values()}) > 1
+        sides = crossing[at]  # pairs within a block are compared elsewhere
         root: dict[int, int] = {}
         for a in listed:
             line, block = members[a]

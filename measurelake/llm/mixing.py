@@ -112,8 +112,8 @@ def _weighed(marks: DataFrame, tokens: DataFrame, rate: float, targets) -> DataF
 
 
 def _drawn() -> Column:
-    # A document without tokens is in no cell: it costs nothing and stays.
-    return F.coalesce(draw(F.col("doc_id")) < F.col("_probability"), F.lit(True))
+    # A document without tokens costs nothing and stays.
+    return (F.col("_tokens") == 0) | (draw(F.col("doc_id")) < F.col("_probability"))
 
 
 def mixture(
@@ -126,8 +126,8 @@ def mixture(
     document is kept with probability min(1, rate * weight), decided by a hash of
     its id, so copies of a row share their fate.  A cell that would have to give
     more than it has gives all of it.  Null sources and languages are categories
-    of their own, "(none)".  Documents whose cell has no tokens have null weights
-    and are kept.  ``topic`` is a column expression; without one, size classes
+    of their own, "(none)".  Documents without tokens are kept; a cell without any
+    has null weights.  ``topic`` is a column expression; without one, size classes
     stand in.  Other columns are ignored; an empty table gives an empty result.
     """
     base = settle(

@@ -64,7 +64,7 @@ def near_duplicates(
     )
     found = signed.join(reps, same, "left").select(
         "doc_id", "n_shingles",
-        F.coalesce("component", "doc_id").alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
     )
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

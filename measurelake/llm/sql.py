@@ -116,8 +116,8 @@ mix_rates AS (
     tables.append(f"""
 mixed AS (
   SELECT d.*, m_weight, least(1.0, {mixing.RATE} * m_weight) AS m_probability,
-    coalesce(CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS UBIGINT) / 4294967296.0
-      < least(1.0, {mixing.RATE} * m_weight), true) AS m_kept
+    m_tokens = 0 OR CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS UBIGINT)
+      / 4294967296.0 < least(1.0, {mixing.RATE} * m_weight) AS m_kept
   FROM mix_docs d LEFT JOIN mix_rates USING (m_source, m_lang, m_topic)
 )""")
     columns = """doc_id, m_source AS source, m_lang AS lang, m_topic AS topic, m_tokens AS n_tokens,
