@@ -72,9 +72,11 @@ class ColumnMap:
         """canonical name -> source name."""
         return {f.name: getattr(self, f.name) for f in fields(self)}
 
-    def to_canonical(self, df: DataFrame) -> DataFrame:
+    def to_canonical(self, df: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
         """Keep the mapped columns of ``df`` and give them their canonical names.
 
+        Columns named in ``also`` follow as they are, where present.
+
         The day becomes a date: compared as a timestamp, the last day of a
         selection would end at its midnight.
         """
@@ -84,7 +86,10 @@ class ColumnMap:
             found = _quoted(source)
             return (found.cast("date") if name == "date_local" else found).alias(name)
 
-        return df.select(*[column(n, s) for n, s in self.pairs().items() if s in present])
+        return df.select(
+            *[column(n, s) for n, s in self.pairs().items() if s in present],
+            *[_quoted(name) for name in also if name in present],
+        )
 
     def to_source(self, df: DataFrame) -> DataFrame:
         """Rename canonical columns back to the source table's names."""

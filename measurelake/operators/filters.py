@@ -29,8 +29,18 @@ def in_states(df: DataFrame, states: Iterable[str] | None) -> DataFrame:
 def apply_filter(
     df: DataFrame, selection: FilterState, extra: Iterable[Column] = ()
 ) -> DataFrame:
-    """States, inclusive dates and further conditions, as one pushable predicate."""
+    """States, inclusive dates and further conditions, as one pushable predicate.
+
+    On a table with the columns year and month, as month folders give them, the
+    dates also say which folders are read.
+    """
     conditions = [state_condition(selection.states), *extra]
+    if {"year", "month"} <= set(df.columns):
+        month = F.col("year") * 12 + F.col("month")
+        if (day := selection.date_from) is not None:
+            conditions.append(month >= day.year * 12 + day.month)
+        if (day := selection.date_to) is not None:
+            conditions.append(month <= day.year * 12 + day.month)
     if selection.date_from is not None:
         conditions.append(F.col("date_local") >= F.lit(selection.date_from))
     if selection.date_to is not None:

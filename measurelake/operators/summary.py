@@ -54,9 +54,10 @@ def _rows() -> Column:
 def _sort_few(df: DataFrame, *order: Column | str) -> DataFrame:
     """Order a result with a fixed number of rows (weekdays, seasons, months) in one task.
 
-    ``orderBy`` would first sample it to partition it by range.
+    ``orderBy`` would first sample it to partition it by range.  An exchange, since
+    ``coalesce`` would merge all partial aggregates in the one task.
     """
-    return df.coalesce(1).sortWithinPartitions(*order)
+    return df.repartition(1).sortWithinPartitions(*order)
 
 
 def _unhealthy() -> Column:

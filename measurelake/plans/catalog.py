@@ -71,6 +71,25 @@ def src_csv_roundtrip(spark, sf):
     return readers.read_csv(spark, path, columns)
 
 
+def _quoted_names(df: DataFrame) -> DataFrame:
+    """Site names as published files have them: with quotes, commas, blanks and backslashes."""
+    site = F.col("site_name")
+    return df.withColumn(
+        "site_name",
+        F.when(F.col("aqi_raw") % 4 == 0, F.concat(F.lit('Near "Road" '), site, F.lit(", N")))
+        .when(F.col("aqi_raw") % 4 == 1, F.concat(F.lit("  "), site, F.lit(" \\ ")))
+        .when(F.col("aqi_raw") % 4 == 2, F.lit("")).otherwise(site),
+    )
+
+
+@_query
+def src_csv_quoted(spark, sf):
+    columns = ColumnMap()
+    path = writers.working_path(spark, "quoted-csv")
+    writers.write_csv(columns.to_source(_quoted_names(measurements(spark, sf))), path)
+    return readers.read_csv(spark, path, columns)
+
+
 @_query
 def sink_parquet_roundtrip(spark, sf):
     target = writers.working_path(spark, "export")
@@ -78,6 +97,15 @@ def sink_parquet_roundtrip(spark, sf):
     return readers.read_parquet(spark, paths["parquet"])
 
 
+@_query
+def src_month_folders(spark, sf):
+    """A selection of dates read back from an export in month folders."""
+    target = writers.working_path(spark, "export")
+    paths = writers.export_cleaned(_cleaned(spark, sf), target, by_month=True)
+    exported = readers.read_parquet(spark, paths["parquet"], keep_folders=True)
+    return filters.apply_filter(exported, SELECTION).drop("year", "month")
+
+
 @_query
 def sink_csv_roundtrip(spark, sf):
     target = writers.working_path(spark, "export")
@@ -393,7 +421,7 @@ def alarm_days(spark, sf):
 
 @_query
 def alarm_days_all(spark, sf):
-    return series.alarm_days(_cleaned(spark, sf), SELECTION.states, limit=None)
+    return series.alarm_days(_cleaned(spark, sf), limit=None)
 
 
 @_query
@@ -404,7 +432,7 @@ def alarm_days_critical(spark, sf):
 
 @_query
 def alarm_summary(spark, sf):
-    return series.alarm_summary(series.alarm_days(_cleaned(spark, sf)))
+    return series.alarm_summary(series.alarm_days(_cleaned(spark, sf), limit=None))
 
 
 @_query

@@ -493,6 +493,12 @@ def all_sql() -> dict[str, str]:
     return {
         # sources and sinks
         "src_csv_roundtrip": _raw("SELECT * FROM measurements"),
+        "src_csv_quoted": _raw(
+            """SELECT * REPLACE (CASE aqi_raw % 4 WHEN 0 THEN 'Near "Road" ' || site_name || ', N'
+  WHEN 1 THEN '  ' || site_name || ' \\ ' WHEN 2 THEN '' ELSE site_name END AS site_name) FROM measurements"""),
+        "src_month_folders": _on(
+            f"SELECT {_ALL} FROM cleaned WHERE state_name IN ('ASIA', 'EUROPE') "
+            "AND date_local BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'"),
         "sink_parquet_roundtrip": _on(f"SELECT {_ALL} FROM cleaned"),
         "sink_csv_roundtrip": _on(f"SELECT {_ALL} FROM cleaned"),
         "sink_explorer_csv": _on(
@@ -675,13 +681,13 @@ ORDER BY aqi_cleaned DESC, county_name, date_local, pm25_cleaned LIMIT 20"""),
         "daily_state_skip_nulls": _on("SELECT state_name, date_local, pm25, n FROM daily",
                                       _DAILY_SKIP, base=EVENTS),
         "alarm_days": _on("SELECT * FROM alarms", *_alarms("TRUE", "LIMIT 100")),
-        "alarm_days_all": _on("SELECT * FROM alarms", *_alarms("state_name IN ('ASIA', 'EUROPE')", "")),
+        "alarm_days_all": _on("SELECT * FROM alarms", *_alarms("TRUE", "")),
         "alarm_days_critical": _on("SELECT * FROM alarms WHERE alarm_level = 'KRITISCH'",
                                    *_alarms("TRUE", "")),
         "alarm_summary": _on(
             f"""SELECT {_count("alarm_level = 'KRITISCH'")} AS kritisch,
   {_count("alarm_level = 'WARNUNG'")} AS warnung, MAX(prozent_change) AS max_change,
-  COUNT(DISTINCT state_name) AS affected_states FROM alarms""", *_alarms("TRUE", "LIMIT 100")),
+  COUNT(DISTINCT state_name) AS affected_states FROM alarms""", *_alarms("TRUE", "")),
         "worst_days": _on("SELECT * FROM worst", _DAILY, _WORST),
         "worst_days_summary": _on(
             f"""SELECT MAX(pm25) AS max_pm25,

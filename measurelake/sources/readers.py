@@ -11,11 +11,15 @@ from pyspark.sql import types as T
 
 from measurelake.model import CLEANED_TYPES, RAW_TYPES, ColumnMap
 
+#: what the parser puts for a cell without anything, so that it differs from ``""``
+NULL_CELL = "\0"
+
 _TYPES = {**RAW_TYPES, **CLEANED_TYPES}
 
 
 def read_csv(
-    spark: SparkSession, path: str, columns: ColumnMap | None = None, mode: str = "FAILFAST"
+    spark: SparkSession, path: str, columns: ColumnMap | None = None, mode: str = "FAILFAST",
+    multiline: bool = False,
 ) -> DataFrame:
     """Read a measurement CSV with a header, in any column order.
 
@@ -23,9 +27,13 @@ def read_csv(
     their declared types, others are read as text and pruned by the optimizer.
     ``enforceSchema=false`` makes a file with another column order fail instead
     of being read by position, and ``FAILFAST`` does the same for bad cells.
+    Quotes within quoted cells are doubled, blanks are kept; a cell without
+    anything is null, and ``""`` is empty text.  ``multiline`` reads cells with line
+    breaks; such a file cannot be split among tasks, so it is off by default.
     """
     columns = columns or ColumnMap()
-    reader = spark.read.option("header", True)
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
+    reader = reader.option("nullValue", NULL_CELL).option("emptyValue", "")
     header = reader.csv(path).columns
     wanted = {source: _TYPES[name] for name, source in columns.pairs().items()}
     schema = T.StructType([T.StructField(h, wanted.get(h, T.StringType())) for h in header])
@@ -33,9 +41,18 @@ def read_csv(
     return columns.to_canonical(df)
 
 
-def read_parquet(spark: SparkSession, path: str, columns: ColumnMap | None = None) -> DataFrame:
-    """Read a measurement Parquet table; column pruning and pushdown reach the files."""
-    return (columns or ColumnMap()).to_canonical(spark.read.parquet(path))
+def read_parquet(
+    spark: SparkSession, path: str, columns: ColumnMap | None = None, keep_folders: bool = False
+) -> DataFrame:
+    """Read a measurement Parquet table; column pruning and pushdown reach the files.
+
+    With ``keep_folders`` the columns year and month of month folders follow the
+    canonical ones, and :func:`~measurelake.operators.filters.apply_filter` reads
+    only the folders that its dates touch.
+    """
+    df = spark.read.parquet(path)
+    canonical = (columns or ColumnMap()).to_canonical
+    return canonical(df, ("year", "month")) if keep_folders else canonical(df)
 
 
 def read_first_available(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from tempfile import mkdtemp
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,8 +42,15 @@ def write_parquet(
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> str:
-    """Write CSV with a header in every part file."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """Write CSV with a header in every part file.
+
+    Quotes are doubled, blanks around values are kept, and empty text is written
+    as ``""``, so that it differs from null.
+    """
+    writer = df.write.mode(mode).option("header", True).option("escape", '"')
+    for side in ("ignoreLeadingWhiteSpace", "ignoreTrailingWhiteSpace"):
+        writer = writer.option(side, False)
+    writer.option("nullValue", "").option("emptyValue", '""').csv(path)
     return path
 
 
@@ -113,11 +119,9 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 def working_path(spark: SparkSession, name: str) -> str:
     """A fresh path for intermediate tables in the folder shared by the cluster.
 
-    Uses ``spark.checkpoint.dir``.  Only a local session may do without it.
+    Uses ``spark.checkpoint.dir``, which every session has to set.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        shared = mkdtemp(prefix="measurelake-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -157,3 +157,39 @@ def test_cleanup_runs_on_a_stream(spark, raw, tmp_path):
     query.awaitTermination(60)
     actions = {r.cleanup_action for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert actions == {"AQI_CALCULATED", "NEGATIVE_FIXED"}
+
+
+ODD = ['Near ""Road"" I-25, N', 'say "hi", twice', "  padded  ", "", None, "back\\slash", "comma, blank ", '"']
+
+
+def test_csv_keeps_quotes_blanks_and_empty_text(spark, raw, tmp_path):
+    df = raw(*[{"site_name": s, "pm25_raw": float(i)} for i, s in enumerate(ODD)])
+    path = writers.write_csv(ColumnMap().to_source(df), str(tmp_path / "odd"))
+    got = {int(r.pm25_raw): r.site_name for r in readers.read_csv(spark, path).collect()}
+    assert got == dict(enumerate(ODD))
+
+
+def test_csv_line_breaks_need_multiline(spark, raw, tmp_path):
+    df = raw({"site_name": "two\nlines", "pm25_raw": 1.0}, {"site_name": "one", "pm25_raw": 2.0})
+    path = writers.write_csv(ColumnMap().to_source(df), str(tmp_path / "breaks"))
+    got = {r.pm25_raw: r.site_name for r in readers.read_csv(spark, path, multiline=True).collect()}
+    assert got == {1.0: "two\nlines", 2.0: "one"}
+
+
+def test_dates_prune_month_folders(spark, cleaned, tmp_path):
+    days = [date(2024, 1, 5), date(2024, 2, 5), date(2024, 3, 5), date(2025, 2, 5)]
+    paths = writers.export_cleaned(cleaned(*[{"date_local": d} for d in days]), str(tmp_path / "m"), by_month=True)
+    df = readers.read_parquet(spark, paths["parquet"], keep_folders=True)
+    one = filters.apply_filter(df, FilterState(None, date(2024, 2, 1), date(2024, 2, 28)))
+    assert [r.date_local for r in one.collect()] == [days[1]]
+    text = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: []" not in text and "month" in text.split("PartitionFilters:")[1]
+    assert len(one.inputFiles()) <= 4 and one.select("date_local").count() == 1
+
+
+def test_working_path_needs_the_shared_folder(spark):
+    class Unset:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})()
+
+    with pytest.raises(RuntimeError):
+        writers.working_path(Unset(), "x")
