@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-_CACHE_PIECES = 600_000  # pieces a Python worker keeps; beyond it starts over
+_CACHE_PIECES = 850_000  # pieces a Python worker keeps; beyond it starts over
 
 def _byte_names() -> dict[int, str]:
     """The characters by which byte-level vocabularies write bytes: printable ones stand for
