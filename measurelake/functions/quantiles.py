@@ -2,9 +2,11 @@
 
 ``percentile``/``median`` keep every distinct value of a group in the memory of
 one task, and ``percentile_approx`` changes results.  Here a group is first
-reduced to (value, count) rows, spread over the cluster by value; a histogram
-with a bounded number of cells then tells which cell holds each wanted rank,
-and only those cells are ordered, each in its own task.
+reduced to (value, count) rows, spread over the cluster by value.  A histogram
+with a bounded number of cells tells which cell holds each wanted rank.  Each of
+these cells is split evenly between its least and greatest value, since close
+values share a cell; only the parts that hold a wanted rank are ordered, each in
+its own task.
 """
 
 from __future__ import annotations
@@ -16,18 +18,29 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Histogram cells per doubling of |value| + 1.  A double spans at most 1,024
-# doublings, so a group has at most 2 * 1,024 * 1,024 cells; sensor values below
-# 1,000 fill about 10,000.
+# Histogram cells per doubling of the value.  A double spans about 2,100 doublings
+# on either side of zero; sensor values of 0.01 to 1,000 fill about 17,000 cells.
 _CELLS_PER_DOUBLING = 1024.0
-_INFINITE, _NAN = 2_000_000, 3_000_000  # beyond every finite cell; NaN sorts last
+_LEAST = 1_100_000  # moves the cell of the smallest positive double above zero
+_INFINITE, _NAN = 3_000_000, 4_000_000  # beyond every finite cell; NaN sorts last
+_PARTS = 65_536  # of a wanted cell
 
 
 def _cell(value: Column) -> Column:
     """Histogram cell, non-decreasing in ``value``."""
-    size = F.floor(F.log2(F.abs(value) + 1.0) * F.lit(_CELLS_PER_DOUBLING))
+    size = F.floor(F.log2(F.abs(value)) * F.lit(_CELLS_PER_DOUBLING)) + F.lit(_LEAST)
     cell = F.signum(value) * F.least(size, F.lit(_INFINITE))
-    return F.when(F.isnan(value), F.lit(_NAN)).otherwise(cell).cast("bigint")
+    return (
+        F.when(F.isnan(value), F.lit(_NAN)).when(F.abs(value) == float("inf"), F.signum(value) * _INFINITE)
+        .when(value == 0, F.lit(0)).otherwise(cell).cast("bigint")
+    )
+
+
+def _part(value: Column) -> Column:
+    """Part of a wanted cell between its bounds ``_low`` and ``_high``."""
+    place = (value - F.col("_low")) / (F.col("_high") - F.col("_low")) * F.lit(float(_PARTS))
+    spread = (F.col("_low") < F.col("_high")) & ~F.isnan("_high")
+    return F.when(spread, F.least(F.floor(place), F.lit(_PARTS - 1))).otherwise(F.lit(0)).cast("bigint")
 
 
 def exact_quantiles(
@@ -35,41 +48,26 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     probabilities: Mapping[str, float],
-    few_groups: bool = False,
-    weight: str | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles of ``value`` per ``keys``.
 
-    ``few_groups`` declares that the number of groups has a bound of its own
-    (months, named metrics; no keys at all is one group).  The wanted cells, at
-    most two per group and quantile, are then broadcast and the counts are not
-    shuffled a second time.  Otherwise adaptive execution decides by size.
-
-    ``weight`` names a column that says how often a row counts.
-
     Returns ``keys`` plus one double column per entry of ``probabilities``.
     Nulls are ignored.  Groups without a value have no row, except that without
     keys there is always exactly one row.
+
+    The wanted cells, at most two per group and quantile, are joined back to the
+    value counts.  Without keys they are broadcast, as their number is fixed;
+    otherwise adaptive execution decides by size and splits crowded cells.
     """
     keys = list(keys)
-    times = F.col(weight) if weight else F.lit(1)
     counts = (
-        df.select(*keys, F.col(value).cast("double").alias("_v"), times.alias("_w"))
+        df.select(*keys, F.col(value).cast("double").alias("_v"))
         .where(F.col("_v").isNotNull())
         .groupBy(*keys, "_v")
-        .agg(F.sum("_w").alias("_n"))
+        .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_cell", _cell(F.col("_v")))
     )
 
-    group = Window.partitionBy(*keys)
-    upto = group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cells = (
-        counts.groupBy(*keys, "_cell")
-        .agg(F.sum("_n").alias("_cell_n"))
-        .withColumn("_start", F.sum("_cell_n").over(upto) - F.col("_cell_n"))
-        .withColumn("_total", F.sum("_cell_n").over(group))
-    )
-
     def position(p: float) -> Column:
         return F.lit(float(p)) * (F.col("_total") - 1).cast("double")
 
@@ -77,26 +75,41 @@ def exact_quantiles(
         return (rank >= start) & (rank < start + size)
 
     ranks = [f(position(p)) for p in probabilities.values() for f in (F.floor, F.ceil)]
-    wanted = cells.where(
-        reduce(or_, [holds(r, F.col("_start"), F.col("_cell_n")) for r in ranks])
+    any_rank = reduce(or_, [holds(r, F.col("_start"), F.col("_cell_n")) for r in ranks])
+
+    def before(within: list[str], by: str) -> Column:
+        upto = Window.partitionBy(*within).orderBy(by).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        return F.sum("_cell_n").over(upto) - F.col("_cell_n")
+
+    def inside(rows: DataFrame, cells: DataFrame, by: list[str]) -> DataFrame:
+        # Null-safe, because a null key is a group of its own; and for the cell, so that
+        # no null check is pushed below the counts on one side only.  Both sides then
+        # are the same shuffle, and the input is read once.
+        wanted = cells.where(any_rank).drop("_cell_n").withColumnsRenamed({c: f"_k_{c}" for c in by})
+        if not keys:
+            wanted = F.broadcast(wanted)
+        same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by]
+        return rows.join(wanted, reduce(and_, same)).drop(*[f"_k_{c}" for c in by])
+
+    cells = (
+        counts.groupBy(*keys, "_cell")
+        .agg(F.sum("_n").alias("_cell_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        .withColumn("_start", before(keys, "_cell"))
+        .withColumn("_total", F.sum("_cell_n").over(Window.partitionBy(*keys)))
     )
-    # Null-safe, because a null key is a group of its own; and for the cell, so that
-    # no null check is pushed below the counts on one side only.  Both sides then
-    # are the same shuffle, and the input is read once.
-    wanted = wanted.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_cell").alias("_k_cell"), "_start", "_total"
+    near = inside(counts, cells, [*keys, "_cell"]).withColumn("_part", _part(F.col("_v")))
+    parts = (
+        near.groupBy(*keys, "_cell", "_part")
+        .agg(F.sum("_n").alias("_cell_n"), F.max("_start").alias("_from"), F.max("_total").alias("_total"))
+        .withColumn("_start", F.col("_from") + before([*keys, "_cell"], "_part"))
+        .drop("_from")
     )
-    if few_groups or not keys:
-        wanted = F.broadcast(wanted)
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    same.append(F.col("_cell").eqNullSafe(F.col("_k_cell")))
-    inside = Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(
+    rows = inside(near.drop("_start", "_total", "_low", "_high"), parts, [*keys, "_cell", "_part"])
+    upto = Window.partitionBy(*keys, "_cell", "_part").orderBy("_v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    ordered = (
-        counts.join(wanted, reduce(and_, same))
-        .withColumn("_first", F.col("_start") + F.sum("_n").over(inside) - F.col("_n"))
-    )
+    ordered = rows.withColumn("_first", F.col("_start") + F.sum("_n").over(upto) - F.col("_n"))
 
     def at(rank: Column) -> Column:
         return F.max(F.when(holds(rank, F.col("_first"), F.col("_n")), F.col("_v")))

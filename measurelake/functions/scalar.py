@@ -136,8 +136,8 @@ def number_draw(*key: Column) -> Column:
 
 
 def number_range(draw: Column) -> Column:
-    """Which of 256 equal ranges a number was drawn from."""
-    return F.shiftright(draw, 55)
+    """Which of 65,536 equal ranges a number was drawn from."""
+    return F.shiftright(draw, 47)
 
 
 def text_draw(*key: Column) -> Column:
@@ -147,7 +147,7 @@ def text_draw(*key: Column) -> Column:
 
 
 def text_range(draw: Column) -> Column:
-    return F.substring(draw, 1, 2)
+    return F.substring(draw, 1, 4)
 
 
 def stable_normal(*key: Column) -> Column:

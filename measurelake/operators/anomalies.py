@@ -1,9 +1,11 @@
 """Anomaly flags and trend direction for any table or series.
 
 Flags join the limits of each group back to its rows.  A window would be
-shorter to write, but it sorts every group whole into one task.  The limits are
-settled first: their true size decides the join, so the large side is shuffled
-only if they are too many to broadcast.
+shorter to write, but it sorts every group whole into one task.  Limits and
+flags are lazy.  Between them :func:`settle_limits` may write the limits: their
+true size then decides the join, and the large side is shuffled only if they are
+too many to broadcast.  Without it adaptive execution decides, which splits a
+group that holds many of the rows.
 """
 
 from __future__ import annotations
@@ -17,57 +19,73 @@ from pyspark.sql import functions as F
 
 from measurelake.functions.quantiles import exact_quantiles
 from measurelake.functions.scalar import divide
-from measurelake.sources.writers import settle
+from measurelake.sources.writers import write_parquet
 
+_LIMITS = {"zscore": ("_mean", "_std"), "iqr": ("_q1", "_q3")}
 
-def _with_limits(df: DataFrame, limits: DataFrame, keys: Sequence[str]) -> DataFrame:
-    if not keys:  # a global aggregate, one row
-        return df.crossJoin(F.broadcast(limits))
-    limits = settle(limits.withColumnsRenamed({k: f"_k_{k}" for k in keys}), "limits")
-    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-    return df.join(limits, same, "left").drop(*[f"_k_{k}" for k in keys])
+
+def _known(method: str) -> str:
+    if method not in _LIMITS:
+        raise ValueError(f"unknown method: {method!r}")
+    return method
 
 
-def zscore_flags(
-    df: DataFrame, column: str, threshold: float = 3.0, keys: Sequence[str] = ()
+def anomaly_limits(
+    df: DataFrame, column: str, method: str = "zscore", keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Add ``anomaly_score`` (absolute population z-score) and ``is_anomaly``.
+    """What :func:`flags` compares with: one row per group, without keys one row."""
+    if _known(method) == "iqr":
+        return exact_quantiles(df, keys, column, {"_q1": 0.25, "_q3": 0.75})
+    value = F.col(column)
+    return df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"))
 
-    Null values, and groups with one value only, have no score and no flag.
+
+def settle_limits(limits: DataFrame, folder: str) -> DataFrame:
+    """Run a job that writes the limits to ``folder``, which must not exist; read them back.
+
+    The folder belongs to the caller, who removes it when the flags are done
+    with; every executor has to reach it.
     """
-    value = F.col(column)
-    limits = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"))
-    score = F.abs(divide(value - F.col("_mean"), F.col("_std")))
-    return (
-        _with_limits(df, limits, keys)
-        .withColumn("anomaly_score", score)
-        .withColumn("is_anomaly", F.coalesce(F.col("anomaly_score") > threshold, F.lit(False)))
-        .drop("_mean", "_std")
-    )
+    write_parquet(limits, folder)
+    return limits.sparkSession.read.schema(limits.schema).parquet(folder)
 
 
-def iqr_flags(
-    df: DataFrame, column: str, threshold: float = 3.0, keys: Sequence[str] = ()
+def flags(
+    df: DataFrame, limits: DataFrame, column: str, method: str = "zscore",
+    threshold: float = 3.0, keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Add ``is_anomaly``: outside the quartiles by more than ``threshold`` times their distance."""
-    limits = exact_quantiles(df, keys, column, {"_q1": 0.25, "_q3": 0.75})
-    reach = F.lit(float(threshold)) * (F.col("_q3") - F.col("_q1"))
-    outside = (F.col(column) < F.col("_q1") - reach) | (F.col(column) > F.col("_q3") + reach)
-    return (
-        _with_limits(df, limits, keys)
-        .withColumn("is_anomaly", F.coalesce(outside, F.lit(False)))
-        .drop("_q1", "_q3")
-    )
+    """``df`` with ``is_anomaly`` against the limits of its groups; starts no job.
+
+    ``zscore`` adds ``anomaly_score`` too, the absolute population z-score, and
+    flags scores above the threshold.  Null values, and groups with one value
+    only, have no score and no flag.  ``iqr`` flags what lies outside the
+    quartiles by more than ``threshold`` times their distance.
+    """
+    value, (low, high) = F.col(column), _LIMITS[_known(method)]
+    if keys:
+        named = limits.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+        joined = df.join(named, same, "left").drop(*[f"_k_{k}" for k in keys])
+    else:  # a global aggregate, one row
+        joined = df.crossJoin(F.broadcast(limits))
+    if method == "zscore":
+        joined = joined.withColumn("anomaly_score", F.abs(divide(value - F.col(low), F.col(high))))
+        outside = F.col("anomaly_score") > threshold
+    else:
+        reach = F.lit(float(threshold)) * (F.col(high) - F.col(low))
+        outside = (value < F.col(low) - reach) | (value > F.col(high) + reach)
+    return joined.withColumn("is_anomaly", F.coalesce(outside, F.lit(False))).drop(low, high)
 
 
 def detect_anomalies(
     df: DataFrame, column: str, method: str = "zscore", threshold: float = 3.0,
-    keys: Sequence[str] = (),
+    keys: Sequence[str] = (), settled: str | None = None,
 ) -> DataFrame:
-    flags = {"zscore": zscore_flags, "iqr": iqr_flags}
-    if method not in flags:
-        raise ValueError(f"unknown method: {method!r}")
-    return flags[method](df, column, threshold, keys)
+    """Limits and flags in one call; lazy, unless ``settled`` names a folder for the limits."""
+    limits = anomaly_limits(df, column, method, keys)
+    if settled:
+        limits = settle_limits(limits, settled)
+    return flags(df, limits, column, method, threshold, keys)
 
 
 def trend_direction(

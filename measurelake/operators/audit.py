@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import asdict
 from functools import reduce
 from operator import add, or_
@@ -107,15 +108,14 @@ def _tests_before(pm25: str, aqi: str, config: CleanupConfig) -> dict[str, Colum
     }
 
 
-def _audit(
-    df: DataFrame, sides: dict[str, tuple[str, str, dict[str, Column]]], before: bool
-) -> DataFrame:
-    """One row of additive audit figures for every side, in one scan.
+_PLACES = ("state_name", "county_name")
+_ACCURACY = 10_000  # of approximate medians: the rank is off by a ten-thousandth at most
 
-    Rows are first reduced to one partial per (state, county), where both
-    distinct counts can be read off; counting two distinct columns directly
-    would instead triple every row before the shuffle.
-    """
+Sides = dict[str, tuple[str, str, dict[str, Column]]]
+
+
+def _figures(sides: Sides, before: bool) -> tuple[list[Column], list[Column]]:
+    """Additive figures of every side, and what sums them up to one row."""
     partial: list[Column] = [F.count(F.lit(1)).alias("total_rows")]
     final: list[Column] = [F.coalesce(F.sum("total_rows"), F.lit(0)).alias("total_rows")]
     for side, (pm25, aqi, tests) in sides.items():
@@ -126,7 +126,7 @@ def _audit(
             key = f"{side}{metric}"
             value = F.col(column)
             partial += [
-                F.sum(value.cast("double")).alias(f"_sum_{key}"),
+                F.sum(value).alias(f"_sum_{key}"),
                 F.count(value).alias(f"_n_{key}"),
                 F.min(value).alias(f"_min_{key}"),
                 F.max(value).alias(f"_max_{key}"),
@@ -140,42 +140,44 @@ def _audit(
                 final.append(found.alias(f"{side}{bound}_{metric}"))
     if before:
         partial += [F.min("date_local").alias("_first"), F.max("date_local").alias("_last")]
-        final += [
-            F.min("_first").alias("earliest_date"),
-            F.max("_last").alias("latest_date"),
-            F.countDistinct("state_name").alias("unique_states"),
-            F.countDistinct("county_name").alias("unique_counties"),
-        ]
-    return df.groupBy("state_name", "county_name").agg(*partial).agg(*final)
+        final += [F.min("_first").alias("earliest_date"), F.max("_last").alias("latest_date")]
+    return partial, final
+
+
+def _distinct() -> list[Column]:
+    """Distinct places, from rows of one partial per place."""
+    return [
+        F.countDistinct("state_name").alias("unique_states"),
+        F.countDistinct("county_name").alias("unique_counties"),
+    ]
+
+
+def _audit(df: DataFrame, sides: Sides, before: bool = False, places: bool = False) -> DataFrame:
+    """One row of audit figures for every side, in one scan.
+
+    With ``places`` rows are first reduced to one partial per (state, county),
+    where both distinct counts can be read off; counting two distinct columns
+    directly would instead triple every row before the shuffle.
+    """
+    partial, final = _figures(sides, before)
+    if places:
+        return df.groupBy(*_PLACES).agg(*partial).agg(*final, *_distinct())
+    return df.agg(*partial).agg(*final)
 
 
 def _medians(df: DataFrame, named: dict[str, str]) -> DataFrame:
     """One row with the median of each column, exact, in one scan for all of them.
 
-    Rows are counted per combination of the columns before each combination is
-    split into its values.  The columns depend on one another (an index follows
-    from its concentration), so there are far fewer combinations than rows.
+    Each column's values are counted by themselves within the scan's tasks, so that
+    unrelated or unrounded columns do not multiply.
     """
-    columns = list(dict.fromkeys(named.values()))
-    combinations = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("times"))
-    long = combinations.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(n).alias("metric"), F.col(c).cast("double").alias("value"))
-                    for n, c in named.items()
-                ]
-            )
-        ),
-        "times",
-    )
-    found = exact_quantiles(
-        long, ["metric"], "value", {"median": 0.5}, few_groups=True, weight="times"
-    )
+    values = F.array(*[F.col(c).cast("double") for c in named.values()])
+    long = df.select(F.posexplode(values).alias("metric", "value"))
+    found = exact_quantiles(long, ["metric"], "value", {"median": 0.5})
     return found.agg(
         *[
-            round_half_up(F.max(F.when(F.col("metric") == n, F.col("median"))), 2).alias(n)
-            for n in named
+            round_half_up(F.max(F.when(F.col("metric") == i, F.col("median"))), 2).alias(n)
+            for i, n in enumerate(named)
         ]
     )
 
@@ -185,18 +187,44 @@ def _with_medians(row: DataFrame, medians: DataFrame) -> DataFrame:
     return row.crossJoin(F.broadcast(medians))
 
 
-def quality_audit(raw: DataFrame, config: CleanupConfig = CleanupConfig()) -> DataFrame:
-    """Audit of a raw table: one row, 26 figures, exact medians."""
-    tests = _tests_before("pm25_raw", "aqi_raw", config)
-    row = _audit(raw, {"": ("pm25_raw", "aqi_raw", tests)}, before=True)
-    medians = _medians(raw, {"median_pm25": "pm25_raw", "median_aqi": "aqi_raw"})
-    return _with_medians(row, medians).select(*AUDIT_BEFORE)
+def _approximate(df: DataFrame, sides: Sides, before: bool, named: dict[str, str]) -> DataFrame:
+    """Audit with approximate medians and distinct counts: one scan, one aggregate, no shuffle by place."""
+    partial, final = _figures(sides, before)
+    for name, column in named.items():
+        partial.append(F.percentile_approx(F.col(column).cast("double"), 0.5, _ACCURACY).alias(name))
+        final.append(round_half_up(F.max(name), 2).alias(name))
+    if before:
+        for name, column in zip(("unique_states", "unique_counties"), _PLACES, strict=True):
+            partial.append(F.approx_count_distinct(column, 0.02).alias(name))
+            final.append(F.max(name).alias(name))
+    return df.agg(*partial).agg(*final)
+
+
+def _whole_audit(df: DataFrame, sides: Sides, before: bool, named: dict[str, str],
+                 approximate: bool) -> DataFrame:
+    if approximate:
+        return _approximate(df, sides, before, named)
+    return _with_medians(_audit(df, sides, before, places=before), _medians(df, named))
+
+
+def quality_audit(
+    raw: DataFrame, config: CleanupConfig = CleanupConfig(), approximate: bool = False
+) -> DataFrame:
+    """Audit of a raw table: one row, 26 figures.
+
+    Medians and distinct counts are exact in two scans, or ``approximate`` in one:
+    a median then is a value of the table whose rank is off by a ten-thousandth at
+    most, and a distinct count has a standard error of 2 %.
+    """
+    sides = {"": ("pm25_raw", "aqi_raw", _tests_before("pm25_raw", "aqi_raw", config))}
+    named = {"median_pm25": "pm25_raw", "median_aqi": "aqi_raw"}
+    return _whole_audit(raw, sides, True, named, approximate).select(*AUDIT_BEFORE)
 
 
 def quality_audit_pct(raw: DataFrame, config: CleanupConfig = CleanupConfig()) -> DataFrame:
     """The audit counts with their percent of all rows, one row per count."""
     tests = _tests_before("pm25_raw", "aqi_raw", config)
-    row = _audit(raw, {"": ("pm25_raw", "aqi_raw", tests)}, before=False)
+    row = _audit(raw, {"": ("pm25_raw", "aqi_raw", tests)})
     return _as_rows(row, COUNTS_BEFORE, "metric", "rows").select(
         "metric", "rows", percent_of(F.col("rows"), F.col("total_rows"), 1).alias("percent")
     )
@@ -207,47 +235,80 @@ def _as_rows(row: DataFrame, names: list[str], key: str, value: str) -> DataFram
     return row.select("total_rows", F.inline(entries))
 
 
-def quality_audit_after(cleaned: DataFrame, config: CleanupConfig = CleanupConfig()) -> DataFrame:
-    """Audit of the cleaned values: one row, 14 figures."""
-    tests = _tests("pm25_cleaned", "aqi_cleaned", config)
-    row = _audit(cleaned, {"": ("pm25_cleaned", "aqi_cleaned", tests)}, before=False)
-    medians = _medians(cleaned, {"median_pm25": "pm25_cleaned", "median_aqi": "aqi_cleaned"})
-    return _with_medians(row, medians).select(*AUDIT_AFTER)
+def quality_audit_after(
+    cleaned: DataFrame, config: CleanupConfig = CleanupConfig(), approximate: bool = False
+) -> DataFrame:
+    """Audit of the cleaned values: one row, 14 figures; options as for :func:`quality_audit`."""
+    sides = {"": ("pm25_cleaned", "aqi_cleaned", _tests("pm25_cleaned", "aqi_cleaned", config))}
+    named = {"median_pm25": "pm25_cleaned", "median_aqi": "aqi_cleaned"}
+    return _whole_audit(cleaned, sides, False, named, approximate).select(*AUDIT_AFTER)
+
+
+_BOTH_MEDIANS = {
+    "before_median_pm25": "pm25_original",
+    "before_median_aqi": "aqi_original",
+    "after_median_pm25": "pm25_cleaned",
+    "after_median_aqi": "aqi_cleaned",
+}
+
+
+def _both_sides(config: CleanupConfig) -> Sides:
+    return {
+        "before_": ("pm25_original", "aqi_original",
+                    _tests_before("pm25_original", "aqi_original", config)),
+        "after_": ("pm25_cleaned", "aqi_cleaned", _tests("pm25_cleaned", "aqi_cleaned", config)),
+    }
 
 
 def audit_both(
-    cleaned: DataFrame, config: CleanupConfig = CleanupConfig(), medians: bool = False
+    cleaned: DataFrame, config: CleanupConfig = CleanupConfig(), medians: bool = False,
+    approximate: bool = False,
 ) -> DataFrame:
     """Audits before and after cleanup as one row, from one scan of the cleaned table.
 
     The cleaned table keeps the originals, so columns come as ``before_*`` and
-    ``after_*``.  Medians cost a second scan and are optional.
+    ``after_*``.  Exact medians cost a second scan and are optional; ``approximate``
+    ones come from the same scan.
     """
-    sides = {
-        "before_": ("pm25_original", "aqi_original",
-                    _tests_before("pm25_original", "aqi_original", config)),
-        "after_": ("pm25_cleaned", "aqi_cleaned", _tests("pm25_cleaned", "aqi_cleaned", config)),
-    }
-    row = _audit(cleaned, sides, before=True)
-    if not medians:
-        return row
-    return _with_medians(
-        row,
-        _medians(
-            cleaned,
-            {
-                "before_median_pm25": "pm25_original",
-                "before_median_aqi": "aqi_original",
-                "after_median_pm25": "pm25_cleaned",
-                "after_median_aqi": "aqi_cleaned",
-            },
-        ),
-    )
+    if approximate:
+        return _approximate(cleaned, _both_sides(config), True, _BOTH_MEDIANS)
+    row = _audit(cleaned, _both_sides(config), before=True, places=True)
+    return _with_medians(row, both_medians(cleaned)) if medians else row
+
+
+def both_medians(cleaned: DataFrame) -> DataFrame:
+    """The exact medians of :func:`audit_both`, one row."""
+    return _medians(cleaned, _BOTH_MEDIANS)
+
+
+def audit_parts(
+    cleaned: DataFrame, config: CleanupConfig = CleanupConfig(), labels: Sequence[str] = (),
+    profiled: Sequence[str] = (),
+) -> DataFrame:
+    """Additive audit figures per place and label, a small table from one scan.
+
+    :func:`audit_of_parts` makes the audit of it.  ``total_rows`` counts the rows, so
+    it yields label counts too, and ``_known_*`` the non-null values of ``profiled``
+    columns.
+    """
+    partial, _ = _figures(_both_sides(config), before=True)
+    known = [F.count(c).alias(f"_known_{c}") for c in profiled]
+    return cleaned.groupBy(*_PLACES, *labels).agg(*partial, *known)
+
+
+def audit_of_parts(parts: DataFrame, config: CleanupConfig = CleanupConfig()) -> DataFrame:
+    """The row of :func:`audit_both`, without medians, from :func:`audit_parts`."""
+    _, final = _figures(_both_sides(config), before=True)
+    return parts.agg(*final, *_distinct())
 
 
 def before_after(cleaned: DataFrame, config: CleanupConfig = CleanupConfig()) -> DataFrame:
     """Two rows, VORHER and NACHHER, comparing raw and cleaned values (one scan)."""
-    both = audit_both(cleaned, config)
+    return before_after_of(_audit(cleaned, _both_sides(config)))
+
+
+def before_after_of(both: DataFrame) -> DataFrame:
+    """The same from the row of :func:`audit_both`."""
     fields = ["null_pm25", "null_aqi", "negative_pm25", "extreme_aqi",
               "avg_pm25", "min_pm25", "max_pm25", "min_aqi", "max_aqi"]
 
@@ -267,11 +328,16 @@ def _kind(field: str) -> str:
 
 def cleanup_success(cleaned: DataFrame, config: CleanupConfig = CleanupConfig()) -> DataFrame:
     """Problems found, fixed and left, success rate and verdict, one row."""
+    return cleanup_success_of(_audit(cleaned, _both_sides(config)))
+
+
+def cleanup_success_of(both: DataFrame) -> DataFrame:
+    """The same from the row of :func:`audit_both`."""
 
     def total(prefix: str) -> Column:
         return reduce(add, [F.col(f"{prefix}{c}") for c in ("null_aqi", "negative_pm25", "extreme_aqi")])
 
-    counted = audit_both(cleaned, config).select(
+    counted = both.select(
         total("before_").alias("problems_identified"), total("after_").alias("problems_remaining")
     )
     fixed = F.col("problems_identified") - F.col("problems_remaining")
@@ -328,11 +394,12 @@ def problem_examples(
     """Up to ``example_limit`` pseudo-random rows per problem class.
 
     A row is repeated once per class it falls into and gets a draw, which depends
-    on ``seed`` and the row only, so a retried task draws the same rows.  The
-    rows with the lowest draws are the sample.  A first pass counts draws in 256
-    ranges and yields the range each class needs to reach; only the rows up to
-    there are ranked, and none of a large class has to be sorted whole.
-    ``portable`` draws by MD5, which other engines can repeat.
+    on ``seed`` and all its columns, so a retried task draws the same rows and rows
+    that only look alike are drawn apart.  The rows with the lowest draws are the
+    sample.  A first pass counts draws in 65,536 ranges and yields the range each
+    class needs to reach; only the rows up to there are ranked, and none of a large
+    class has to be sorted whole.
+    ``portable`` draws by MD5 of the shown columns, which other engines can repeat.
     """
     classes = problem_classes(config)
     shown = list(dict.fromkeys(c for _, cols in classes.values() for c in cols))
@@ -343,23 +410,27 @@ def problem_examples(
         ).alias(c)
         for c in shown
     ]
-    # Doubles enter the draw as whole millionths, which print alike everywhere.
-    key = [
-        F.floor(F.col(c) * 1e6 + 0.5) if c in ("pm25_raw", "observation_percent") else F.col(c)
-        for c in shown
-    ]
     tests = [test for test, _ in classes.values()]
-    draw, part = (text_draw, text_range) if portable else (number_draw, number_range)
+    if portable:
+        # Doubles enter the draw as whole millionths, which print alike everywhere.
+        key = [
+            F.floor(F.col(c) * 1e6 + 0.5) if c in ("pm25_raw", "observation_percent") else F.col(c)
+            for c in shown
+        ]
+        draw, part, row = text_draw(F.lit(str(seed)), *key), text_range, F.lit(0)
+    else:
+        draw, part = number_draw(F.lit(str(seed)), number, F.col("_row")), number_range
+        row = F.xxhash64(*[F.col(c) for c in raw.columns])
     drawn = (
         raw.where(reduce(or_, tests))
-        .select(*shown, F.posexplode(F.array(*tests)).alias("_class", "_hit"))
+        .select(*shown, row.alias("_row"), F.posexplode(F.array(*tests)).alias("_class", "_hit"))
         .where("_hit")
-        .select(number, *values)
-        .withColumn("_draw", draw(F.lit(str(seed)), *key))
+        .select(number, "_row", *values)
+        .withColumn("_draw", draw)
         .withColumn("_range", part(F.col("_draw")))
     )
     upto = Window.partitionBy("_class").orderBy("_range")
-    # At most 256 rows per class, and one row per class to broadcast.
+    # At most 65,536 rows per class, and one row per class to broadcast.
     reach = (
         drawn.groupBy("_class", "_range")
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -438,7 +509,11 @@ def data_quality_metrics(cleaned: DataFrame, sigmas: float = 3.0) -> DataFrame:
 
 def cleanup_report(cleaned: DataFrame, config: CleanupConfig = CleanupConfig()) -> DataFrame:
     """Settings and both audits as (section, key, value) rows of text."""
-    row = audit_both(cleaned, config, medians=True)
+    return cleanup_report_of(audit_both(cleaned, config, medians=True), config)
+
+
+def cleanup_report_of(row: DataFrame, config: CleanupConfig = CleanupConfig()) -> DataFrame:
+    """The same from the row of :func:`audit_both` with medians."""
     sides = {f.removeprefix("before_"): f for f in row.columns if f.startswith("before_")}
 
     def entry(section: str, key: str, value: Column) -> Column:

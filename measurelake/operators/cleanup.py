@@ -107,22 +107,26 @@ def originals(cleaned: DataFrame) -> DataFrame:
     )
 
 
-def share_by(df: DataFrame, label: str, digits: int = 2) -> DataFrame:
+def share_by(
+    df: DataFrame, label: str, digits: int = 2, rows: str | None = None
+) -> DataFrame:
     """Rows and percent of all rows per value of a label column.
 
-    The total is a window over the already counted labels, a handful of rows.
+    ``rows`` names a column that says how many rows a row stands for.  The total
+    is a window over the already counted labels, a handful of rows.
     """
-    counted = df.groupBy(label).agg(F.count(F.lit(1)).alias("count"))
+    number = F.sum(rows) if rows else F.count(F.lit(1))
+    counted = df.groupBy(label).agg(number.alias("count"))
     total = F.sum("count").over(Window.partitionBy())
     return counted.withColumn("percent", percent_of(F.col("count"), total, digits))
 
 
-def cleanup_summary(cleaned: DataFrame) -> DataFrame:
-    """Rows per cleanup action, most frequent first."""
-    return share_by(cleaned, "cleanup_action").orderBy(F.desc("count"), "cleanup_action")
+def cleanup_summary(cleaned: DataFrame, rows: str | None = None) -> DataFrame:
+    """Rows per cleanup action, most frequent first; ``rows`` as for :func:`share_by`."""
+    return share_by(cleaned, "cleanup_action", rows=rows).orderBy(F.desc("count"), "cleanup_action")
 
 
-def quality_distribution(cleaned: DataFrame) -> DataFrame:
-    """Rows per quality flag, best first."""
+def quality_distribution(cleaned: DataFrame, rows: str | None = None) -> DataFrame:
+    """Rows per quality flag, best first; ``rows`` as for :func:`share_by`."""
     rank = F.array_position(F.array(*[F.lit(q) for q in QUALITY_ORDER]), F.col("data_quality_flag"))
-    return share_by(cleaned, "data_quality_flag").orderBy(rank)
+    return share_by(cleaned, "data_quality_flag", rows=rows).orderBy(rank)

@@ -141,7 +141,6 @@ def monthly_trends(
         keys,
         "pm25_cleaned",
         {"q1_pm25": 0.25, "median_pm25": 0.5, "q3_pm25": 0.75},
-        few_groups=not by_state,
     )
     quarters = quarters.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -240,9 +242,13 @@ def problem_examples(spark, sf):
 
 @_query
 def problem_example_counts(spark, sf):
-    # The default draw picks other rows, but as many of each class.
-    rows = audit.problem_examples(measurements(spark, sf), CleanupConfig(example_limit=25))
-    return rows.groupBy("problem").agg(F.count(F.lit(1)).alias("rows"))
+    # The default draw picks other rows, but as many of each class; only rows that are
+    # of the class they were drawn for are counted.
+    config = CleanupConfig(example_limit=25)
+    rows = audit.problem_examples(measurements(spark, sf), config)
+    right = [(F.col("problem") == name) & test
+             for name, (test, _) in audit.problem_classes(config).items()]
+    return rows.where(reduce(or_, right)).groupBy("problem").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @_query
@@ -499,14 +505,20 @@ def anomalies_zscore(spark, sf):
 @_query
 def anomalies_zscore_rows(spark, sf):
     rows = _cleaned(spark, sf).select("state_name", "date_local", "pm25_cleaned")
-    flagged = anomalies.detect_anomalies(rows, "pm25_cleaned", "zscore", 3.0, ["state_name"])
+    flagged = anomalies.detect_anomalies(
+        rows, "pm25_cleaned", "zscore", 3.0, ["state_name"],
+        settled=writers.working_path(spark, "limits"),
+    )
     return _rounded(flagged.where("is_anomaly"))
 
 
 @_query
 def anomalies_iqr(spark, sf):
     rows = _cleaned(spark, sf).select("state_name", "date_local", "pm25_cleaned")
-    flagged = anomalies.detect_anomalies(rows, "pm25_cleaned", "iqr", 1.5, ["state_name"])
+    flagged = anomalies.detect_anomalies(
+        rows, "pm25_cleaned", "iqr", 1.5, ["state_name"],
+        settled=writers.working_path(spark, "limits"),
+    )
     return flagged.where("is_anomaly")
 
 

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from measurelake.model import CleanupConfig, ColumnMap
 from measurelake.operators import audit, cleanup
@@ -18,11 +19,16 @@ _PROFILED = (
 
 @dataclass
 class CleanupRun:
-    """Results of a run; every frame is lazy."""
+    """Results of a run.  Figures read small tables; ``cleaned``, ``raw`` and ``examples`` are lazy.
+
+    ``working`` names the folders next to the target that hold these tables; they
+    belong to the caller.
+    """
 
     raw: DataFrame
     cleaned: DataFrame
     paths: dict[str, str] = field(default_factory=dict)
+    working: dict[str, str] = field(default_factory=dict)
     schema: DataFrame | None = None
     examples: DataFrame | None = None
     summary: DataFrame | None = None
@@ -44,37 +50,56 @@ def run_cleanup(
 ) -> CleanupRun:
     """Clean the table at ``source`` and write ``<target>_cleaned.*`` and a report.
 
-    A Parquet export with tracking columns holds originals and cleaned values,
-    so everything after it (validation, summaries, examples, report) reads that
-    file: the source is scanned once.  Nothing is cached, so a lost executor
-    costs re-reading its splits only.
+    The source is scanned once.  Everything after that reads a Parquet table of
+    originals and cleaned values: the export, or ``<target>_tracking.parquet``
+    where the export lacks the originals or is CSV only.  Audit figures, label counts
+    and the profile come from one pass over it (``<target>_audit_parts.parquet``),
+    exact medians from a second one; the audit row (``<target>_audit.parquet``) then
+    yields comparison, success and report.  Only the examples read it again, twice.
+    Nothing is cached, so a lost executor costs re-reading its splits only.
     """
     columns = columns or ColumnMap()
-    raw = readers.read_first_available(spark, [source], columns)
-    cleaned = cleanup.clean(raw, config)
-    paths = writers.export_cleaned(cleaned, target, config, columns, by_month, mode)
+    cleaned = cleanup.clean(readers.read_first_available(spark, [source], columns), config)
+    working: dict[str, str] = {}
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        working[name] = writers.write_parquet(df, f"{target}_{name}.parquet", mode=mode)
+        return spark.read.schema(df.schema).parquet(working[name])
 
-    checked = cleaned
-    if "parquet" in paths and config.include_cleanup_flags:
+    if config.include_cleanup_flags and config.export_format in ("parquet", "both"):
+        paths = writers.export_cleaned(cleaned, target, config, columns, by_month, mode)
         checked = readers.read_parquet(spark, paths["parquet"], columns)
-        raw = cleanup.originals(checked)
+    else:
+        checked = kept(cleaned, "tracking")
+        paths = writers.export_cleaned(checked, target, config, columns, by_month, mode)
+    raw = cleanup.originals(checked)
+
+    labels = ("cleanup_action", "data_quality_flag")
+    profiled = [c for c in _PROFILED if c in checked.columns] + ["pm25_original", "aqi_original"]
+    parts = kept(audit.audit_parts(checked, config, labels, profiled), "audit_parts")
+    both = audit.audit_of_parts(parts, config).crossJoin(  # one row each
+        F.broadcast(audit.both_medians(checked)))
+    both = kept(both, "audit")
 
     run = CleanupRun(
         raw=raw,
         cleaned=checked,
         paths=paths,
-        summary=cleanup.cleanup_summary(checked),
-        quality=cleanup.quality_distribution(checked),
-        audit=audit.audit_both(checked, config, medians=True),
-        comparison=audit.before_after(checked, config),
-        success=audit.cleanup_success(checked, config),
+        working=working,
+        summary=cleanup.cleanup_summary(parts, "total_rows"),
+        quality=cleanup.quality_distribution(parts, "total_rows"),
+        audit=both,
+        comparison=audit.before_after_of(both),
+        success=audit.cleanup_success_of(both),
         sizes={name: writers.output_size(spark, path) for name, path in paths.items()},
     )
     if config.show_examples:
         run.examples = audit.problem_examples(raw, config)
     if config.verbose:
-        run.schema = readers.schema_profile(raw, [c for c in _PROFILED if c in raw.columns])
-        report = audit.cleanup_report(checked, config)
+        counts = parts.withColumnsRenamed(
+            {f"_known_{m}_original": f"_known_{m}_raw" for m in ("pm25", "aqi")})
+        run.schema = readers.schema_profile(raw, [c for c in _PROFILED if c in raw.columns], counts)
+        report = audit.cleanup_report_of(both, config)
         run.paths["report"] = writers.write_report(report, f"{target}_cleanup_report", mode)
     checked.createOrReplaceTempView("cleaned_data")
     return run

@@ -70,18 +70,28 @@ def read_first_available(
     raise FileNotFoundError(f"none of these exist: {', '.join(paths)}")
 
 
-def schema_profile(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+def schema_profile(
+    df: DataFrame, names: Sequence[str] | None = None, counts: DataFrame | None = None
+) -> DataFrame:
     """One row per column of interest: its declared type and its non-null rows.
 
     The type is taken from the rows (``typeof``), so a view whose declared and
-    produced types differ would show here.
+    produced types differ would show here.  ``counts`` are numbers of non-null rows
+    found before, as columns ``_known_<name>`` to sum up; types are then those
+    declared and ``df`` is not read.
     """
     names = list(names or df.columns)
     declared = dict(df.dtypes)
-    counted = df.agg(
-        *[F.max(F.typeof(F.col(c))).alias(f"t_{c}") for c in names],
-        *[F.count(F.col(c)).alias(f"n_{c}") for c in names],
-    )
+    if counts is None:
+        counted = df.agg(
+            *[F.max(F.typeof(F.col(c))).alias(f"t_{c}") for c in names],
+            *[F.count(F.col(c)).alias(f"n_{c}") for c in names],
+        )
+    else:
+        counted = counts.agg(
+            *[F.lit(None).cast("string").alias(f"t_{c}") for c in names],
+            *[F.coalesce(F.sum(f"_known_{c}"), F.lit(0)).alias(f"n_{c}") for c in names],
+        )
     rows = F.array(
         *[
             F.struct(

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from measurelake.functions import scalar
+from measurelake.functions import quantiles
 from measurelake.functions.quantiles import exact_quantiles
 
 
@@ -84,12 +85,11 @@ def samples():
     }
 
 
-@pytest.mark.parametrize("few_groups", [True, False])
-def test_quantiles_equal_numpy(spark, few_groups):
+def test_quantiles_equal_numpy(spark):
     groups = samples()
     rows = [(k, v) for k, vs in groups.items() for v in [*vs, None]]
     df = spark.createDataFrame(rows, "k string, v double").repartition(5)
-    got = exact_quantiles(df, ["k"], "v", PROBABILITIES, few_groups).collect()
+    got = exact_quantiles(df, ["k"], "v", PROBABILITIES).collect()
     assert {r.k for r in got} == set(groups)
     for r in got:
         for name, p in PROBABILITIES.items():
@@ -109,3 +109,24 @@ def test_quantiles_without_keys_and_without_values(spark):
     empty = exact_quantiles(df.where("v < 0"), [], "v", {"m": 0.5}).collect()
     assert [r.m for r in empty] == [None]
     assert exact_quantiles(df.where("v < 0").withColumn("k", F.lit(1)), ["k"], "v", {"m": 0.5}).count() == 0
+
+
+@pytest.mark.parametrize("low, width", [(1e6, 500.0), (0.0, 0.0006), (-1e6, 1.0)])
+def test_close_values_do_not_crowd_a_cell(spark, low, width):
+    n = 20_000
+    df = spark.range(n).select((F.lit(low) + F.col("id") * F.lit(width / n)).alias("v"))
+    bounds = df.agg(F.min("v").alias("_low"), F.max("v").alias("_high"))
+    cells = df.withColumn("c", quantiles._cell(F.col("v")))
+    most = cells.crossJoin(bounds).groupBy("c", quantiles._part(F.col("v"))).count().agg(F.max("count"))
+    assert most.first()[0] <= 4
+    values = np.array([r.v for r in df.collect()])
+    got = exact_quantiles(df, [], "v", PROBABILITIES).first()
+    for name, p in PROBABILITIES.items():
+        assert got[name] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-15)
+
+
+def test_cells_follow_the_order_of_values(spark):
+    values = [float("-inf"), -1e300, -2.0, -1e-9, -5e-324, 0.0, 5e-324, 1e-300, 0.5, 1e300, float("inf"), float("nan")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    cells = [r.c for r in df.select("i", quantiles._cell(F.col("v")).alias("c")).orderBy("i").collect()]
+    assert cells == sorted(cells) and len(set(cells)) == len(cells)

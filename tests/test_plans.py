@@ -94,15 +94,63 @@ def test_large_table_is_never_the_broadcast_side(spark):
     assert text.count("BuildRight") == 3 and "BuildLeft" not in text
 
 
-def test_flags_do_not_shuffle_the_rows(table):
+def jobs(spark):
+    return set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+
+
+def test_flags_do_not_shuffle_the_rows(spark, table, tmp_path):
     rows = cleanup.clean(table).select("state_name", "pm25_cleaned")
     for method in ("zscore", "iqr"):
-        text = plan(anomalies.detect_anomalies(rows, "pm25_cleaned", method, keys=["state_name"]))
+        limits = anomalies.anomaly_limits(rows, "pm25_cleaned", method, ["state_name"])
+        settled = anomalies.settle_limits(limits, str(tmp_path / method))
+        before = jobs(spark)
+        flagged = anomalies.flags(rows, settled, "pm25_cleaned", method, 3.0, ["state_name"])
+        whole = anomalies.detect_anomalies(rows, "pm25_cleaned", method, keys=["state_name"])
+        assert jobs(spark) == before  # lazy
+        text = plan(flagged)
         assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
-
-
-def test_few_groups_do_not_shuffle_the_counts_again(table):
-    text = plan(summary.monthly_trends(cleanup.clean(table), FilterState.everything()))
-    assert "SortMergeJoin [_cell" not in text
-    by_cell = [line for line in text.splitlines() if "BroadcastHashJoin" in line and "_k_cell" in line]
-    assert by_cell
+        assert whole.where("is_anomaly").count() == flagged.where("is_anomaly").count()
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        anomalies.settle_limits(limits, str(tmp_path / "iqr"))
+
+
+def test_many_limits_split_a_hot_group(spark, tmp_path):
+    # A third of the rows are of one group, and too many groups to broadcast.
+    key = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k")
+    rows = spark.range(0, 600_000, 1, 8).select(key, F.col("id").cast("double").alias("v"), F.lit("x" * 50).alias("p"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+                "spark.sql.shuffle.partitions": "8"}
+    old = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        flagged = anomalies.detect_anomalies(rows, "v", "zscore", 3.0, ["k"], str(tmp_path / "limits"))
+        assert "skew=true" in plan(flagged, run=True)
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+
+
+def test_quantile_cells_are_broadcast_only_without_keys(spark, table):
+    done = cleanup.clean(table)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        text = plan(summary.monthly_trends(done, FilterState.everything()), run=True)
+        assert "BroadcastHashJoin" not in text and "SortMergeJoin" in text
+        assert "BroadcastHashJoin" in plan(summary.kpi_metrics(done))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # At run time the true size of the cells decides.
+    assert "BroadcastHashJoin" in plan(summary.monthly_trends(done, FilterState.everything()), run=True)
+
+
+def test_counts_without_places_do_not_shuffle_by_place(table):
+    done = cleanup.clean(table)
+    for df in (audit.before_after(done), audit.cleanup_success(done), audit.quality_audit_pct(table),
+               audit.quality_audit(table, approximate=True), audit.audit_both(done, approximate=True)):
+        text = plan(df, run=True)
+        assert "hashpartitioning" not in text and scans(text) == 1

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import by
 from measurelake.model import CLEANED_SCHEMA, RAW_SCHEMA, CleanupConfig, ColumnMap, FilterState
-from measurelake.operators import cleanup, filters
+from measurelake.operators import audit, cleanup, filters
 from measurelake.plans import pipeline
 from measurelake.sources import readers, writers
 
@@ -129,8 +129,9 @@ def test_pipeline(spark, csv, tmp_path):
     lines = [r.value for r in spark.read.text(run.paths["report"]).collect()]
     assert "STATISTICS BEFORE  total_rows: 3" in lines and "CONFIGURATION  aqi_max: 500" in lines
     assert run.sizes["csv"].collect()[0].size_mb > 0
-    # Validation reads the export, not the source.
-    assert "_cleaned.parquet" in run.success._jdf.queryExecution().executedPlan().toString()
+    # Validation reads the audit of the export, not the source.
+    assert all("_cleaned.parquet" in f for f in run.cleaned.inputFiles())
+    assert "_audit.parquet" in run.success._jdf.queryExecution().executedPlan().toString()
 
 
 def test_quick_run_without_tracking(spark, csv, tmp_path):
@@ -141,6 +142,41 @@ def test_quick_run_without_tracking(spark, csv, tmp_path):
     assert slim.success.collect()[0].problems_identified == 3
 
 
+@pytest.mark.parametrize("tracking", [True, False])
+@pytest.mark.parametrize("export_format", ["parquet", "csv", "both"])
+def test_run_reads_its_source_once(spark, csv, tmp_path, export_format, tracking):
+    config = CleanupConfig(export_format=export_format, include_cleanup_flags=tracking, example_limit=2)
+    run = pipeline.run_cleanup(spark, csv, str(tmp_path / "run"), config)
+    wanted = {"parquet", "csv"} if export_format == "both" else {export_format}
+    assert set(run.paths) == {*wanted, "report"}
+
+    def scanned(df):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        return text.split("Initial Plan")[0].count("FileScan")
+
+    # Whatever is read later: small tables for the figures, the tracking table for examples.
+    for df in (run.audit, run.comparison, run.success, run.summary, run.quality, run.schema):
+        files = df.inputFiles()
+        assert files and all("_audit" in f for f in files) and scanned(df) == 1
+    assert scanned(run.examples) == 2 and not any(f.endswith(".csv") for f in run.examples.inputFiles())
+    assert scanned(audit.audit_parts(run.cleaned, config)) == 1
+    run_medians = audit.both_medians(run.cleaned)
+    run_medians.collect()
+    assert scanned(run_medians) <= 1  # none is shown where the stage that read was replaced
+    inputs = run.cleaned.inputFiles()
+    assert all(("_cleaned.parquet" if "tracking" not in run.working else "_tracking.parquet") in f for f in inputs)
+
+    # The same figures as computed from the source.
+    done = cleanup.clean(readers.read_csv(spark, csv), config)
+    assert run.audit.collect() == audit.audit_both(done, config, medians=True).collect()
+    assert run.comparison.collect() == audit.before_after(done, config).collect()
+    assert run.success.collect() == audit.cleanup_success(done, config).collect()
+    assert run.summary.collect() == cleanup.cleanup_summary(done).collect()
+    assert run.quality.collect() == cleanup.quality_distribution(done).collect()
+    profile = readers.schema_profile(cleanup.originals(done), [r.column_name for r in run.schema.collect()])
+    assert run.schema.collect() == profile.collect()
+
+
 def test_working_path_uses_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     assert writers.working_path(spark, "x").startswith(shared)
