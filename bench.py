@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -38,6 +39,8 @@ HEADLINE = [
     "weekday_analysis",
     "good_air_streaks",
     "zscore_anomalies",
+    "anomalies_zscore_rows",
+    "anomalies_iqr",
     "site_analysis",
     "forecast_history",
     "linreg_forecast",
@@ -60,7 +63,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
-    spark = local_session(cpus, "bench")
+    spark = local_session(cpus, "bench", spark__checkpoint__dir=tempfile.mkdtemp(prefix="bench-"))
     spark.sparkContext.setLogLevel("ERROR")
     queries = catalog.all_queries()
 

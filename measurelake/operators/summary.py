@@ -26,6 +26,7 @@ from measurelake.functions.scalar import (
     year_month,
 )
 from measurelake.model import FilterState
+from measurelake.operators.anomalies import detect_anomalies
 from measurelake.operators.cleanup import share_by
 from measurelake.operators.filters import apply_filter
 
@@ -100,6 +101,9 @@ def kpi_metrics(cleaned: DataFrame, aqi_max: int = 500) -> DataFrame:
     return row.crossJoin(F.broadcast(median))
 
 
+MONTH_SCORE = 2.5  # z-score from which a month is anomalous
+
+
 def monthly_trends(
     cleaned: DataFrame,
     selection: FilterState = FilterState(),
@@ -109,7 +113,8 @@ def monthly_trends(
     """Monthly means, exact quartiles, spread and unhealthy readings.
 
     Grouped by state too in comparison mode (or with ``by_state``).  Quartiles
-    need a second scan; leave them out where only the means are used.
+    need a second scan; leave them out where only the means are used.  With
+    ``show_anomalies`` months (of each state) have the z-score flags of their means.
     """
     by_state = selection.comparison_mode if by_state is None else by_state
     # Grouped by the first of the month, a number, and labelled when few rows are left.
@@ -128,6 +133,8 @@ def monthly_trends(
     order = [F.asc_nulls_last(k) for k in keys]
 
     def ordered(df: DataFrame) -> DataFrame:
+        if selection.show_anomalies:
+            df = detect_anomalies(df, "avg_pm25", "zscore", MONTH_SCORE, states)
         return df.orderBy(*order) if by_state else _sort_few(df, *order)
 
     if not quartiles:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from measurelake.functions import scalar
 from measurelake.model import CleanupConfig, ColumnMap, FilterState
 from measurelake.operators import anomalies, audit, cleanup, filters, forecast, series, summary
+from measurelake.plans.pipeline import run_cleanup
 from measurelake.sources import readers, writers
 from measurelake.sources.fixture import event_readings, measurements
 
@@ -138,6 +139,64 @@ def cleanup_report(spark, sf):
     return audit.cleanup_report(_cleaned(spark, sf))
 
 
+def _stored_measurements(spark: SparkSession, sf: str) -> str:
+    """The measurements as a published Parquet table, under the published column names."""
+    raw = ColumnMap().to_source(measurements(spark, sf))
+    return writers.write_parquet(raw, writers.working_path(spark, "published"))
+
+
+@_query
+def src_first_available(spark, sf):
+    """The first of several paths that exists is opened."""
+    target = writers.working_path(spark, "export")
+    paths = writers.export_cleaned(_cleaned(spark, sf), target)
+    return readers.read_first_available(spark, [f"{target}_missing.parquet", paths["parquet"]])
+
+
+@_query
+def run_cleaned_view(spark, sf):
+    """What a cleanup run leaves behind as a view, queried in SQL."""
+    config = CleanupConfig(show_examples=False, verbose=False)
+    run_cleanup(spark, _stored_measurements(spark, sf), writers.working_path(spark, "run"), config)
+    return spark.sql(
+        "SELECT state_name, cleanup_action, COUNT(*) AS rows FROM cleaned_data "
+        "GROUP BY state_name, cleanup_action")
+
+
+@_query
+def run_report_lines(spark, sf):
+    """The report that a cleanup run writes, line by line."""
+    config = CleanupConfig(show_examples=False)
+    run = run_cleanup(
+        spark, _stored_measurements(spark, sf), writers.working_path(spark, "run"), config)
+    return spark.read.text(run.paths["report"]).withColumnRenamed("value", "line")
+
+
+@_query
+def sink_both_formats(spark, sf):
+    """Rows of one export in both formats, by format, state and action."""
+    paths = writers.export_cleaned(
+        _cleaned(spark, sf), writers.working_path(spark, "export"), CleanupConfig(export_format="both"))
+    read = {"parquet": readers.read_parquet, "csv": readers.read_csv}
+    both = [read[name](spark, path).withColumn("format", F.lit(name)) for name, path in paths.items()]
+    return reduce(DataFrame.unionByName, both).groupBy("format", "state_name", "cleanup_action").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("aqi_cleaned").alias("sum_aqi"),
+        F.count("site_name").alias("named_sites"),
+    )
+
+
+@_query
+def sink_output_size(spark, sf):
+    """Whether each format of an export has files, and bytes in them."""
+    paths = writers.export_cleaned(
+        _cleaned(spark, sf), writers.working_path(spark, "export"), CleanupConfig(export_format="both"))
+    sizes = [writers.output_size(spark, path).select(
+        F.lit(name).alias("format"), (F.col("files") > 0).alias("has_files"),
+        (F.col("size_mb") > 0).alias("has_bytes")) for name, path in paths.items()]
+    return reduce(DataFrame.union, sizes)
+
+
 # -- filters and rows --------------------------------------------------------
 
 

@@ -508,6 +508,20 @@ def all_sql() -> dict[str, str]:
         "export_projection": _on(
             f"SELECT {_CARRIED}, pm25_cleaned AS pm25_raw, aqi_cleaned AS aqi_raw FROM cleaned"),
         "cleanup_report": _report(),
+        "src_first_available": _on(f"SELECT {_ALL} FROM cleaned"),
+        "run_cleaned_view": _on(
+            "SELECT state_name, cleanup_action, COUNT(*) AS rows FROM cleaned "
+            "GROUP BY state_name, cleanup_action"),
+        "run_report_lines": (
+            "SELECT section || '  ' || key || ': ' || COALESCE(CASE WHEN section = 'CONFIGURATION' "
+            f"AND key = 'show_examples' THEN 'False' ELSE value END, '') AS line FROM ({_report()})"),
+        "sink_both_formats": _on(
+            "SELECT format, state_name, cleanup_action, COUNT(*) AS rows, SUM(aqi_cleaned) AS sum_aqi, "
+            "COUNT(site_name) AS named_sites FROM cleaned, "
+            "(SELECT UNNEST(['parquet', 'csv']) AS format) GROUP BY format, state_name, cleanup_action"),
+        "sink_output_size": (
+            "SELECT UNNEST(['parquet', 'csv']) AS format, TRUE AS has_files, "
+            "(SELECT COUNT(*) > 0 FROM lineitem) AS has_bytes"),
         # filters and rows
         "filter_measurements": _on(
             f"SELECT {_ALL} FROM cleaned WHERE {_SELECTED} AND pm25_cleaned > 20"),

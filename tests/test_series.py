@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date, timedelta
 
 import numpy as np
@@ -136,6 +137,15 @@ def test_flags(spark):
         anomalies.detect_anomalies(df, "v", "magic")
 
 
+def test_months_with_anomalies(cleaned):
+    df = cleaned(*[{"date_local": date(2023 + i // 12, i % 12 + 1, 3), "pm25_cleaned": 50.0 if i == 7 else 10.0}
+                   for i in range(20)])
+    plain = FilterState.everything()
+    flagged = summary.monthly_trends(df, replace(plain, show_anomalies=True), quartiles=False).collect()
+    assert [r.month for r in flagged if r.is_anomaly] == ["2023-08"]
+    assert "is_anomaly" not in summary.monthly_trends(df, plain).columns
+
+
 def test_trend_direction(spark):
     rows = [("up", i, 10.0 + i) for i in range(5)] + [("down", i, 10.0 - i) for i in range(5)]
     rows += [("flat", i, 10.0) for i in range(5)] + [("one", 0, 3.0), ("nil", 0, -1.0), ("nil", 1, 1.0)]

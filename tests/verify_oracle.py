@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -60,7 +61,7 @@ def main() -> int:
 
     sf_dir = f"/root/testdata/sf{sys.argv[1] if len(sys.argv) > 1 else '0.01'}"
     only = sys.argv[2:]
-    spark = local_session(8)
+    spark = local_session(8, spark__checkpoint__dir=tempfile.mkdtemp(prefix="verify-"))
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     sql = oracle_sql()
