@@ -85,3 +85,8 @@ def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_target_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"), exact=True)

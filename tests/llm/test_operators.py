@@ -366,6 +366,25 @@ def test_mixture_of_odd_rows(docs, empty):
     assert mixing.mixture(empty).count() == 0
 
 
+def test_exact_mix_draws_the_target_shares(spark):
+    # "es" has about 3 % of the tokens and is to have 20 %: more than twice its weight at rate 0.5.
+    rows = [(i, f"s{i % 3}" if i % 50 else "s2", "es" if i % 33 == 0 else "fr" if i % 14 == 0 else
+             "de" if i % 5 == 0 else "en", "word " * (5 + i % 7)) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    got = mixing.mixture(df, exact=True).toPandas()
+    kept = got[got.kept]
+    assert got.probability.max() <= 1 and kept.n_tokens.sum() > 0.08 * got.n_tokens.sum()
+    for dim, want in (("lang", {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}), ("source", dict.fromkeys(["s0", "s1", "s2"], 1 / 3))):
+        asked = (got.n_tokens * got.probability).groupby(got[dim]).sum() / (got.n_tokens * got.probability).sum()
+        drawn = kept.groupby(dim).n_tokens.sum() / kept.n_tokens.sum()
+        for category, share in want.items():
+            assert abs(asked[category] - share) < 1e-3
+            assert abs(drawn[category] - share) < 0.03
+    ids = {r.doc_id for r in mixing.sampled(df, exact=True).collect()}
+    assert ids == set(kept.doc_id)
+    assert mixing.mixture(df.where("false"), exact=True).count() == 0
+
+
 def test_secrets_on_held_out_findings(spark, empty):
     rng = random.Random(8)
     rows, truth = [], {}
