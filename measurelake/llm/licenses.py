@@ -1,9 +1,9 @@
 """Licence scan by sentence rules.
 
-Texts are cut into sentences, sentences are normalised and mapped to the numbers
-of known licence sentences, and the sequence of numbers is matched against
-licence rules: ordered sentences that stand next to each other once other text
-is left out.
+Texts are normalised to lower-case words, so that line breaks, indentation, comment
+marks and punctuation do not matter; known licence sentences are found in them
+wherever they stand, and the sequence of their numbers is matched against licence
+rules: ordered sentences that stand next to each other once other text is left out.
 """
 
 from __future__ import annotations
@@ -64,27 +64,74 @@ RULES = (
     ("BSD-2-Clause", ("Bsd", "BsdSource", "BsdBinary")),
 )
 
-#: what ends a sentence: marks before a blank, or a line break
-BREAK = "[.!?:;]+[ \\t\\r]|\\n"
-#: what a normalised sentence has one blank for
+_SAID = ("licensed under", "released under", "distributed under", "available under", "under the terms of")
+_GPL3 = ("the gnu general public license version 3", "the gnu general public license v3", "the gnu gpl version 3",
+         "the gnu gpl v3", "the gpl version 3", "the gpl v3", "gpl v3", "gplv3")
+_LATER = ("or later", "or any later version", "or at your option any later version")
+_CC = "creative commons attribution"
+
+
+def _under(*names: str) -> tuple[str, ...]:
+    return tuple(f"{said} {name}" for said in _SAID for name in names)
+
+
+# Other wordings of the sentences, and sentences of further rules.
+VARIANTS = {
+    "ApacheRef": (*_under("the apache license version 2 0", "the apache license 2 0", "apache license 2 0",
+                          "apache license version 2 0", "the apache 2 0 license", "apache 2 0"),
+                  "spdx license identifier apache 2 0"),
+    "ApacheCopy": ("you may obtain a copy of the license at https www apache org licenses license 2 0",),
+    "MitRef": (*_under("the mit license", "mit license", "an mit license"), "spdx license identifier mit"),
+    "MitWarranty": (SENTENCES["MitWarranty"].replace("noninfringement", "non infringement"),),
+    "Gpl3Ref": (*_under(*_GPL3), "spdx license identifier gpl 3 0 only"),
+    "Gpl3LaterRef": (*(f"{ref} {later}" for ref in (SENTENCES["Gpl3Ref"], *_under(*_GPL3)) for later in _LATER),
+                     "spdx license identifier gpl 3 0 or later"),
+    "CcByNcRef": _under("the cc by nc 4 0", f"a {_CC} noncommercial 4 0", f"the {_CC} noncommercial 4 0",
+                        f"a {_CC} non commercial 4 0"),
+    "CcByRef": _under("the cc by 4 0", f"a {_CC} 4 0", f"the {_CC} 4 0"),
+    "CcBySaRef": _under("the cc by sa 4 0", f"a {_CC} sharealike 4 0", f"the {_CC} sharealike 4 0",
+                        f"a {_CC} share alike 4 0"),
+    "BsdNames": ("names of its contributors may be used to endorse or promote products derived from this "
+                 "software without specific prior written permission",),
+}
+MORE_RULES = (
+    ("GPL-3.0-or-later", ("Gpl3LaterRef",)),
+    ("BSD-3-Clause", ("Bsd", "BsdSource", "BsdBinary", "BsdNames")),
+)
+
+#: words that mark a line as a comment
+REMARK = "(?m)^[ \\t]*(?:rem|dnl)(?=[ \\t])"
+#: what a normalised text has one blank for
 OTHER = "[^a-z0-9]+"
+#: what makes a sentence say the opposite
+NEGATED = ("\\bnot", "\\bnever", "n t", "\\bnot be", "\\bnot been", "\\bno longer")
+
+
+def _known() -> dict[str, str]:
+    """Identifiers by normalised sentence; the given wordings win."""
+    return {v: name for name, said in VARIANTS.items() for v in said} | {v: k for k, v in SENTENCES.items()}
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order; of no text, none."""
-    known = F.create_map(*[F.lit(x) for name, said in SENTENCES.items() for x in (said, name)])
-    sentences = F.split(F.lower(F.coalesce(text, F.lit(""))), BREAK)
-    # Most sentences are no licence's; the cheap test leaves few to normalise.
-    likely = F.filter(sentences, lambda s: s.rlike("licen|permi|distribut|softw"))
-    normal = F.transform(likely, lambda s: F.trim(F.regexp_replace(s, OTHER, " ")))
-    return F.filter(F.transform(normal, lambda s: F.element_at(known, s)), lambda i: i.isNotNull())
+    known = _known()
+    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    # At one place the longest sentence wins.
+    said = "|".join(sorted(known, key=lambda k: (-len(k), k)))
+    pattern = "".join(f"(?<!{n} )" for n in NEGATED) + f"\\b(?:{said})\\b"
+    low = F.lower(F.coalesce(text, F.lit("")))
+    # Most texts have no licence; the cheap test leaves few to normalise.
+    normal = F.when(low.rlike("licen|permi|distribut|softw"),
+                    F.regexp_replace(F.regexp_replace(low, REMARK, " "), OTHER, " ")).otherwise(F.lit(""))
+    return F.transform(F.regexp_extract_all(normal, F.lit(pattern), F.lit(0)), lambda s: F.element_at(names, s))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_sentences, sentence_ids and licenses of each row of ``docs``.
 
     ``sentence_ids`` are joined by blanks, in order of the text; ``licenses`` are
-    those whose rule occurs, joined by commas, in order of the rules.  Texts
+    those whose rule occurs, joined by commas, in order of the rules; a two-clause
+    rule that goes on to the third clause counts as that only.  Texts
     without licence sentences, empty and null ones have empty strings.  Repeated
     rows and null ids are reported as they are; other columns are ignored.
     """
@@ -92,8 +139,12 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col(id_col).cast("long").alias("doc_id"), sentence_ids(F.col(text_col)).alias("ids")
     )
     sequence = F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" "))
+    # Where BSD-3-Clause has been taken out, BSD-2-Clause is left only if it stands by itself.
+    longer = f" {' '.join(MORE_RULES[1][1])} "
     met = [
-        F.when(sequence.contains(f" {' '.join(rule)} "), F.lit(name)) for name, rule in RULES
+        F.when((F.replace(sequence, F.lit(longer), F.lit(" ")) if name == "BSD-2-Clause" else sequence)
+               .contains(f" {' '.join(rule)} "), F.lit(name))
+        for name, rule in (*RULES, *MORE_RULES)
     ]
     return found.select(
         "doc_id", F.size("ids").cast("long").alias("n_sentences"),

@@ -342,6 +342,79 @@ def test_licenses(spark, empty):
     assert licenses.license_scan(empty).count() == 0
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+
+def test_published_notices_wrapped_and_commented(spark):
+    want = {APACHE: "Apache-2.0,Apache-2.0-notice", MIT: "MIT-text", BSD: "BSD-2-Clause", BSD3: "BSD-3-Clause",
+            GPL: "GPL-3.0-or-later"}
+    rows, names = [], []
+    for text, name in want.items():
+        for mark in ("", "# ", " * ", "// ", ";; ", "REM ", "\t"):
+            rows.append((len(rows), "Copyright 2024\n\n" + "".join(f"{mark}{x}\r\n" for x in text.split("\n")) + "\ncode()"))
+            names.append(name)
+    for text, name in (
+            ("This project is licensed under the MIT License, see LICENSE.", "MIT"),
+            ("It is distributed under the Apache License 2.0 by us", "Apache-2.0"),
+            ("// SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0-or-later"),
+            ("licensed under the GNU General Public License, version 3, or (at your option)\nany later version", "GPL-3.0-or-later"),
+            ("Licensed under the GNU GPL v3.", "GPL-3.0"), ("It is not licensed under the MIT License.", ""),
+            ("It isn't released under\nthe MIT License.", ""), (BSD3 + BSD, "BSD-2-Clause,BSD-3-Clause"),
+            ("licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-4.0")):
+        rows.append((len(rows), text))
+        names.append(name)
+    got = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in got:
+        assert r.licenses == names[r.doc_id], (rows[r.doc_id][1], r.sentence_ids)
+
+
 def test_raked_shares_meet_targets(spark):
     cells = spark.createDataFrame(
         [(s, g, t, 10 + 90 * (i == 0) + 7 * j * k) for i, s in enumerate("ab") for j, g in enumerate(("en", "de", "xx"))
