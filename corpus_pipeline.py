@@ -8,15 +8,19 @@ Every stage is written and read again before the next.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from measurelake.llm import line_dedup, mixing, near_dedup, packing, quality
-from measurelake.llm.common import settle, table
+from measurelake.llm.common import keyed, settle, table
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or stand out in the isolation forest go."""
-    judged = quality.quality_rules(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, judged)
+    rows = keyed(docs)
+    judged = quality.quality_rules(
+        rows, table(spark, sf_dir, "labels"), "_row.doc_id", "_row.text", key_col="_key")
+    rejected = judged.where("not kept").select(F.col("row_key").alias("_key"))
+    return rows.join(rejected, "_key", "left_anti").select("_row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +29,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicate documents the one with the smallest id stays."""
-    return _without(docs, near_dedup.near_duplicates(docs))
+    """Of each group of near-duplicate documents the one with the smallest id stays.
+
+    Rows are documents of their own, whatever their ids; null ids come last.
+    """
+    rows = keyed(docs)
+    group = near_dedup.near_duplicates(rows, "_key", "_row.text").select(
+        F.col("doc_id").alias("_of"), "component_id")
+    id_ = F.col("_row.doc_id")
+    first = F.min(F.struct(id_.isNull().alias("none"), id_.alias("id"), "_key"))
+    kept = (rows.join(group, F.col("_key") == F.col("_of")).groupBy("component_id")
+            .agg(first.alias("first")).select("first._key"))
+    return rows.join(kept, "_key", "left_semi").select("_row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +53,6 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs)
 
 
-def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """Documents but those that are not kept, by id."""
-    rejected = judged.where("not kept").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
-
-
 STAGES = [
     ("quality rules", reject_low_quality),
     ("line dedup", drop_repeated_lines),

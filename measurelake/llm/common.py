@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from measurelake.sources.writers import settle, working_path
 
-__all__ = ["blocked", "forest", "hashed_sample", "map_arrow", "map_groups", "run_arrow", "settle",
-           "spans", "table", "working_path"]
+__all__ = ["blocked", "forest", "hashed_sample", "keyed", "map_arrow", "map_groups", "run_arrow",
+           "settle", "spans", "table", "working_path"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(_key, _row): each row of ``docs`` with a key of its own, in a settled table.
+
+    Ids may be null or occur in several rows; what is decided of a row is told
+    to it by its key.
+    """
+    row = F.struct(*docs.columns).alias("_row")
+    return settle(docs.select(F.monotonically_increasing_id().alias("_key"), row), "rows")
+
+
 def run_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` in workers that find this package where the driver has it.
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from measurelake.llm.common import blocked, map_arrow, map_groups, run_arrow, settle
+from measurelake.llm.common import blocked, keyed, map_arrow, map_groups, run_arrow, settle
 from measurelake.llm.components import components
 from measurelake.llm.files import binary
 
@@ -32,7 +32,7 @@ _TRIM = b" \t\r"
 
 def line_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS,
-    least_chars: int = LEAST_CHARS,
+    least_chars: int = LEAST_CHARS, key_col: str | None = None,
 ) -> DataFrame:
     """doc_id, line_no, n_links, class_doc, class_line and kept of every line of every text.
 
@@ -46,25 +46,29 @@ def line_classes(
 
     Null and empty texts have no lines.  Documents with a null id come before all
     others.  Rows repeated with their id have the same lines: of these all, or
-    none, are kept.  Other columns are ignored.
+    none, are kept, unless ``key_col`` names a key of the rows: each is then a document
+    of its own, in order of the keys where ids are equal or null, and the result has
+    its ``row_key``.  Other columns are ignored.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    lines = settle(_lines(base), "lines")
+    keys = [F.col(key_col).alias("row_key")] if key_col else []
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keys, F.col(text_col).alias("text"))
+    of = ["doc_id", "row_key"] if key_col else ["doc_id"]
+    lines = settle(_lines(base, of), "lines")
     links = settle(_links(base, lines, edits, least_chars), "line_links")
     near = components(links.where("b is not null").select("a", "b"))
     counts = links.groupBy("a").agg(F.sum("n").alias("n_links"))
     found = near.join(counts, F.col("node") == F.col("a"), "full").select(
         F.coalesce("node", "a").alias("node"), "component", "n_links")
     told = lines.join(found, F.col("h") == F.col("node"), "left").select(
-        "doc_id", "line_no", F.coalesce("component", "h").alias("h"),
+        *of, "line_no", F.coalesce("component", "h").alias("h"),
         # Lines in no link are told apart by a second hash as well.
         F.when(F.col("component").isNull(), F.col("h2")).otherwise(0).alias("h2"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
     )
-    place = F.struct("doc_id", "line_no")
+    place = F.struct(*of, "line_no")
     first = told.groupBy("h", "h2").agg(F.min(place).alias("first"))
     return told.join(first, ["h", "h2"]).select(
-        "doc_id", "line_no", "n_links", F.col("first.doc_id").alias("class_doc"),
+        *of, "line_no", "n_links", F.col("first.doc_id").alias("class_doc"),
         F.col("first.line_no").alias("class_line"), (place == F.col("first")).alias("kept"),
     )
 
@@ -73,12 +77,12 @@ def _trimmed(line: Column) -> Column:
     return F.trim(line, F.lit(_TRIM.decode()))
 
 
-def _lines(base: DataFrame) -> DataFrame:
+def _lines(base: DataFrame, of: list[str]) -> DataFrame:
     """(doc_id, line_no, h, h2): two 64-bit hashes of each trimmed line."""
-    parts = base.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    parts = base.select(*of, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     line = _trimmed(F.col("line"))
     return parts.where(F.length(line) > 0).select(
-        "doc_id", "line_no", F.xxhash64(line).alias("h"), F.xxhash64(line, F.lit(1)).alias("h2"))
+        *of, "line_no", F.xxhash64(line).alias("h"), F.xxhash64(line, F.lit(1)).alias("h2"))
 
 
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
@@ -327,13 +331,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines that are not the first of their class.
 
     Documents that lose all their lines are left out; those that had none stay as
-    they are.  All columns are kept.
+    they are.  All columns are kept.  Rows are told apart by keys of their own, so
+    ids may be null or equal.
     """
-    classes = line_classes(docs)
-    dropped = classes.where("not kept").groupBy(F.col("doc_id").alias("_doc")).agg(
-        F.collect_set("line_no").alias("_lines"))
-    row = docs.select(F.struct(*docs.columns).alias("_row"))
-    joined = row.join(dropped, F.col("_row.doc_id").eqNullSafe(F.col("_doc")), "left")
+    rows = keyed(docs)
+    classes = line_classes(rows, "_row.doc_id", "_row.text", key_col="_key")
+    dropped = classes.where("not kept").groupBy("row_key").agg(F.collect_set("line_no").alias("_lines"))
+    joined = rows.join(dropped, F.col("_key") == F.col("row_key"), "left")
     left = F.filter(F.split("_row.text", "\n"), lambda line, i: ~F.array_contains("_lines", i))
     out = joined.withColumn(
         "_text", F.when(F.col("_lines").isNull(), F.col("_row.text")).otherwise(F.array_join(left, "\n")))
