@@ -13,9 +13,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternates large-star and small-star steps, which turn every component into
     a star around its smallest node in about log(n) rounds.  Minima are partial
-    aggregates and joins are left to adaptive execution, so a hub is split; each
-    round is written to the shared folder, so a lost executor costs one round.
-    Null ends and loops are left out.
+    aggregates, settled before they are joined: both sides of a join are then plain
+    shuffles, of which adaptive execution splits the part that has a hub.  Each round is
+    written to the shared folder, so a lost executor costs one round.  Null ends and
+    loops are left out.
     """
     links = settle(
         edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
@@ -38,10 +39,10 @@ def _fingerprint(links: DataFrame) -> tuple:
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Hang the larger neighbours of each node on its smallest neighbour, or on itself."""
-    least = (
+    least = settle(
         links.select(F.col("hi").alias("node"), "lo")
         .union(links.select("lo", F.col("lo").alias("least")))
-        .groupBy("node").agg(F.min("lo").alias("least"))
+        .groupBy("node").agg(F.min("lo").alias("least")), "least",
     )
     joined = links.join(least, links["lo"] == least["node"])
     return joined.select("hi", F.col("least").alias("lo")).distinct()
@@ -49,7 +50,7 @@ def _large_star(links: DataFrame) -> DataFrame:
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Hang each node and its smaller neighbours on the smallest of them."""
-    least = links.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("least"))
+    least = settle(links.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("least")), "least")
     joined = links.join(least, links["hi"] == least["node"])
     smaller = joined.where("lo != least").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
     return smaller.union(least.select("node", "least")).distinct()

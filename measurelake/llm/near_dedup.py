@@ -8,24 +8,46 @@ under every chunk with each of its slots left out, the allowed chunk errors.
 At a similarity of 0.75 a pair differs in 32 slots or more with a probability of
 about 1e-5, at 0.8 of below 1e-7.
 
-The pairs only group documents.  Within a group the full shingle sets decide.
+The pairs only group documents.  Within a group the full shingle sets decide, and of
+all their links as many are passed on as it takes to connect what is linked.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from measurelake.llm.common import blocked, forest, map_arrow, map_groups, settle
+from measurelake.llm.common import map_arrow, settle
 from measurelake.llm.components import components
-from measurelake.llm.shingles import shingle_set, signature, similar
+from measurelake.llm.files import binary
+from measurelake.llm.linking import Sketches, candidate_groups, exact_links
+from measurelake.llm.marks import broadcast_marks, mix, rows_of
+from measurelake.llm.shingles import shingle_set, signature
 
 SLOTS, CHUNK = 64, 4
 DISTANCE = 2 * (SLOTS // CHUNK) - 1  # every chunk with two errors would be one more
-BUCKET_BLOCK, GROUP_BLOCK = 512, 256  # rows of one side that a task compares at once
+PIVOT_DISTANCE = 38  # up to which a document joins the group of a pivot with many in its bucket
+
+
+class Signatures(Sketches):
+    """Signatures of 64 slots, near when at most 31 differ."""
+
+    def compared(self, data: list[bytes], sizes: np.ndarray) -> Callable[[int], np.ndarray]:
+        slots = _slots(data)
+        return lambda i: (slots != slots[i]).sum(1, dtype=np.uint8) <= DISTANCE
+
+    def pairs(self, a: list[bytes], b: list[bytes], sizes: np.ndarray, relaxed: np.ndarray) -> np.ndarray:
+        apart = (_slots(a) != _slots(b)).sum(1)
+        return apart <= np.where(relaxed, PIVOT_DISTANCE, DISTANCE)
+
+
+def _slots(data: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(data), np.uint16).reshape(-1, SLOTS)
 
 
 def near_duplicates(
@@ -54,15 +76,16 @@ def near_duplicates(
         .groupBy(*same, "signature").agg(F.min("doc_id").alias("rep")),
         "distinct",
     )
-    groups = components(_close_pairs(distinct))
-    linked = components(_linked(groups, base, percent))
-
-    reps = (
-        distinct.select(*same, "rep")
-        .join(linked, F.col("rep") == F.col("node"), "left")
-        .select(*same, F.coalesce("component", "rep").alias("component"))
-    )
-    found = signed.join(reps, same, "left").select(
+    listed = settle(map_arrow(distinct.select("rep", "n_shingles", "signature"), _keys,
+                              "k long, item long, size long"), "listed")
+    payload = distinct.select(F.col("rep").alias("item"), F.col("n_shingles").alias("size"),
+                              F.col("signature").alias("data"))
+    groups = settle(candidate_groups(listed, payload, Signatures(), percent), "groups")
+    links = exact_links(groups, group_sets(groups, base, shingle_set), percent)
+    named = signed.select("doc_id", "n_shingles", *same[:2]).join(distinct.select(*same, "rep"), same, "left")
+    linked = components(links.union(bridges(named)))
+    found = named.join(linked, F.col("rep") == F.col("node"), "left").withColumn(
+        "component", F.coalesce("component", "rep")).select(
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
     )
@@ -84,13 +107,9 @@ def _sign(rows: pa.Table) -> pa.RecordBatch:
     )
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SLOTS)
-
-
 def _keys(rows: pa.Table) -> pa.RecordBatch:
     """A key for every chunk and every slot left out of it: 48 bits of slots, 6 of place."""
-    slots = _matrix(rows.column("signature")).astype(np.int64)
+    slots = _slots(rows.column("signature").to_pylist()).astype(np.int64)
     keys = np.empty((len(slots), SLOTS), np.int64)
     for place in range(SLOTS):
         chunk = place - place % CHUNK
@@ -98,107 +117,38 @@ def _keys(rows: pa.Table) -> pa.RecordBatch:
         keys[:, place] = (
             place << 48 | slots[:, first] << 32 | slots[:, second] << 16 | slots[:, third]
         )
-    rep = np.repeat(rows.column("rep").to_numpy(), SLOTS)
-    return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(rep)], ["key", "rep"])
+    rest = [np.repeat(rows.column(c).to_numpy(), SLOTS) for c in ("rep", "n_shingles")]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (keys.ravel(), *rest)], ["k", "item", "size"])
 
 
-def _close_pairs(distinct: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all documents whose signatures differ in at most 31 slots.
+def bridges(named: DataFrame) -> DataFrame:
+    """Edges (a, b) between the representatives of rows that share an id: they are one document."""
+    of = named.where("doc_id is not null and rep is not null").groupBy("doc_id").agg(
+        F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)
+    return of.select(F.array_min("reps").alias("a"), F.explode("reps").alias("b")).where("a <> b")
 
-    Not all pairs: of each bucket, or pair of blocks of a large one, a spanning
-    forest of its close pairs.
-    """
-    listed = map_arrow(distinct.select("rep", "signature"), _keys, "key long, rep long")
-    shared = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = listed.join(shared, "key").join(distinct.select("rep", "signature"), "rep")
-    dealt = blocked(members, "rep", "n", BUCKET_BLOCK)
-    keys = ["key", "block_a", "block_b"]
-    return map_groups(
-        dealt.select(*keys, "block_own", "rep", "signature"), keys, _forests, "a long, b long"
-    ).distinct()
-
-
-def _forests(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-    rep, own = rows.column("rep").to_numpy(), rows.column("block_own").to_numpy()
-    slots = _matrix(rows.column("signature"))
-    sizes = np.diff(starts)
-    pair = starts[:-1][sizes == 2]
-    # Groups of two make up most; all at once.
-    near = pair[(slots[pair] != slots[pair + 1]).sum(1) <= DISTANCE]
-    a, b = [rep[near]], [rep[near + 1]]
-    for at, n in zip(starts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-        part = slots[at : at + n]
-        apart = np.empty((n, n), np.uint8)
-        for i in range(0, n, 64):
-            apart[i : i + 64] = (part[i : i + 64, None] != part[None]).sum(2, dtype=np.uint8)
-        linked = apart <= DISTANCE
-        side = own[at : at + n]
-        if side.min() != side.max():  # pairs within a block are compared elsewhere
-            linked &= side[:, None] != side[None]
-        edges = np.array(list(forest(linked)), np.int64).reshape(-1, 2) + at
-        a.append(rep[edges[:, 0]])
-        b.append(rep[edges[:, 1]])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"]
-    )
 
+def group_sets(groups: DataFrame, base: DataFrame, shingles) -> DataFrame:
+    """(item, size, data): the whole sets of the documents of settled groups, settled.
 
-def _linked(groups: DataFrame, base: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that connect what the full sets link within each group."""
-    sized = groups.join(
-        groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component"
-    )
-    # A merge join at every size: the groups' documents grow with the corpus.
-    texts = base.join(sized.hint("merge"), F.col("doc_id") == F.col("node"))
-    dealt = blocked(texts, "doc_id", "n", GROUP_BLOCK)
-    keys = ["component", "block_a", "block_b"]
-    return map_groups(
-        dealt.select(*keys, "block_own", "doc_id", "text"), keys,
-        lambda rows, starts: _confirm(rows, starts, percent), "a long, b long",
-    )
+    ``base`` is (doc_id, text).  Tasks are sent a bitmap of the ids, so that texts are
+    read where they are and only sets are passed on; a few others may be among them.
+    """
+    ids = settle(groups.select("node").distinct(), "nodes")
+    marks = broadcast_marks(ids, lambda rows: _id_hash(rows.column("node").to_numpy()), rows_of(ids))
 
+    def fetch(rows: pa.Table) -> pa.Table:
+        number = rows.column("doc_id").to_numpy()
+        wanted = pa.array(marks.value.has(_id_hash(number)))
+        rows, number = rows.filter(wanted), number[wanted]
+        sets = [shingles(text) for text in binary(rows, "text")]
+        return pa.table({
+            "item": number, "size": pa.array([len(s) for s in sets], pa.int64()),
+            "data": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-def _confirm(rows: pa.Table, starts: np.ndarray, percent: int) -> pa.RecordBatch:
-    ids, own = rows.column("doc_id").to_numpy(), rows.column("block_own").to_numpy()
-    texts = rows.column("text").cast(pa.large_binary())
-    edges: list[tuple[int, int]] = []
-    for at, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-        sets = [shingle_set(texts[i].as_py()) for i in range(at, end)]
-        if len(sets) <= 6:  # for few sets, one by one is quicker
-            linked = np.zeros((len(sets), len(sets)), bool)
-            for i in range(len(sets)):
-                for j in range(i):
-                    linked[i, j] = linked[j, i] = similar(sets[i], sets[j], percent)
-        else:
-            linked = _similar_matrix(sets, percent)
-        side = own[at:end]
-        if side.min() != side.max():
-            linked &= side[:, None] != side[None]
-        edges += [(at + i, at + j) for i, j in forest(linked)]
-    found = np.array(edges, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids[found[:, 0]]), pa.array(ids[found[:, 1]])], ["a", "b"]
-    )
+    found = map_arrow(base.where("doc_id is not null"), fetch, "item long, size long, data binary")
+    return settle(found.where("size > 0"), "sets")
 
 
-def _similar_matrix(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which sets are similar: intersections by products of membership matrices."""
-    sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    values, place, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    keep = often[place] > 1  # a shingle of one set is in no intersection
-    column = (np.cumsum(often > 1) - 1)[place[keep]]
-    owner = owner[keep]
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    both = np.zeros((len(sets), len(sets)), np.float64)
-    width = 4096
-    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        lo, hi = np.searchsorted(column, (first, first + width))
-        member = np.zeros((len(sets), width), np.float32)
-        member[owner[lo:hi], column[lo:hi] - first] = 1
-        both += member @ member.T
-    union = sizes[:, None] + sizes[None] - both
-    linked = (100 * both >= percent * union) & (sizes[:, None] > 0) & (sizes[None] > 0)
-    np.fill_diagonal(linked, False)
-    return linked
+def _id_hash(ids: np.ndarray) -> np.ndarray:
+    return mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))

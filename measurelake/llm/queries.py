@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from measurelake.llm import warc
+from measurelake.llm import merkle, warc
+from measurelake.llm.collocations import collocations
 from measurelake.llm.common import table, working_path
+from measurelake.llm.jaccard_join import jaccard_classes
 from measurelake.llm.licenses import license_scan
 from measurelake.llm.line_dedup import line_classes
 from measurelake.llm.mixing import mixture
@@ -90,3 +92,20 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_target_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"), exact=True)
+
+
+@_query
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    manifest = merkle.build(docs, kept={"claim": merkle.tampered(docs)})
+    return merkle.proofs(manifest, "claim").withColumnRenamed("id", "doc_id")
+
+
+@_query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))

@@ -38,8 +38,8 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
         return np.array([_hashes[w] for w in words], np.uint64)
 
 
-def shingle_set(text: bytes | None) -> np.ndarray:
-    """Sorted hashes of the distinct 5-word shingles of a UTF-8 text.
+def shingle_set(text: bytes | None, size: int = WORDS) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of ``size`` words, 5 at most, of a UTF-8 text.
 
     A-Z count as a-z; words are runs of characters other than ASCII white
     space.  A text of fewer words has one shingle, all its words; a text without
@@ -50,11 +50,11 @@ def shingle_set(text: bytes | None) -> np.ndarray:
     if not n:
         return np.empty(0, np.uint64)
     h = word_hashes(words)
-    if n < WORDS:
+    if n < size:
         return _mix((h * _STEPS[:n]).sum(keepdims=True) + np.array([n], np.uint64) * _STEPS[WORDS])
-    total = h[: n - WORDS + 1] * _STEPS[0]
-    for i in range(1, WORDS):
-        total += h[i : n - WORDS + 1 + i] * _STEPS[i]
+    total = h[: n - size + 1] * _STEPS[0]
+    for i in range(1, size):
+        total += h[i : n - size + 1 + i] * _STEPS[i]
     return np.unique(_mix(total))
 
 
@@ -66,11 +66,3 @@ def signature(shingles: np.ndarray, slots: int = 64) -> np.ndarray:
         part = np.multiply.outer(factors, shingles[at : at + 4096])
         np.minimum(least, part.min(axis=1), out=least)
     return (_mix(least) & np.uint64(0xFFFF)).astype(np.uint16)
-
-
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """100 * intersection >= percent * union of two sorted sets."""
-    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)

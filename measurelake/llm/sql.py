@@ -164,3 +164,128 @@ line_all AS (
 
 
 _SQL["op1_line_dedup"] = f"WITH RECURSIVE {line_sql('documents')} SELECT * FROM line_told"
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_SQL["op11_jaccard_join"] = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' ')))
+    END AS shingles FROM w
+), e AS MATERIALIZED (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+link AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b
+    ON a.shingle = b.shingle AND a.doc_id <> b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 190 * count(*) >= 90 * (a.n + b.n)
+), reach AS (
+  SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+)
+SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles,
+  least(doc_id, coalesce((SELECT min(b) FROM reach WHERE a = doc_id), doc_id)) AS component_id
+FROM s
+"""
+
+_SQL["op13_collocations"] = f"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM p),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(words) - k + 2),
+                                        lambda i: array_to_string(words[i:i + k - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(words) >= k
+), f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
+c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS words FROM f WHERE k > 1),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, j.cut, x.a AS l, y.a AS r,
+    CAST(c.a AS HUGEINT) * 2000000 // (x.a + y.a) AS score
+  FROM c JOIN (SELECT unnest([1, 2, 3]) AS cut) j ON j.cut < c.k
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:j.cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[j.cut + 1:], ' ')
+), worst AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM cuts
+), parts AS (
+  SELECT c.lang, array_to_string(c.words[s.i:s.i + t.m - 1], ' ') AS phrase, c.a
+  FROM c JOIN (SELECT unnest([1, 2, 3]) AS i) s ON true JOIN (SELECT unnest([2, 3]) AS m) t
+    ON t.m < c.k AND s.i + t.m - 1 <= c.k
+), longest AS (SELECT lang, phrase, max(a) AS longer FROM parts GROUP BY ALL),
+kept AS (
+  SELECT w.* FROM worst w LEFT JOIN longest m ON m.lang = w.lang AND m.phrase = w.phrase
+  WHERE w.place = 1 AND (m.longer IS NULL OR 100 * CAST(m.longer AS HUGEINT) < 80 * CAST(w.a AS HUGEINT))
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+def merkle_sql(levels: int = 16) -> str:
+    """Proofs of trees of up to 3 ** ``levels`` leaves, and as many sources."""
+    def told(value: str) -> str:
+        return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(told(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    no_feeds = "replace(text, chr(10), '')"
+    crc = """xor(4294967295, list_reduce(
+    list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+      lambda c: list_concat([CAST(ord(c) AS BIGINT)], [-1, -1, -1, -1, -1, -1, -1, -1])))),
+    lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))"""
+    tables = [f"""
+d AS MATERIALIZED (
+  SELECT doc_id, source, {leaf('text')} AS leaf,
+    CASE WHEN {crc} % 2 = 0 THEN {leaf(no_feeds)} END AS claim FROM documents
+)""", """
+s0 AS MATERIALIZED (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d
+)""", """
+t0 AS MATERIALIZED (SELECT g, i, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM s0)"""]
+
+    def climb(tree: str, group: str) -> None:
+        for level in range(levels):
+            tables.append(f"""
+{tree}{level + 1} AS MATERIALIZED (
+  SELECT {group} AS g, i // 3 AS i, CASE WHEN n = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h,
+    (n + 2) // 3 AS n FROM {tree}{level} GROUP BY {group}, i // 3, n
+)""")
+
+    def walk(tree: str, path: str) -> None:
+        for level in range(levels):
+            tables.append(f"""
+{tree}_run{level} AS (SELECT g, i // 3 AS run, n, list(h ORDER BY i) AS hs FROM {tree}{level} GROUP BY g, i // 3, n)""")
+            tables.append(f"""
+{path}{level + 1} AS MATERIALIZED (
+  SELECT p.* REPLACE (
+    CASE WHEN n = 1 THEN folded ELSE sha256(array_to_string(
+      list_concat(list_concat(hs[1:p.i % 3], [folded]), hs[p.i % 3 + 2:]), '')) END AS folded,
+    CASE WHEN n = 1 THEN proof ELSE proof || coalesce(array_to_string(
+      list_concat(hs[1:p.i % 3], hs[p.i % 3 + 2:]), ''), '') END AS proof,
+    p.i // 3 AS i)
+  FROM {path}{level} p JOIN {tree}_run{level} r ON r.g = p.g AND r.run = p.i // 3
+)""")
+
+    climb("t", "g")
+    tables.append(f"""
+u0 AS MATERIALIZED (SELECT 0 AS g, g AS i, h, count(*) OVER () AS n FROM t{levels})""")
+    climb("u", "g")
+    tables.append("""
+p0 AS (SELECT doc_id, leaf, g, i, coalesce(claim, leaf) AS folded, '' AS proof FROM s0)""")
+    walk("t", "p")
+    tables.append(f"""
+q0 AS MATERIALIZED (
+  SELECT p.doc_id, p.leaf, t.h AS subroot, 0 AS g, p.g AS i, p.folded, p.proof FROM p{levels} p JOIN t{levels} t ON t.g = p.g
+)""")
+    walk("u", "q")
+    return f"""WITH {",".join(tables)}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = h AS verified
+FROM q{levels}, (SELECT h FROM u{levels})"""
+
+
+_SQL["op12_merkle_manifest"] = merkle_sql()
