@@ -317,6 +317,135 @@ def seasonal_summary(
     )
 
 
+# -- a trend that bends --------------------------------------------------------
+
+CHANGEPOINTS, REACH, RIDGE = 8, 0.8, 0.1
+
+
+def _sums(columns: list[Column], y: Column) -> dict[str, Column]:
+    """Sums of columns and of their products, by name."""
+    named = {f"_x{i}": F.sum(c) for i, c in enumerate(columns)}
+    for i, a in enumerate(columns):
+        named[f"_xy{i}"] = F.sum(a * y)
+        named |= {f"_xx{i}_{j}": F.sum(a * columns[j]) for j in range(i + 1)}
+    return named | {"_y": F.sum(y), "_yy": F.sum(y * y), "_n": F.count(F.lit(1))}
+
+
+def _eliminated(matrix: Column, size: int) -> Column:
+    """Gauss-Jordan elimination of the first ``size`` columns of an array of rows.
+
+    For symmetric positive definite matrices, where no row has to be exchanged.
+    """
+
+    def step(rows: Column, k: Column) -> Column:
+        pivot = F.transform(rows[k], lambda v: v / rows[k][k])
+        return F.transform(rows, lambda row, i: F.when(i == k, pivot).otherwise(
+            F.zip_with(row, pivot, lambda v, p: v - row[k] * p)))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), matrix, step)
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+
+def fit_piecewise(
+    history: DataFrame, changepoints: int = CHANGEPOINTS, reach: float = REACH, ridge: float = RIDGE,
+    min_days: int = MIN_DAYS,
+) -> DataFrame:
+    """Parameters of a trend with bends and a level per weekday, one row per state.
+
+    The trend is a line plus a hinge for each of ``changepoints`` days, evenly spaced over the
+    first ``reach`` of the history.  ``ridge`` holds the hinges' coefficients back, against
+    time scaled to 0..1.  Levels are taken out weekday by weekday, so the normal
+    equations are as large as the trend has coefficients whatever the history; they are
+    sums per state and weekday, added up per state and solved in expressions.
+
+    ``slopes`` are the coefficients, ``inverse`` the inverse of the penalised and
+    ``products`` the matrix itself.  A state whose days all lie on one date has a flat trend.
+    """
+    size = 1 + changepoints
+    rows = with_day_offset(history, min_days).withColumns({
+        "_last": F.max("date_local").over(_state()), "_last_t": F.max("t").over(_state())})
+    scaled = F.coalesce(divide(F.col("t").cast("double"), F.col("_last_t").cast("double")), F.lit(0.0))
+    # Around the middle, so that sums of products keep their digits.
+    columns = [scaled - 0.5] + [F.greatest(scaled - F.lit(reach * k / (changepoints + 1)), F.lit(0.0))
+                                for k in range(1, changepoints + 1)]
+    centre = F.avg("pm25").over(_state())
+    per_day = rows.select(
+        "state_name", "n", "_last", "_last_t", weekday_number(F.col("date_local")).alias("_day"),
+        *[c.alias(f"_c{i}") for i, c in enumerate(columns)], (F.col("pm25") - centre).alias("_v"), centre.alias("_centre"))
+    sums = _sums([F.col(f"_c{i}") for i in range(size)], F.col("_v"))
+    days = per_day.groupBy("state_name", "_day").agg(
+        *[c.alias(name) for name, c in sums.items()],
+        F.max("_last").alias("_last"), F.max("_last_t").alias("_last_t"), F.max("_centre").alias("_centre"))
+
+    def within(product: str, a: str, b: str) -> Column:
+        return F.sum(F.col(product) - F.col(a) * F.col(b) / F.col("_n"))
+
+    def entry(i: int, j: int) -> Column:
+        return within(f"_xx{max(i, j)}_{min(i, j)}", f"_x{i}", f"_x{j}")
+
+    fitted = days.groupBy("state_name").agg(
+        F.array(*[F.array(*[entry(i, j) for j in range(size)]) for i in range(size)]).alias("products"),
+        F.array(*[within(f"_xy{i}", f"_x{i}", "_y") for i in range(size)]).alias("_with_y"),
+        within("_yy", "_y", "_y").alias("_syy"), F.sum("_n").alias("n"), F.count(F.lit(1)).alias("_days"),
+        F.max("_last").alias("last_date"), F.max("_last_t").cast("bigint").alias("last_t"),
+        F.max("_centre").alias("_centre"),
+        # At most seven entries.
+        F.map_from_entries(F.collect_list(F.struct("_day", F.struct(
+            (F.col("_y") / F.col("_n")).alias("y"), F.array(*[F.col(f"_x{i}") / F.col("_n") for i in range(size)]).alias("x"),
+            F.col("_n").cast("double").alias("n"))))).alias("weekday_means"),
+        F.array(*[F.sum(f"_x{i}") / F.sum("_n") for i in range(size)]).alias("common_x"),
+        (F.sum("_y") / F.sum("_n")).alias("common_y"),
+    )
+    held = F.array(*[F.lit(1e-9 if i == 0 else float(ridge)) for i in range(size)])
+    augmented = F.transform(F.col("products"), lambda row, i: F.concat(
+        F.transform(row, lambda v, j: v + F.when(i == j, held[i]).otherwise(0.0)),
+        F.transform(row, lambda v, j: F.when(i == j, 1.0).otherwise(0.0))))
+    solved = fitted.withColumn("_solved", _eliminated(augmented, size)).withColumn(
+        "inverse", F.transform("_solved", lambda row: F.slice(row, size + 1, size)))
+    solved = solved.withColumn("slopes", F.transform("inverse", lambda row: _dot(row, F.col("_with_y"))))
+    fit = _dot(F.col("slopes"), F.col("_with_y"))
+    bent = _dot(F.col("slopes"), F.transform("products", lambda row: _dot(row, F.col("slopes"))))
+    left_over = F.greatest(F.col("_syy") - 2.0 * fit + bent, F.lit(0.0))
+    # Coefficients that are held back count in part.
+    counted = F.aggregate(F.zip_with("inverse", "products", _dot), F.lit(0.0), lambda s, v: s + v)
+    freedom = F.col("n") - F.col("_days") - counted
+    return solved.select(
+        "state_name", "n", "last_date", "last_t", "slopes", "inverse", "products", "weekday_means", "common_x",
+        "common_y", F.col("_centre").alias("centre"),
+        F.sqrt(F.when(freedom > 0, left_over / freedom)).alias("sigma"),
+        F.array(*[F.lit(reach * k / (changepoints + 1)) for k in range(1, changepoints + 1)]).cast("array<double>").alias("bends"))
+
+
+def piecewise_forecast(
+    history: DataFrame, horizon: int = 14, changepoints: int = CHANGEPOINTS, reach: float = REACH,
+    ridge: float = RIDGE, min_days: int = MIN_DAYS,
+) -> DataFrame:
+    """Forecast of :func:`fit_piecewise`, the last piece going on, with a 95 % interval.
+
+    The interval has the error of the coefficients and of the weekday's level besides that of
+    a single day, so it widens with the distance.
+    """
+    models = fit_piecewise(history, changepoints, reach, ridge, min_days)
+    future = _future(models, horizon)
+    scaled = F.coalesce(divide(F.col("t").cast("double"), F.col("last_t").cast("double")), F.lit(1.0))
+    own = F.col("weekday_means")[weekday_number(F.col("date_local"))]
+    x = F.concat(F.array(scaled - 0.5), F.transform("bends", lambda b: F.greatest(scaled - b, F.lit(0.0))))
+    off = F.zip_with(x, F.coalesce(own["x"], F.col("common_x")), lambda a, b: a - b)
+    level = F.coalesce(own["y"], F.col("common_y")) + F.col("centre")
+    near = future.withColumn("_off", off).withColumn(
+        "_value", level + _dot(F.col("slopes"), F.col("_off"))).withColumn(
+        "_lever", F.transform("inverse", lambda row: _dot(row, F.col("_off"))))
+    bent = _dot(F.col("_lever"), F.transform("products", lambda row: _dot(row, F.col("_lever"))))
+    # A weekday that the history does not have counts as one day.
+    spread = F.lit(_NORMAL_95) * F.col("sigma") * F.sqrt(1.0 + 1.0 / F.coalesce(own["n"], F.lit(1.0)) + bent)
+    return near.select(
+        "state_name", "step", "date_local", F.col("_value").alias("forecast"),
+        (F.col("_value") - spread).alias("lower"), (F.col("_value") + spread).alias("upper"))
+
+
 def forecast_comparison(
     history: DataFrame, horizon: int = 14, ma_window: int = 21, min_days: int = MIN_DAYS
 ) -> DataFrame:

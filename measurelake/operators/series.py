@@ -251,8 +251,7 @@ def forecast_history(
     def floored(c: str) -> Column:
         return F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0))
 
-    newest = Window.partitionBy("state_name").orderBy(F.desc("date_local"))
-    return (
+    days = (
         in_states(cleaned, states)
         .groupBy("state_name", "date_local")
         .agg(
@@ -260,7 +259,15 @@ def forecast_history(
             round_half_up(F.avg(floored("aqi_cleaned")), 1).alias("aqi"),
             F.count(F.lit(1)).alias("measurements"),
         )
-        .withColumn("_rn", F.row_number().over(newest))
+    )
+    return last_days(days, days_back)
+
+
+def last_days(days: DataFrame, days_back: int) -> DataFrame:
+    """The last ``days_back`` rows of each state, from one row for a state and day."""
+    newest = Window.partitionBy("state_name").orderBy(F.desc("date_local"))
+    return (
+        days.withColumn("_rn", F.row_number().over(newest))
         .where(F.col("_rn") <= days_back)
         .drop("_rn")
     )

@@ -148,6 +148,7 @@ def monthly_trends(
         keys,
         "pm25_cleaned",
         {"q1_pm25": 0.25, "median_pm25": 0.5, "q3_pm25": 0.75},
+        few_groups=True,  # months, or months of states
     )
     quarters = quarters.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
@@ -314,6 +315,12 @@ def quarterly_trend(cleaned: DataFrame, stable_within: float = 1.0) -> DataFrame
         .agg(_mean(_zero_floor(_pm25()), 2).alias("avg_pm25"))
     )
 
+    return trend_of_quarters(quarters, stable_within)
+
+
+def trend_of_quarters(quarters: DataFrame, stable_within: float = 1.0) -> DataFrame:
+    """The trend from (state_name, quartal, avg_pm25) of the two quarters."""
+
     def of(q: int) -> Column:
         return F.max(F.when(F.col("quartal") == q, F.col("avg_pm25")))
 
@@ -410,6 +417,11 @@ def site_analysis(
             _mean(F.col("observation_percent"), 1).alias("avg_observation_pct"),
         )
     )
+    return top_sites(sites, limit)
+
+
+def top_sites(sites: DataFrame, limit: int | None) -> DataFrame:
+    """The ``limit`` sites with the highest mean concentration, or all."""
     if limit is None:
         return sites
     return sites.orderBy(

@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from measurelake.functions import scalar
+from measurelake.functions.quantiles import exact_quantiles
 from measurelake.model import CleanupConfig, ColumnMap, FilterState
-from measurelake.operators import anomalies, audit, cleanup, filters, forecast, series, summary
+from measurelake.operators import anomalies, audit, cleanup, filters, forecast, rollup, series, summary
+from measurelake.plans.incremental import run_months
 from measurelake.plans.pipeline import run_cleanup
-from measurelake.sources import readers, writers
+from measurelake.sources import readers, skipping, writers
 from measurelake.sources.fixture import event_readings, measurements
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -197,6 +199,86 @@ def sink_output_size(spark, sf):
     return reduce(DataFrame.union, sizes)
 
 
+@_query
+def src_csv_layouts(spark, sf):
+    """Files of two layouts in one folder: the later years lack a column and have another order."""
+    columns = ColumnMap()
+    folder = writers.working_path(spark, "yearly")
+    rows = columns.to_source(measurements(spark, sf))
+    later = F.year(F.col(f"`{columns.date_local}`")) >= 1998
+    writers.write_csv(rows.where(~later), f"{folder}/early")
+    other = [c for c in reversed(rows.columns) if c != columns.site_name]
+    writers.write_csv(rows.where(later).select(*[F.col(f"`{c}`") for c in other]), f"{folder}/late")
+    return readers.read_csv_folder(spark, folder, columns)
+
+
+@_query
+def src_csv_quarantine(spark, sf):
+    """Readings of a file with bad cells by state, and its rejected lines by reason."""
+    columns = ColumnMap()
+    path = writers.working_path(spark, "damaged")
+    rows = measurements(spark, sf)
+    bad_index, bad_day = F.col("aqi_raw") % 25 == 7, F.col("pm25_raw") < -2
+    damaged = rows.withColumns({
+        "aqi_raw": F.when(bad_index, "n/a").otherwise(F.col("aqi_raw").cast("string")),
+        "date_local": F.when(bad_day, "unknown").otherwise(F.col("date_local").cast("string"))})
+    writers.write_csv(columns.to_source(damaged), path)
+    table, rejects = readers.read_csv_checked(spark, path, columns)
+    count = F.count(F.lit(1)).alias("rows")
+    kept = table.groupBy(F.lit("kept").alias("kind"), F.col("state_name").alias("name")).agg(
+        count, F.sum("pm25_raw").alias("sum_pm25"))
+    gone = rejects.groupBy(F.lit("rejected").alias("kind"), F.col("reason").alias("name")).agg(
+        count, F.lit(None).cast("double").alias("sum_pm25"))
+    return kept.union(gone)
+
+
+@_query
+def sink_clustered(spark, sf):
+    """A selection of states and dates read back from a table ordered by both."""
+    path = skipping.write_clustered(_cleaned(spark, sf), writers.working_path(spark, "clustered"))
+    return filters.apply_filter(readers.read_parquet(spark, path), SELECTION)
+
+
+@_query
+def search_indexed(spark, sf):
+    """A text searched in the files that hold it."""
+    path = skipping.write_clustered(
+        _cleaned(spark, sf), writers.working_path(spark, "clustered"), PLAIN, ("county_name",))
+    index = skipping.write_token_index(spark, path, writers.working_path(spark, "tokens"))
+    return skipping.search_indexed(spark, path, index, "nation_7")
+
+
+def _corrected_months(spark, sf):
+    """A table written from a faulty source, of which two months are then run again from the right one."""
+    right = _stored_measurements(spark, sf)
+    columns = ColumnMap()
+    day, level = F.col(f"`{columns.date_local}`"), F.col(f"`{columns.pm25_raw}`")
+    month = F.trunc(day, "month")
+    faulty = spark.read.parquet(right).where(month != F.lit(date(1997, 3, 1))).withColumn(
+        columns.pm25_raw, F.when(month == F.lit(date(1996, 7, 1)), level + 1).otherwise(level))
+    target = writers.working_path(spark, "months")
+    path = writers.write_parquet(faulty, writers.working_path(spark, "faulty"))
+    run_months(spark, path, target)
+    return run_months(spark, right, target, [date(1997, 3, 15), date(1996, 7, 1)])
+
+
+@_query
+def months_corrected(spark, sf):
+    return _corrected_months(spark, sf).cleaned
+
+
+@_query
+def months_report(spark, sf):
+    """The report of all months after a run of two, from stored parts."""
+    return _corrected_months(spark, sf).report
+
+
+@_query
+def months_rollup(spark, sf):
+    """States compared by the rollup that month runs keep up to date."""
+    return rollup.state_comparison(_corrected_months(spark, sf).rollup, WHOLE)
+
+
 # -- filters and rows --------------------------------------------------------
 
 
@@ -310,6 +392,26 @@ def problem_example_counts(spark, sf):
     return rows.where(reduce(or_, right)).groupBy("problem").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@_query
+def audit_merged(spark, sf):
+    """Both audits from parts of months, merged to years and then to one.
+
+    Medians are approximate: whether each lies between the quantiles at 0.49 and 0.51.
+    """
+    cleaned = _cleaned(spark, sf)
+    months = audit.audit_states(cleaned.withColumn("month", F.trunc("date_local", "month")), keys=["month"])
+    months = writers.settle(months, "states")
+    years = audit.merge_audit_states(months.withColumn("year", F.year("month")), ["year"])
+    row = audit.audit_of_states(years)
+    for side, suffix in (("before", "original"), ("after", "cleaned")):
+        for metric in ("pm25", "aqi"):
+            near = exact_quantiles(cleaned, [], f"{metric}_{suffix}", {"low": 0.49, "high": 0.51})
+            name = f"{side}_median_{metric}"
+            row = row.crossJoin(F.broadcast(near)).withColumn(
+                name, F.col(name).between(F.col("low") - 0.005, F.col("high") + 0.005)).drop("low", "high")
+    return row
+
+
 @_query
 def data_quality_metrics(spark, sf):
     return audit.data_quality_metrics(_cleaned(spark, sf))
@@ -466,6 +568,44 @@ def worst_national_day(spark, sf):
     return summary.worst_national_day(_cleaned(spark, sf))
 
 
+# -- the same from a stored daily rollup -------------------------------------
+
+
+def _rollup(spark: SparkSession, sf: str) -> DataFrame:
+    path = rollup.write_rollup(rollup.daily_rollup(_cleaned(spark, sf)), writers.working_path(spark, "rollup"))
+    return rollup.read_rollup(spark, path)
+
+
+@_query
+def rollup_state_comparison(spark, sf):
+    return rollup.state_comparison(_rollup(spark, sf), WHOLE)
+
+
+@_query
+def rollup_quarterly_trend(spark, sf):
+    return rollup.quarterly_trend(_rollup(spark, sf))
+
+
+@_query
+def rollup_weekday_analysis(spark, sf):
+    return rollup.weekday_analysis(_rollup(spark, sf))
+
+
+@_query
+def rollup_site_analysis(spark, sf):
+    return rollup.site_analysis(_rollup(spark, sf), WHOLE)
+
+
+@_query
+def rollup_monthly_means(spark, sf):
+    return rollup.monthly_means(_rollup(spark, sf), WHOLE)
+
+
+@_query
+def rollup_forecast_history(spark, sf):
+    return rollup.forecast_history(_rollup(spark, sf))
+
+
 # -- daily series ------------------------------------------------------------
 
 
@@ -640,6 +780,11 @@ def seasonal_forecast_events(spark, sf):
     return _rounded(forecast.seasonal_forecast(_event_history(spark, sf)))
 
 
+@_query
+def piecewise_forecast(spark, sf):
+    return _rounded(forecast.piecewise_forecast(_history(spark, sf)))
+
+
 @_query
 def seasonal_summary(spark, sf):
     return _rounded(forecast.seasonal_summary(_history(spark, sf)))

@@ -441,6 +441,67 @@ _SEASON_AHEAD = f"""SELECT state_name, step, date_local, {_r('forecast', 6)} AS
   {_r('forecast + CAST(1.96 AS DOUBLE) * sigma', 6)} AS upper FROM ahead"""
 
 
+def _piecewise(bends: int = 8, reach: float = 0.8, ridge: float = 0.1) -> str:
+    """Least squares on demeaned rows, the normal equations eliminated column by column."""
+    size = bends + 1
+    every = [(i, j) for i in range(size) for j in range(size)]
+
+    def hinges(s: str) -> list[str]:
+        return [s] + [f"GREATEST({s} - CAST({reach * k / (bends + 1)!r} AS DOUBLE), 0)" for k in range(1, size)]
+
+    def total(terms: list[str]) -> str:
+        return "(" + " + ".join(terms) + ")"
+
+    columns = ", ".join(f"{h} AS c{i}" for i, h in enumerate(hinges("s")))
+    flat = ", ".join(f"c{i} - AVG(c{i}) OVER w AS d{i}" for i in range(size))
+    products = ", ".join(f"SUM(d{i} * d{j}) AS g{i}_{j}" for i, j in every)
+    start = ", ".join(
+        [f"g{i}_{j}{f' + {1e-9 if i == 0 else ridge!r}' if i == j else ''} AS m{i}_{j}" for i, j in every]
+        + [f"CAST({int(i == j)} AS DOUBLE) AS m{i}_{size + j}" for i, j in every])
+    tables = [
+        "timed AS (SELECT *, DAYOFWEEK(date_local) AS wd, "
+        "CAST(t AS DOUBLE) / MAX(t) OVER (PARTITION BY state_name) AS s FROM rows_)",
+        f"design AS (SELECT *, {columns} FROM timed)",
+        f"flat AS (SELECT state_name, wd, pm25 - AVG(pm25) OVER w AS dy, {flat} "
+        "FROM design WINDOW w AS (PARTITION BY state_name, wd))",
+        f"sums AS MATERIALIZED (SELECT state_name, COUNT(*) AS n, COUNT(DISTINCT wd) AS days, SUM(dy * dy) AS yy, "
+        f"{', '.join(f'SUM(d{i} * dy) AS y{i}' for i in range(size))}, {products} FROM flat GROUP BY state_name)",
+        f"m0 AS MATERIALIZED (SELECT state_name, {start} FROM sums)",
+    ]
+    for k in range(size):
+        cells = ", ".join(
+            (f"m{k}_{j} / m{k}_{k}" if i == k else f"m{i}_{j} - m{i}_{k} * m{k}_{j} / m{k}_{k}") + f" AS m{i}_{j}"
+            for i in range(size) for j in range(2 * size))
+        tables.append(f"m{k + 1} AS MATERIALIZED (SELECT state_name, {cells} FROM m{k})")
+    slopes = ", ".join(
+        total([f"m{i}_{size + j} * y{j}" for j in range(size)]) + f" AS b{i}" for i in range(size))
+    inverse = ", ".join(f"m{i}_{size + j} AS i{i}_{j}" for i, j in every)
+    fit = total([f"b{i} * y{i}" for i in range(size)])
+    bent = total([f"b{i} * g{i}_{j} * b{j}" for i, j in every])
+    counted = total([f"i{i}_{j} * g{i}_{j}" for i, j in every])
+    ahead = ", ".join(f"{h} - COALESCE(w.x{i}, c.x{i}) AS o{i}" for i, h in enumerate(hinges(
+        "(CAST(l.last_t + step AS DOUBLE) / l.last_t)")))
+    means = ", ".join(f"AVG(c{i}) AS x{i}" for i in range(size))
+    lever = ", ".join(total([f"i{i}_{j} * o{j}" for j in range(size)]) + f" AS v{i}" for i in range(size))
+    tables += [
+        f"solved AS (SELECT s.*, {inverse}, {slopes} FROM sums s JOIN m{size} USING (state_name))",
+        f"spread AS MATERIALIZED (SELECT *, SQRT(GREATEST(yy - 2 * {fit} + {bent}, 0) / (n - days - {counted})) AS sigma FROM solved)",
+        f"by_day AS (SELECT state_name, wd, COUNT(*) AS k, AVG(pm25) AS y, {means} FROM design GROUP BY 1, 2)",
+        f"common AS (SELECT state_name, AVG(pm25) AS y, {means} FROM design GROUP BY 1)",
+        "last AS (SELECT state_name, MAX(date_local) AS last_date, MAX(t) AS last_t FROM rows_ GROUP BY 1)",
+        f"""ahead AS (SELECT l.state_name, step, l.last_date + CAST(step AS INTEGER) AS date_local,
+  COALESCE(w.y, c.y) AS level, COALESCE(w.k, 1) AS k, {ahead}
+  FROM last l CROSS JOIN steps JOIN common c USING (state_name)
+  LEFT JOIN by_day w ON w.state_name = l.state_name AND w.wd = DAYOFWEEK(l.last_date + CAST(step AS INTEGER)))""",
+        f"""told AS (SELECT *, level + {total([f"b{i} * o{i}" for i in range(size)])} AS value, {lever}
+  FROM ahead JOIN spread USING (state_name))""",
+        f"""wide AS (SELECT *, CAST(1.96 AS DOUBLE) * sigma * SQRT(1 + CAST(1 AS DOUBLE) / k
+  + {total([f"v{i} * g{i}_{j} * v{j}" for i, j in every])}) AS reach FROM told)""",
+    ]
+    return _forecast(f"""SELECT state_name, step, date_local, {_r('value', 6)} AS forecast,
+  {_r('value - reach', 6)} AS lower, {_r('value + reach', 6)} AS upper FROM wide""", _STEPS, *tables)
+
+
 def _draw(salt: str) -> str:
     key = f"CONCAT_WS('|', '{salt}', '7', state_name, CAST(date_local AS VARCHAR))"
     return f"((CAST(CAST('0x' || SUBSTR(MD5({key}), 1, 13) AS BIGINT) AS DOUBLE) + 1) / 4503599627370496)"
@@ -489,7 +550,55 @@ _SEARCHABLE = " OR ".join(
 _LOST = "CAST({c} AS DOUBLE) / total_records * {w}"
 
 
+def _audit_merged() -> str:
+    figures = {"total_rows": "COUNT(*)"}
+    for side, suffix in (("before", "original"), ("after", "cleaned")):
+        p, a = f"pm25_{suffix}", f"aqi_{suffix}"
+        counts = _before_counts(p, a) if side == "before" else _audit_counts(p, a)
+        known = {k: v for k, v in _stats(p, a).items() if not k.startswith("median")}
+        figures |= {f"{side}_{k}": v for k, v in {**counts, **known}.items()}
+        figures |= {f"{side}_median_{m}": "TRUE" for m in ("pm25", "aqi")}
+    return _on(f"SELECT {_list({**figures, **_EXTENT})} FROM cleaned")
+
+
+_DAMAGE = {"type: Date Local, AQI": "pm25_raw < -2 AND aqi_raw % 25 = 7",
+           "type: Date Local": "pm25_raw < -2 AND COALESCE(aqi_raw % 25 <> 7, TRUE)",
+           "type: AQI": "NOT pm25_raw < -2 AND aqi_raw % 25 = 7"}
+
+
+def _quarantine() -> str:
+    sound = "COALESCE(NOT pm25_raw < -2, TRUE) AND COALESCE(aqi_raw % 25 <> 7, TRUE)"
+    parts = [f"SELECT 'kept' AS kind, state_name AS name, COUNT(*) AS rows, SUM(pm25_raw) AS sum_pm25 "
+             f"FROM measurements WHERE {sound} GROUP BY state_name"]
+    parts += [f"SELECT 'rejected', '{reason}', COUNT(*), NULL FROM measurements WHERE {test} HAVING COUNT(*) > 0"
+              for reason, test in _DAMAGE.items()]
+    return _raw(" UNION ALL ".join(parts))
+
+
 def all_sql() -> dict[str, str]:
+    direct = _direct_sql()
+    again = {f"rollup_{n}": direct[n] for n in (
+        "state_comparison", "quarterly_trend", "weekday_analysis", "site_analysis", "forecast_history")}
+    return direct | again | {
+        "src_csv_layouts": _raw(
+            "SELECT * REPLACE (CASE WHEN YEAR(date_local) >= 1998 THEN NULL ELSE site_name END AS site_name) "
+            "FROM measurements"),
+        "src_csv_quarantine": _quarantine(),
+        "sink_clustered": direct["src_month_folders"],
+        "search_indexed": _on(f"SELECT {_ALL} FROM cleaned WHERE " + " OR ".join(
+            f"COALESCE(CONTAINS(LOWER({c}), 'nation_7'), FALSE)" for c in
+            ("state_name", "county_name", "site_name", "sample_duration", "pollutant_standard",
+             "data_quality_flag", "cleanup_action"))),
+        "audit_merged": _audit_merged(),
+        "months_corrected": direct["cleaned_rows"],
+        "months_report": direct["cleanup_report"],
+        "months_rollup": direct["state_comparison"],
+        "rollup_monthly_means": _on(
+            "SELECT month, avg_pm25, avg_aqi, unhealthy_days, measurements, std_pm25 FROM monthly", _MONTHLY),
+    }
+
+
+def _direct_sql() -> dict[str, str]:
     return {
         # sources and sinks
         "src_csv_roundtrip": _raw("SELECT * FROM measurements"),
@@ -775,6 +884,7 @@ FROM (SELECT *, last_date + CAST(step AS INTEGER) AS date_local FROM ma_fit CROS
             _MA, _STEPS),
         "seasonal_forecast": _forecast(_SEASON_AHEAD, _STEPS, _SEASON),
         "seasonal_forecast_events": _forecast(_SEASON_AHEAD, _STEPS, _SEASON, base=EVENTS),
+        "piecewise_forecast": _piecewise(),
         "seasonal_summary": _forecast(
             f"""SELECT state_name, {_r('f', 6)} AS avg_forecast, {_r('hi', 6)} AS max_forecast,
   {_r('lo', 6)} AS min_forecast, {_r('now', 6)} AS current_avg, {_r('f - now', 6)} AS delta

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,15 +35,143 @@ def read_csv(
     breaks; such a file cannot be split among tasks, so it is off by default.
     """
     columns = columns or ColumnMap()
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
-    reader = reader.option("nullValue", NULL_CELL).option("emptyValue", "")
+    reader = _options(spark, multiline)
     header = reader.csv(path).columns
-    wanted = {source: _TYPES[name] for name, source in columns.pairs().items()}
-    schema = T.StructType([T.StructField(h, wanted.get(h, T.StringType())) for h in header])
-    df = reader.schema(schema).option("enforceSchema", False).option("mode", mode).csv(path)
+    df = reader.schema(_typed(header, columns)).option("enforceSchema", False).option("mode", mode).csv(path)
     return columns.to_canonical(df)
 
 
+def _options(spark: SparkSession, multiline: bool = False) -> DataFrameReader:
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
+    return reader.option("nullValue", NULL_CELL).option("emptyValue", "")
+
+
+def _typed(header: Sequence[str], columns: ColumnMap) -> T.StructType:
+    wanted = {source: _TYPES[name] for name, source in columns.pairs().items()}
+    return T.StructType([T.StructField(h, wanted.get(h, T.StringType())) for h in header])
+
+
+def csv_layouts(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """header -> the files below ``path`` that have it, for a file, a folder or a glob.
+
+    Files are listed without their contents.  Of each the driver reads the first line
+    only, as it would read the footer of a Parquet file; the result has a row for a file.
+    Empty files are left out.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = [r["path"] for r in listed.where("length > 0").select("path").collect()]
+    first = [_first_line(spark, file) for file in sorted(files)]
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for file, line in zip(sorted(files), first, strict=True):
+        # As written by the CSV source: quotes are doubled.
+        header = tuple(next(csv.reader([line.removeprefix("\ufeff")])))
+        layouts.setdefault(header, []).append(file)
+    return layouts
+
+
+def _first_line(spark: SparkSession, file: str) -> str:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(file)
+    stream = at.getFileSystem(conf).open(at)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(at)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(
+        codec.createInputStream(stream) if codec else stream, "UTF-8"))
+    try:
+        return reader.readLine() or ""
+    finally:
+        reader.close()
+
+
+def read_csv_folder(
+    spark: SparkSession, path: str, columns: ColumnMap | None = None, mode: str = "FAILFAST",
+) -> DataFrame:
+    """Read files of different column orders, with and without columns, as one table.
+
+    Files of one header share a reader, and the readers' tables are united by
+    name: a column that a file lacks is null there, one that no map names is left out.
+    A file with none of the mapped columns is an error and not a file of nulls.
+    """
+    return _united(_layout_tables(spark, path, columns, mode))
+
+
+def _layout_tables(
+    spark: SparkSession, path: str, columns: ColumnMap | None, mode: str, corrupt: str | None = None
+) -> list[DataFrame]:
+    columns = columns or ColumnMap()
+    known = set(columns.pairs().values())
+    tables = []
+    for header, files in sorted(csv_layouts(spark, path).items()):
+        if not known & set(header):
+            raise ValueError(f"{files[0]}: no known column among {', '.join(header)}")
+        schema = _typed(header, columns)
+        reader = _options(spark).option("mode", mode)
+        also: tuple[str, ...] = ()
+        if corrupt:
+            schema = schema.add(corrupt, T.StringType())
+            reader = reader.option("columnNameOfCorruptRecord", corrupt).option("columnPruning", False)
+            also = (corrupt, "_file", "_header")
+        # Within a layout the header is known, so the schema is applied by position.
+        df = reader.schema(schema).csv(files)
+        if corrupt:
+            df = df.select("*", F.col("_metadata.file_path").alias("_file"),
+                           F.lit(json.dumps(list(header))).alias("_header"))
+        tables.append(columns.to_canonical(df, also))
+    return tables
+
+
+def _united(tables: Sequence[DataFrame]) -> DataFrame:
+    if not tables:
+        raise FileNotFoundError("no file with a header")
+    found = {f.name: f.dataType for t in tables for f in t.schema.fields}
+    ordered = [n for n in _TYPES if n in found] + [n for n in found if n not in _TYPES]
+    filled = [t.select(*[(F.col(n) if n in t.columns else F.lit(None).cast(found[n])).alias(n) for n in ordered])
+              for t in tables]
+    return reduce(DataFrame.unionAll, filled)
+
+
+_CORRUPT = "_corrupt_line"
+
+
+def _parsed(rows: DataFrame) -> Column:
+    """True, and a reference to every column: the source parses, and so rejects, what is referred to."""
+    cells = [F.col(c).cast("string") for c in rows.columns if c not in (_CORRUPT, "_file", "_header")]
+    return F.length(F.concat_ws("", *cells)) >= 0
+
+
+def read_csv_checked(
+    spark: SparkSession, path: str, columns: ColumnMap | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(table, rejects) of CSV files: lines with a bad cell abort nothing and do not vanish.
+
+    The table has the lines of which every mapped cell has its type.  A rejected line comes as
+    ``file``, ``line`` (its text) and ``reason``: ``cells`` where it has more or fewer cells
+    than the header, else ``type:`` and the columns, under their source names, that do not
+    parse.  Both sides read the files, each once.  Whole lines are parsed whatever columns
+    are selected, since what is rejected must not depend on that.
+    """
+    columns = columns or ColumnMap()
+    tables = _layout_tables(spark, path, columns, "PERMISSIVE", _CORRUPT)
+    whole = _united(tables)
+    table = whole.where(F.col(_CORRUPT).isNull() & _parsed(whole)).drop(_CORRUPT, "_file", "_header")
+    wanted = {source: _TYPES[name] for name, source in columns.pairs().items()}
+    rejected = []
+    for header, rows in zip(sorted(csv_layouts(spark, path)), tables, strict=True):
+        bad = rows.where(F.col(_CORRUPT).isNotNull() & _parsed(rows))
+        text = ", ".join(f"c{i} string" for i in range(len(header) + 1))
+        options = {"escape": '"', "mode": "PERMISSIVE", "nullValue": NULL_CELL, "emptyValue": ""}
+        cells = F.from_csv(F.col(_CORRUPT), text, options).alias("cells")
+        bad = bad.select("_file", F.col(_CORRUPT).alias("line"), cells)
+        surplus = F.col(f"cells.c{len(header)}").isNotNull()
+        wrong = [
+            F.when(F.col(f"cells.c{i}").isNotNull() & F.col(f"cells.c{i}").try_cast(wanted[name]).isNull(), F.lit(name))
+            for i, name in enumerate(header) if not isinstance(wanted.get(name, T.StringType()), T.StringType)]
+        found = F.array_compact(F.array(*wrong)) if wrong else F.array().cast("array<string>")
+        reason = F.when(surplus | (F.size(found) == 0), F.lit("cells")).otherwise(
+            F.concat(F.lit("type: "), F.array_join(found, ", ")))
+        rejected.append(bad.select(F.col("_file").alias("file"), "line", reason.alias("reason")))
+    return table, reduce(DataFrame.unionAll, rejected)
+
+
 def read_parquet(
     spark: SparkSession, path: str, columns: ColumnMap | None = None, keep_folders: bool = False
 ) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +43,42 @@ def write_parquet(
     return path
 
 
+def write_months(df: DataFrame, path: str, month_of: str, replace_all: bool = False) -> str:
+    """Write ZSTD Parquet in month folders, replacing the months that ``df`` has rows of.
+
+    Other months of an existing table stay as they are, unless ``replace_all``.  The
+    folders are swapped when the job is committed: a failed or repeated run leaves no
+    rows twice.  Null dates have a folder of their own.
+    """
+    day = F.col(f"`{month_of}`")
+    dealt = df.withColumns({"year": F.year(day), "month": F.month(day)}).hint("rebalance", "year", "month")
+    (dealt.write.mode("overwrite").option("compression", "zstd")
+     .option("partitionOverwriteMode", "static" if replace_all else "dynamic")
+     .partitionBy("year", "month").parquet(path))
+    return path
+
+
+def _month_folders(spark: SparkSession, path: str, months: Iterable[date]):
+    """(month, file system, folder) of each month."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for month in months:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
+            f"{path.rstrip('/')}/year={month.year}/month={month.month}")
+        yield month, folder.getFileSystem(conf), folder
+
+
+def month_files(spark: SparkSession, path: str, months: Iterable[date]) -> dict[date, set[str]]:
+    """Names of the files in month folders; none where a folder is missing."""
+    return {month: {s.getPath().getName() for s in system.listStatus(folder)} if system.exists(folder) else set()
+            for month, system, folder in _month_folders(spark, path, months)}
+
+
+def drop_months(spark: SparkSession, path: str, months: Iterable[date]) -> None:
+    """Remove month folders of a table, those that are there."""
+    for _, system, folder in _month_folders(spark, path, months):
+        system.delete(folder, True)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> str:
     """Write CSV with a header in every part file.
 

@@ -135,3 +135,63 @@ def test_comparison(history):
 def test_last_days(history):
     df = history(A=line(40), B=line(3))
     assert forecast.last_days(df, 5).count() == 8
+
+
+def piecewise_by_numpy(days, values, ahead, bends=8, reach=0.8, ridge=0.1):
+    """Value and half-width of the interval, from the whole penalised design."""
+    t, y = np.array(days, float), np.array(values)
+    last = t.max()
+    week = [(START + timedelta(int(d))).weekday() for d in days]
+    levels = sorted(set(week))
+
+    def trend(s):
+        return [s, *[max(s - reach * k / (bends + 1), 0.0) for k in range(1, bends + 1)]]
+
+    design = np.array([[*[float(w == v) for v in levels], *trend(x / last)] for w, x in zip(week, t, strict=True)])
+    held = np.diag([0.0] * len(levels) + [1e-9] + [ridge] * bends)
+    inverse = np.linalg.inv(design.T @ design + held)
+    beta = inverse @ design.T @ y
+    hat = np.trace(inverse @ design.T @ design)
+    sigma = np.sqrt(((y - design @ beta) ** 2).sum() / (len(y) - hat))
+    out = []
+    for step in range(1, ahead + 1):
+        day = START + timedelta(int(last) + step)
+        row = np.array([*[float(day.weekday() == v) for v in levels], *trend((last + step) / last)])
+        error = row @ inverse @ design.T @ design @ inverse @ row
+        out.append((row @ beta, 1.96 * sigma * np.sqrt(1 + error)))
+    return out
+
+
+def test_piecewise_trend_equals_numpy(history):
+    rng = np.random.default_rng(3)
+    days = [d for d in range(120) if d % 11 != 5]
+    values = [20 + 0.3 * d - 0.9 * max(d - 60, 0) + [0, 1, 2, 0, 5, 3, 1][d % 7] + rng.normal() for d in days]
+    df = history(A=[(START + timedelta(d), v) for d, v in zip(days, values, strict=True)], B=line(40), C=line(5))
+    rows = by(forecast.piecewise_forecast(df, 9), "state_name", "step")
+    assert {s for s, _ in rows} == {"A", "B"}
+    for step, (value, reach) in enumerate(piecewise_by_numpy(days, values, 9), 1):
+        row = rows["A", step]
+        assert row["forecast"] == pytest.approx(value, rel=1e-6)
+        # A level of its own for each weekday has its error in both.
+        assert row["upper"] - row["forecast"] == pytest.approx(reach, rel=1e-6)
+        assert row["forecast"] - row["lower"] == pytest.approx(reach, rel=1e-6)
+    widths = [rows["A", s]["upper"] - rows["A", s]["lower"] for s in (1, 8)]
+    assert widths[1] > widths[0]
+
+
+def test_piecewise_trend_follows_a_break(history):
+    values = [10 + 0.5 * d if d < 90 else 55 - 0.4 * (d - 90) for d in range(150)]
+    df = history(A=[(START + timedelta(d), v) for d, v in enumerate(values[:136])])
+    bent = by(forecast.piecewise_forecast(df, 14), "step")
+    straight = by(forecast.seasonal_forecast(df, 14), "step")
+    error = {n: sum(abs(rows[s]["forecast"] - values[135 + s]) for s in range(1, 15))
+             for n, rows in (("bent", bent), ("straight", straight))}
+    assert error["bent"] < 0.2 * error["straight"]
+
+
+def test_piecewise_trend_of_odd_histories(history):
+    flat = history(A=[(START, 8.0)] * 40, B=[(START + timedelta(i), 8.0) for i in range(60) if i % 7 != 6])
+    rows = by(forecast.piecewise_forecast(flat, 14), "state_name", "step")
+    assert [rows["B", s]["forecast"] for s in range(1, 15)] == pytest.approx([8.0] * 14, abs=1e-6)
+    assert [rows["A", s]["forecast"] for s in range(1, 15)] == pytest.approx([8.0] * 14, abs=1e-6)
+    assert forecast.piecewise_forecast(flat.where("false")).count() == 0
