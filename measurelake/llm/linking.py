@@ -5,8 +5,8 @@ Two uses: items that stand under a common key, told apart by sketches
 (:func:`exact_links`).  Both answer with edges that connect what is linked, not with all
 links.  A short list is compared pair by pair.  A long one is first compared with one
 item of its own, its pivot, which is linear and connects most of a group of copies.
-Items that ended up together need no comparison among themselves; the rest is compared
-with the rest and with all others, dealt out as pairs of blocks.
+Items that ended up under one label need no comparison among themselves; the rest is
+compared with the rest and with all others, dealt out as pairs of blocks.
 """
 
 from __future__ import annotations
@@ -59,13 +59,25 @@ def candidate_groups(lists: DataFrame, payload: DataFrame, kind: Sketches, perce
     near = settle(_near_pairs(pairs, payload, kind), "near")
 
     long_ = shared.where(F.col("n") > SHORT)
-    labels = settle(components(near), "labels")
+    labels = settle(_labels(near), "labels")
     named = long_.join(labels, F.col("item") == F.col("node"), "left").select(
         *keys, "item", F.coalesce("component", "item").alias("label"))
     rest = _rest_edges(named, keys, payload, kind)
     return components(near.union(rest))
 
 
+def _labels(edges: DataFrame) -> DataFrame:
+    """(node, component): a label that only connected nodes share, the same for most that are.
+
+    The least neighbour's least neighbour, in a fixed number of steps.  Nodes that are
+    connected and labelled apart are compared once more than needed, no less.
+    """
+    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "near")
+    least = settle(both.groupBy("node").agg(F.least(F.min("near"), F.col("node")).alias("least")), "least")
+    onward = least.withColumnsRenamed({"node": "_node", "least": "component"})
+    return least.join(onward, F.col("least") == F.col("_node")).select("node", "component")
+
+
 def _sorted(df: DataFrame, keys: list[str], run: Callable, schema: str) -> DataFrame:
     order = [*keys, "size", "item"]
     return run_arrow(df.repartition(*keys).sortWithinPartitions(*order), run, schema)
@@ -266,7 +278,7 @@ def _large(held: DataFrame, percent: int) -> DataFrame:
         if not left or left > 0.8 * before:
             break
     found = reduce(DataFrame.union, edges)
-    labels = components(found)
+    labels = settle(_labels(found), "labels")
     named = held.join(labels, F.col("item") == F.col("node"), "left").select(
         "group", "item", F.coalesce("component", "item").alias("label"), F.col("size").alias("weight"))
     deal = dealt(named, ["group"], lambda n, w: F.ceil(F.greatest(

@@ -40,15 +40,17 @@ def size_class(tokens: Column) -> Column:
     return (F.when(tokens < 200, "brief").when(tokens < 1000, "middle").otherwise("long"))
 
 
-def draw(id_: Column) -> Column:
-    """A number in [0, 1) that depends on the document's id only."""
-    digits = F.substring(F.md5(F.coalesce(id_.cast("string"), F.lit(""))), 1, 8)
+def draw(id_: Column, text: Column) -> Column:
+    """A number in [0, 1) that depends on the document's id, and on its text where it has none."""
+    named = F.coalesce(id_.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")))))
+    digits = F.substring(F.md5(named), 1, 8)
     return F.conv(digits, 16, 10).cast("double") / F.lit(4294967296.0)
 
 
 def marked(docs: DataFrame, topic: Column | None = None) -> DataFrame:
-    """``docs`` with _tokens, _source, _lang and _topic."""
-    out = docs.withColumn("_tokens", token_count(F.col("text")))
+    """``docs`` with _tokens, _draw, _source, _lang and _topic."""
+    out = docs.withColumns({
+        "_tokens": token_count(F.col("text")), "_draw": draw(F.col("doc_id"), F.col("text"))})
     return out.withColumns({
         "_source": F.coalesce(F.col("source").cast("string"), F.lit(NONE)),
         "_lang": F.coalesce(F.col("lang").cast("string"), F.lit(NONE)),
@@ -159,7 +161,7 @@ def _weighed(marks: DataFrame, tokens: DataFrame, rate: float, targets, exact: b
 
 def _drawn() -> Column:
     # A document without tokens costs nothing and stays.
-    return (F.col("_tokens") == 0) | (draw(F.col("doc_id")) < F.col("_probability"))
+    return (F.col("_tokens") == 0) | (F.col("_draw") < F.col("_probability"))
 
 
 def mixture(
@@ -170,16 +172,18 @@ def mixture(
 
     ``weight`` is the cell's share of the mix by its share of the tokens; the
     document is kept with probability min(1, rate * weight), decided by a hash of
-    its id, so copies of a row share their fate.  A cell that would have to give
+    its id, or of its text if it has none: rows with one id share their fate, and so do
+    rows without one that have one text.  A cell that would have to give
     more than it has gives all of it, and the tokens drawn then miss the targets;
-    with ``exact`` they meet them, and the rate is lower (:func:`exact_weights`).  Null sources and languages are categories
-    of their own, "(none)".  Documents without tokens are kept; a cell without any
-    has null weights.  ``topic`` is a column expression; without one, size classes
-    stand in.  Other columns are ignored; an empty table gives an empty result.
+    with ``exact`` they meet them, and the rate is lower (:func:`exact_weights`).
+    Null sources and languages are categories of their own, "(none)".  Documents without
+    tokens, null and empty texts, are kept; a cell without any has null weights.
+    ``topic`` is a column expression; without one, size classes stand in.  Other
+    columns are ignored; an empty table gives an empty result.
     """
     base = settle(
         marked(docs.select("doc_id", "source", "lang", "text"), topic)
-        .select("doc_id", *[f"_{d}" for d in DIMENSIONS], "_tokens"), "tokens")
+        .select("doc_id", *[f"_{d}" for d in DIMENSIONS], "_tokens", "_draw"), "tokens")
     return _weighed(base, base, rate, targets, exact).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         *[F.col(f"_{d}").alias(d) for d in DIMENSIONS], F.col("_tokens").alias("n_tokens"),

@@ -28,7 +28,8 @@ from measurelake.llm.files import binary
 from measurelake.llm.tokens import crc32, default_path, encoder
 
 SEQUENCE = 4096
-_SALTS = 64  # parts in which the documents of one length are ranked
+_PART = 100_000  # documents of one length that a task ranks, about
+_RANKS = 4096  # of one length that are placed under one key
 
 _PLAN = "length long, first long, last long, sequence long, offset long"
 
@@ -72,13 +73,18 @@ def pack(docs: DataFrame, size: int = SEQUENCE, **options) -> DataFrame:
     Other columns are ignored; an empty table gives an empty result.
     """
     cut = settle(pieces(docs, size, **options), "pieces")
-    ranked = _ranked(cut)
-    lots = cut.groupBy("length").count().collect()  # at most ``size`` rows
-    plan = best_fit({r["length"]: r["count"] for r in lots}, size)
-    ranges = docs.sparkSession.createDataFrame(plan, _PLAN)
+    lots = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``size``
+    ranked = _ranked(cut, max(64, -(-max(lots.values(), default=0) // _PART)))
+    ranges = docs.sparkSession.createDataFrame(best_fit(lots, size), _PLAN)
+    # By stretches of ranks, so that a length with a third of all pieces is many keys, and
+    # a piece meets the ranges of its own stretch only.
+    stretch = F.explode(F.sequence(
+        F.floor(F.col("first") / F.lit(_RANKS)), F.floor(F.col("last") / F.lit(_RANKS))))
+    near = ranges.withColumnRenamed("length", "_length").withColumn("_stretch", stretch)
     placed = ranked.join(
-        ranges.withColumnRenamed("length", "_length"),
-        (F.col("length") == F.col("_length")) & F.col("rank").between(F.col("first"), F.col("last")),
+        near,
+        (F.col("length") == F.col("_length")) & (F.floor(F.col("rank") / F.lit(_RANKS)) == F.col("_stretch"))
+        & F.col("rank").between(F.col("first"), F.col("last")),
     )
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32",
@@ -86,13 +92,13 @@ def pack(docs: DataFrame, size: int = SEQUENCE, **options) -> DataFrame:
     )
 
 
-def _ranked(cut: DataFrame) -> DataFrame:
+def _ranked(cut: DataFrame, salts: int) -> DataFrame:
     """Adds ``rank``, from 0, among the pieces of the same length.
 
     A length may hold a third of all pieces: each is ranked in salted parts, and
     the parts' counts (at most lengths times salts) are summed up separately.
     """
-    parts = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(_SALTS)))
+    parts = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     counts = parts.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select(
         F.col("length").alias("_len"), F.col("_salt").alias("_part"),

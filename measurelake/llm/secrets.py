@@ -1,8 +1,9 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a long run of letters, digits and the signs of encodings.  The
-forest sees its length, how its characters change between classes, how much of
-it words of the corpus cover, where it stands (source, path-like surroundings)
+A candidate is what is assigned to a credential's name, a password within a URL, a
+token of parts between dots, or any long run of letters, digits and the signs of
+encodings.  The forest sees its length, how its characters change between classes, how
+much of it words of the corpus cover, where it stands (source, path-like surroundings)
 and the words beside it.  It is trained from labelled findings.
 """
 
@@ -12,6 +13,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -23,12 +25,32 @@ from measurelake.llm.common import hashed_sample, map_arrow, settle
 from measurelake.llm.files import binary
 
 SAMPLE_ROWS = 20_000  # labelled findings that the forest is fitted on, at most
-DICTIONARY_WORDS = 20_000  # most frequent words of the corpus, a fixed part of the model
+#: a dictionary word is at least this share of all words, so there are 100,000 at most
+DICTIONARY_SHARE = 1e-5
+LONGEST_WORD = 64  # bytes; longer runs of letters are no words
 TREES, DEPTH = 40, 8
-LEAST_CHARS = 12
+LEAST_CHARS = 12  # of a run that nothing marks
+PLAIN_ENTROPY, PLAIN_COVER = 3.0, 0.6  # unmarked runs below, or covered above, are no secrets
 _BUCKETS = 16  # of hashed neighbouring words
 
-_CANDIDATE = re.compile(rb"[A-Za-z0-9+/_\-]{%d,}={0,2}" % LEAST_CHARS)
+# Names to which secrets are assigned, and forms that issuers give their keys.
+_NAME = rb"(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth)"
+_FORMS = (("aws_access_key", re.compile(rb"(?:AKIA|ASIA)[0-9A-Z]{16}")),
+          ("hex", re.compile(rb"[0-9a-f]{16,}")),
+          ("github_token", re.compile(rb"gh[pousr]_[A-Za-z0-9]{36}")),
+          ("stripe_key", re.compile(rb"[rs]k_(?:live|test)_[A-Za-z0-9]{10,}")),
+          ("slack_token", re.compile(rb"xox[abprs]-[A-Za-z0-9-]{10,}")),
+          ("google_key", re.compile(rb"AIza[A-Za-z0-9_-]{35}")),
+          ("json_web_token", re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")))
+
+#: each kind of candidate, in order of precedence where they overlap; the value is a group
+_KINDS = (
+    ("named", re.compile(
+        rb"(?i:" + _NAME + rb")[\"']?[ \t]*[=:][ \t]*(?:\"([^\"\r\n]{3,})\"|'([^'\r\n]{3,})'|([^\s\"',;<>(){}]{3,}))")),
+    ("address", re.compile(rb"://[^\s/:@\"']*:([^\s/@\"']{3,})@")),
+    ("dotted", re.compile(rb"([A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]{8,}){2,}|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*)")),
+    ("run", re.compile(rb"([A-Za-z0-9+/_\-]{%d,}={0,2})" % LEAST_CHARS)),
+)
 _WORD = re.compile(rb"[a-z]{3,}")
 _NEAR = 48  # bytes looked at on either side
 
@@ -41,15 +63,9 @@ FEATURES = (
 _SCHEMA = ("doc_id long, start long, length long, value_crc32 long, shape string, named boolean, "
            "features array<double>")
 
-# Names to which secrets are assigned, and forms that issuers give their keys.
-_NAMES = re.compile(rb"(?i)(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\s*[=:]\s*[\"']?$")
-_FORMS = (("aws_access_key", re.compile(rb"AKIA[0-9A-Z]{16}")),
-          ("hex", re.compile(rb"[0-9a-f]{16,}")),
-          ("github_token", re.compile(rb"gh[pousr]_[A-Za-z0-9]{36}")))
-
 
-def common_words(docs: DataFrame, text_col: str = "text", words: int = DICTIONARY_WORDS) -> DataFrame:
-    """The most frequent words of ASCII letters over all whole texts, with their counts."""
+def common_words(docs: DataFrame, text_col: str = "text", share: float = DICTIONARY_SHARE) -> DataFrame:
+    """The words of ASCII letters that are at least a share of all, over all whole texts, with counts."""
     def count(rows: pa.Table) -> pa.RecordBatch:
         seen: Counter[bytes] = Counter()
         for text in binary(rows, "text"):
@@ -59,12 +75,41 @@ def common_words(docs: DataFrame, text_col: str = "text", words: int = DICTIONAR
             ["word", "n"])
 
     counted = map_arrow(docs.select(F.col(text_col).alias("text")), count, "word string, n long")
-    total = counted.groupBy("word").agg(F.sum("n").alias("n"))
-    return total.orderBy(F.desc("n"), "word").limit(words)
+    total = settle(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    all_ = total.agg(F.sum("n").alias("all"))  # one row
+    return total.crossJoin(F.broadcast(all_)).where(
+        (F.col("n") >= F.lit(float(share)) * F.col("all")) & (F.length("word") <= LONGEST_WORD)).select("word", "n")
+
+
+class Dictionary:
+    """Words by which values are covered, and the lengths they have."""
+
+    def __init__(self, words: Iterable[bytes]) -> None:
+        self.words = frozenset(words)
+        self.sizes = sorted({len(w) for w in self.words}, reverse=True)
+
+
+def candidates(text: bytes) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the candidates of a text, in order and apart from each other."""
+    taken: list[tuple[int, int, str]] = []
+    for kind, pattern in _KINDS:
+        found = [(*m.span(m.lastindex), kind) for m in pattern.finditer(text)]
+        if not taken:
+            taken = found
+            continue
+        # Both lists are in order; what overlaps an earlier kind is left out.
+        kept, at = [], 0
+        for span in found:
+            while at < len(taken) and taken[at][1] <= span[0]:
+                at += 1
+            if at == len(taken) or taken[at][0] >= span[1]:
+                kept.append(span)
+        taken = sorted(taken + kept)
+    return taken
 
 
 def findings(
-    docs: DataFrame, dictionary: frozenset[bytes], id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, dictionary: Dictionary, id_col: str = "doc_id", text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
     """Candidates of all whole texts: doc_id, start (in characters), length, and features."""
@@ -73,13 +118,15 @@ def findings(
         for number, text, source in zip(rows.column("doc_id").to_pylist(), binary(rows, "text"),
                                         rows.column("source").to_pylist(), strict=True):
             text = text or b""
-            for m in _CANDIDATE.finditer(text):
-                value = m.group()
-                left, right = text[max(0, m.start() - _NEAR) : m.start()], text[m.end() : m.end() + _NEAR]
+            chars = last = 0
+            for start, end, kind in candidates(text):
+                value = text[start:end]
+                left, right = text[max(0, start - _NEAR) : start], text[end : end + _NEAR]
                 shape = next((name for name, form in _FORMS if form.fullmatch(value)), "other")
-                start = len(text[: m.start()].decode("utf-8", "replace"))
-                out.append((number, start, len(value), zlib.crc32(value), shape,
-                            bool(_NAMES.search(left)), describe(value, left, right, source, dictionary)))
+                chars += len(text[last:start].decode("utf-8", "replace"))
+                last = start
+                out.append((number, chars, len(value), zlib.crc32(value), shape, kind in ("named", "address"),
+                            describe(value, left, right, source, dictionary)))
         columns = list(zip(*out, strict=True)) or [[]] * 7
         kinds = [pa.int64()] * 4 + [pa.string(), pa.bool_(), pa.list_(pa.float64())]
         names = ["doc_id", "start", "length", "value_crc32", "shape", "named", "features"]
@@ -92,7 +139,7 @@ def findings(
 
 
 def describe(value: bytes, left: bytes, right: bytes, source: str | None,
-             dictionary: frozenset[bytes]) -> list[float]:
+             dictionary: Dictionary) -> list[float]:
     """The forest's features of a candidate between what stands left and right of it."""
     kinds = [_kind(c) for c in value]
     counts = Counter(value)
@@ -118,12 +165,12 @@ def _kind(c: int) -> int:
     return 0 if 97 <= c <= 122 else 1 if 65 <= c <= 90 else 2 if 48 <= c <= 57 else 3
 
 
-def coverage(value: bytes, dictionary: frozenset[bytes]) -> float:
+def coverage(value: bytes, dictionary: Dictionary) -> float:
     """Share of the bytes that dictionary words cover, longest word first from the left."""
     at = covered = 0
     while at < len(value):
-        for size in range(min(12, len(value) - at), 2, -1):
-            if value[at : at + size] in dictionary:
+        for size in dictionary.sizes:
+            if value[at : at + size] in dictionary.words and at + size <= len(value):
                 covered += size
                 at += size
                 break
@@ -132,16 +179,23 @@ def coverage(value: bytes, dictionary: frozenset[bytes]) -> float:
     return covered / len(value) if value else 0.0
 
 
+_ENTROPY, _COVERED = FEATURES.index("entropy"), FEATURES.index("covered")
+
+
 def weak_labels(found: DataFrame) -> DataFrame:
     """Findings with ``is_secret`` (0/1), for corpora without findings labelled by hand.
 
-    Secret: an issuer's form, or assigned to a credential's name.  Not secret: neither,
-    and not of hexadecimal form, which may be either and stays without a label.
+    Secret: an issuer's form, or marked as one (assigned to a credential's name, or the
+    password of a URL) and not covered by words.  Not secret: unmarked, of no such form, and of low entropy or
+    covered by words.  All others may be either and stay without a label: hexadecimal
+    runs, unmarked runs of high entropy, and words assigned to a name.
     """
-    secret = F.col("named") | ((F.col("shape") != "other") & (F.col("shape") != "hex"))
-    return found.withColumn(
-        "is_secret", F.when(secret, 1).when(F.col("shape") == "other", 0)
-    ).where("is_secret is not null")
+    entropy, covered = F.col("features")[_ENTROPY], F.col("features")[_COVERED]
+    worded = covered >= PLAIN_COVER
+    issued = ~F.col("shape").isin("other", "hex")
+    secret = issued | (F.col("named") & ~worded)
+    plain = ~F.col("named") & (F.col("shape") == "other") & (worded | (entropy < PLAIN_ENTROPY))
+    return found.withColumn("is_secret", F.when(secret, 1).when(plain, 0)).where("is_secret is not null")
 
 
 def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 3
@@ -167,7 +221,7 @@ def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 3
 
 
 def secret_scan(
-    docs: DataFrame, labelled: DataFrame | None = None, words: int = DICTIONARY_WORDS
+    docs: DataFrame, labelled: DataFrame | None = None, share: float = DICTIONARY_SHARE
 ) -> DataFrame:
     """doc_id, start, length, value_crc32, shape, score and is_secret of every candidate.
 
@@ -175,9 +229,11 @@ def secret_scan(
     of the corpus's own findings.  If only one label occurs, scores are null and
     ``is_secret`` falls back on the weak rule.  The value itself is not returned.
     Null and empty texts have no candidates; candidates of repeated rows and of
-    null ids are reported as they are.  Other columns are ignored.
+    null ids are reported as they are, and very long texts are read whole.  Other columns
+    are ignored; an empty table gives an empty result.
     """
-    known = frozenset(r["word"].encode() for r in common_words(docs, words=words).collect())
+    # At most 1 / share words, whatever the corpus.
+    known = Dictionary(r["word"].encode() for r in common_words(docs, share=share).collect())
     found = settle(findings(docs, known), "findings")
     model = train(weak_labels(found) if labelled is None else labelled)
     columns = ["doc_id", "start", "length", "value_crc32", "shape"]

@@ -70,8 +70,9 @@ FROM m
 _SQL["op6_license_scan"] = _license_sql()
 
 
-def mixing_sql(documents: str, sweeps: int = mixing.SWEEPS) -> tuple[str, str]:
+def mixing_sql(documents: str, sweeps: int = mixing.SWEEPS, exact: bool = False) -> tuple[str, str]:
     """Tables of a WITH clause that end in ``mixed``, and the columns of :func:`mixing.mixture`."""
+    rate = "(SELECT rate FROM mix_rate)"
     listed = "MAP {" + ", ".join(f"'{c}': {s}" for c, s in mixing.TARGETS["lang"].items()) + "}"
     tables = [f"""
 mix_words AS (
@@ -102,22 +103,42 @@ mix_0 AS (
   FROM mix_cells c JOIN mix_lang_targets USING (m_lang)
 )"""]
     number = 0
-    for _ in range(sweeps):
+    if exact:
+        able = ", ".join(f"sum(tokens) OVER (PARTITION BY m_{d}) / (total * t_{d})" for d in mixing.DIMENSIONS)
+        tables += [f"""
+mix_able AS MATERIALIZED (SELECT *, least({able}) AS able FROM (SELECT *, sum(tokens) OVER () AS total FROM mix_0))
+""", f"""
+mix_bound AS MATERIALIZED (
+  SELECT * EXCLUDE (able), tokens / least({mixing.RATE}, {mixing.SLACK} * min(able) OVER ()) AS most FROM mix_able
+)"""]
+        sweeps = mixing.BOUNDED_SWEEPS + mixing.LAST_SWEEPS
+    before = "mix_bound" if exact else "mix_0"
+    for sweep in range(sweeps):
+        if exact and 0 < sweep < mixing.BOUNDED_SWEEPS:
+            tables.append(f"""
+mix_{number + 1} AS MATERIALIZED (SELECT * REPLACE (least(share, most / total) AS share) FROM {before})""")
+            number += 1
+            before = f"mix_{number}"
         for dim in mixing.DIMENSIONS:
             tables.append(f"""
 mix_{number + 1} AS MATERIALIZED (
-  SELECT * REPLACE (share * t_{dim} / sum(share) OVER (PARTITION BY m_{dim}) AS share) FROM mix_{number}
+  SELECT * REPLACE (share * t_{dim} / sum(share) OVER (PARTITION BY m_{dim}) AS share) FROM {before}
 )""")
             number += 1
+            before = f"mix_{number}"
     tables.append(f"""
 mix_rates AS (
   SELECT m_source, m_lang, m_topic, share * sum(tokens) OVER () / tokens AS m_weight FROM mix_{number}
 )""")
+    least_rate = f"least({mixing.RATE}, 1.0 / max(m_weight))" if exact else mixing.RATE
+    tables.append(f"""
+mix_rate AS (SELECT {least_rate} AS rate {"FROM mix_rates" if exact else ""})""")
+    named = "coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(coalesce(text, '')))"
     tables.append(f"""
 mixed AS (
-  SELECT d.*, m_weight, least(1.0, {mixing.RATE} * m_weight) AS m_probability,
-    m_tokens = 0 OR CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS UBIGINT)
-      / 4294967296.0 < least(1.0, {mixing.RATE} * m_weight) AS m_kept
+  SELECT d.*, m_weight, least(1.0, {rate} * m_weight) AS m_probability,
+    m_tokens = 0 OR CAST(('0x' || substr(md5({named}), 1, 8)) AS UBIGINT)
+      / 4294967296.0 < least(1.0, {rate} * m_weight) AS m_kept
   FROM mix_docs d LEFT JOIN mix_rates USING (m_source, m_lang, m_topic)
 )""")
     columns = """doc_id, m_source AS source, m_lang AS lang, m_topic AS topic, m_tokens AS n_tokens,
@@ -125,12 +146,13 @@ mixed AS (
     return ", ".join(tables), columns
 
 
-def _mix_query() -> str:
-    tables, columns = mixing_sql("documents")
+def _mix_query(exact: bool) -> str:
+    tables, columns = mixing_sql("documents", exact=exact)
     return f"WITH {tables} SELECT {columns} FROM mixed"
 
 
-_SQL["op10_source_mix"] = _mix_query()
+_SQL["op10_source_mix"] = _mix_query(exact=False)
+_SQL["op10_target_mix"] = _mix_query(exact=True)
 
 
 def line_sql(documents: str) -> str:
@@ -192,12 +214,21 @@ _SQL["op13_collocations"] = f"""
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece
   FROM documents
-), w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM p),
-g AS (
-  SELECT lang, k, unnest(list_transform(range(1, len(words) - k + 2),
-                                        lambda i: array_to_string(words[i:i + k - 1], ' '))) AS phrase
-  FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(words) >= k
-), f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+), w AS MATERIALIZED (
+  SELECT lang, row_number() OVER () AS number, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM p
+), t AS (SELECT lang, number, unnest(words) AS w, generate_subscripts(words, 1) AS place FROM w),
+g AS MATERIALIZED (
+  SELECT lang, w AS w1, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4
+  FROM t WINDOW o AS (PARTITION BY number ORDER BY place)
+), f AS MATERIALIZED (
+  SELECT lang, 1 AS k, w1 AS phrase, count(*) AS a FROM g GROUP BY lang, w1 HAVING count(*) >= 30
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM g WHERE w2 IS NOT NULL
+    GROUP BY lang, w1, w2 HAVING count(*) >= 30
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM g WHERE w3 IS NOT NULL
+    GROUP BY lang, w1, w2, w3 HAVING count(*) >= 30
+  UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, count(*) FROM g WHERE w4 IS NOT NULL
+    GROUP BY lang, w1, w2, w3, w4 HAVING count(*) >= 30
+),
 n AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
 c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS words FROM f WHERE k > 1),
 cuts AS (

@@ -49,7 +49,9 @@ def top_k(
     does not count.  Ties go to the smaller id.  Only vectors of the same length
     are compared.  A query with fewer than k candidates gets all of them, one with
     none gets no row.  Rows with the same id and vector count once; rows with the
-    same id and other vectors count each, as answers and as questions.
+    same id and other vectors count each, as answers and as questions.  Scores are exact;
+    one among the answers that does not fit into 64 bits is an error.  Other columns are
+    ignored; an empty table gives an empty result.
 
     Blocks of candidates meet blocks of queries; a block yields k rows for a query
     at most, and the rows of all blocks are ranked by query.
@@ -93,11 +95,20 @@ def top_k(
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
+def _score_bound(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """What the size of no score of a query exceeds, as doubles a little above."""
+    if not len(vectors):
+        return np.zeros(len(queries))
+    most = np.abs(vectors.astype(np.float64)).max(axis=0)
+    return np.abs(queries.astype(np.float64)) @ most * (1 + 1e-9)
+
+
 class SortedLists:
     """A block of vectors with its sorted list for each dimension."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        self._ids, self._vectors = ids, vectors.astype(np.float64)  # whole numbers below 2**53
+        self._ids, self._whole = ids, vectors
+        self._vectors = vectors.astype(np.float64)  # exact where scores stay below 2**53
         order = np.argsort(vectors, axis=0, kind="stable")  # ascending, by dimension
         self._values = np.take_along_axis(self._vectors, order, axis=0)
         self._rank = np.empty_like(order)
@@ -114,6 +125,10 @@ class SortedLists:
         """
         n = len(self._ids)
         asked = np.arange(len(queries))
+        large = _score_bound(queries, self._whole) >= 2**53
+        if large.any():  # beyond what doubles tell apart: lists are read to the end, in whole numbers
+            yield from self._read_out(queries, own_ids, k, np.flatnonzero(large))
+            asked = asked[~large]
         for depth in sorted({-(-n // part) for part in DEPTHS}) if n else ():
             q = queries[asked].astype(np.float64).T
             upper, lower = self._bounds(np.maximum(q, 0), np.minimum(q, 0), depth)
@@ -132,6 +147,20 @@ class SortedLists:
             if not len(asked):
                 return
 
+    def _read_out(
+        self, queries: np.ndarray, own_ids: np.ndarray, k: int, asked: np.ndarray
+    ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        bound = _score_bound(queries, self._whole)
+        for number in asked.tolist():
+            kind = np.int64 if bound[number] < 2**63 else object
+            scores = self._whole.astype(kind) @ queries[number].astype(kind)
+            left = np.flatnonzero(self._ids != own_ids[number])
+            first = left[np.lexsort((self._ids[left], -scores[left]))[:k]] if kind is np.int64 else np.array(
+                sorted(left.tolist(), key=lambda i: (-scores[i], self._ids[i]))[:k], np.int64)
+            if any(not -(2**63) <= s < 2**63 for s in scores[first].tolist()):
+                raise OverflowError(f"a score of query {own_ids[number]} does not fit into 64 bits")
+            yield number, self._ids[first], scores[first].astype(np.int64)
+
     def _bounds(
         self, up: np.ndarray, down: np.ndarray, depth: int
     ) -> tuple[np.ndarray, np.ndarray]:

@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from measurelake.llm.common import map_arrow, map_groups, run_arrow, settle
-from measurelake.llm.files import binary, read_files, write_files
+from measurelake.llm.files import RangeReader, binary, list_files, read_files, write_files
 
 SMALLEST_REVISIT = 1000  # payloads below this many bytes are always written
 ARCHIVE_BYTES = 32 << 20  # an archive is closed when it has grown to this
 BLOCK_LINES = 300
 INDEX_LINES = 50_000  # an index file is closed after this many lines
+_TAIL = b"\n"  # what the writer of files puts behind the content
 
 _PAGE = "urn:x-page:"
 _CAPTURE = "key string, page_id long, archive long, at long, size long"
@@ -144,10 +145,10 @@ def write_archives(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
         F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"),
     ).withColumn("digest", F.sha1("payload"))
-    copies = (
+    # Settled, so that both sides of the join are plain shuffles and a common page is split.
+    copies = settle(
         base.where(F.length("payload") >= SMALLEST_REVISIT).groupBy(F.col("digest").alias("of"))
-        .agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    )
+        .agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")
     told = base.join(copies, F.col("digest") == F.col("of"), "left").select(
         "page_id", "url", "payload", "digest",
         F.when(~F.col("page_id").eqNullSafe(F.col("original")), F.col("original")).alias("refers_to"),
@@ -230,7 +231,7 @@ def write_index(spark: SparkSession, archive_path: str, path: str) -> str:
         if lines:
             yield _content(_index_file(lines))
 
-    return write_files(run_arrow(ordered, run, "content binary"), "content", path)
+    return write_files(run_arrow(ordered, run, "content binary"), "content", path, _TAIL.decode())
 
 
 def _index_file(lines: list[tuple]) -> bytes:
@@ -242,17 +243,18 @@ def _index_file(lines: list[tuple]) -> bytes:
         blocks.append(block)
         at += len(block)
     packed = zlib.compress(json.dumps(directory).encode(), 6)
-    return b"".join([*blocks, packed, len(packed).to_bytes(8, "little"), b"."])
+    return b"".join([*blocks, packed, len(packed).to_bytes(8, "little")])
 
 
 class IndexFile:
-    """Reads an index file: its directory at once, its blocks as they are asked for."""
-
-    def __init__(self, content: bytes) -> None:
-        self._content = content
-        end = content.rindex(b".") - 8
-        size = int.from_bytes(content[end : end + 8], "little")
-        directory = json.loads(zlib.decompress(content[end - size : end]))
+    """Reads an index file by ranges: its directory at once, its blocks as they are asked for."""
+
+    def __init__(self, reader: RangeReader, length: int) -> None:
+        self._read = reader.read
+        end = length - 8 - len(_TAIL)
+        size = int.from_bytes(reader.read(end, 8), "little")
+        directory = json.loads(zlib.decompress(reader.read(end - size, size)))
+        self.first = tuple(directory[0][:2])
         self.firsts = [_order(key, page) for key, page, *_ in directory]
         self._ranges = [(at, size) for *_, at, size in directory]
         self._open: tuple[int, list] = (-1, [])
@@ -266,7 +268,7 @@ class IndexFile:
         while number >= 0:
             if self._open[0] != number:
                 at, size = self._ranges[number]
-                self._open = number, json.loads(zlib.decompress(self._content[at : at + size]))
+                self._open = number, json.loads(zlib.decompress(self._read(at, size)))
             found += [tuple(line[2:]) for line in self._open[1] if (line[0], line[1]) == (key, page_id)]
             if self.firsts[number] < wanted:
                 break
@@ -279,96 +281,133 @@ def _order(key: str, page_id: int | None) -> tuple:
     return key.encode("utf-8", "surrogatepass"), page_id is not None, page_id or 0
 
 
+def _numbered(files: DataFrame) -> DataFrame:
+    """Files with a number made from their name."""
+    return files.withColumn("number", F.xxhash64(F.element_at(F.split("path", "/"), -1)))
+
+
 def index_files(spark: SparkSession, path: str) -> DataFrame:
-    """(number, first_key, first_page, content) of the files of an index."""
+    """(number, path, length, key, page_id) of the files of an index and their first captures."""
     def first(rows: pa.Table) -> pa.Table:
-        firsts = [IndexFile(c).firsts[0] for c in binary(rows, "content")]
-        return rows.append_column("first_key", pa.array([f[0].decode() for f in firsts])).append_column(
-            "first_page", pa.array([f[2] if f[1] else None for f in firsts], pa.int64()))
+        firsts = []
+        for at, length in zip(rows.column("path").to_pylist(), rows.column("length").to_pylist(), strict=True):
+            with RangeReader(at) as reader:
+                firsts.append(IndexFile(reader, length).first)
+        return rows.append_column("key", pa.array([k for k, _ in firsts], pa.string())).append_column(
+            "page_id", pa.array([p for _, p in firsts], pa.int64()))
 
-    found = read_files(spark, path).select(
-        F.xxhash64(F.element_at(F.split("path", "/"), -1)).alias("number"), "content")
-    return map_arrow(found, first, "number long, content binary, first_key string, first_page long")
+    listed = _numbered(list_files(spark, path)).select("number", "path", "length")
+    return map_arrow(listed, first, "number long, path string, length long, key string, page_id long")
 
 
 def lookup(spark: SparkSession, wanted: DataFrame, index_path: str) -> DataFrame:
     """(page_id, archive, at, size) of the captures of the pages (key, page_id) of ``wanted``.
 
-    The first keys of the index files, one entry for each, are the only thing that
-    every task gets.  Asked-for pages meet their index file in one task, which
-    searches its directory and opens the blocks that it needs.
+    Pages asked for and first captures of the index files are sorted together, by
+    range, so that each page follows the file that has it; the driver gets one row for
+    each range.  A task then has the pages of an index file: it reads the directory and
+    the blocks that it needs, by their ranges.
+
+    A page with several captures has a row for each; one that is not in the index has none, a null id
+    is looked up like any other, and rows of ``wanted`` that are equal are asked for once each.
+    Other columns are ignored; an empty index or table gives an empty result.
     """
-    files = index_files(spark, index_path)
-    known = sorted(
-        (_order(r["first_key"], r["first_page"]), r["number"])
-        for r in files.select("first_key", "first_page", "number").collect()
-    )
-    firsts, numbers = [k for k, _ in known], [n for _, n in known]
-
-    def aim(rows: pa.Table) -> pa.RecordBatch:
-        out = []
-        for key, page in zip(rows.column("key").to_pylist(), rows.column("page_id").to_pylist(), strict=True):
-            at = bisect_right(firsts, _order(key, page)) - 1
-            # Rows repeated as a whole may begin in the files before.
-            while at >= 0:
-                out.append((numbers[at], key, page))
-                if firsts[at] < _order(key, page):
-                    break
-                at -= 1
-        return _batch(out, ["number", "key", "page_id"])
-
-    aimed = map_arrow(wanted.select("key", "page_id"), aim, "number long, key string, page_id long")
-    met = aimed.withColumn("content", F.lit(None).cast("binary")).unionByName(
-        files.select("number", "content"), allowMissingColumns=True)
+    files = settle(index_files(spark, index_path), "index_files")
+    aimed = _aimed(wanted, files)
 
     def search(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         out: list[tuple] = []
-        contents, keys = rows.column("content"), rows.column("key").to_pylist()
-        pages = rows.column("page_id").to_pylist()
+        keys, pages = rows.column("key").to_pylist(), rows.column("page_id").to_pylist()
+        paths, lengths = rows.column("path"), rows.column("length")
         for at, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            if contents[at].as_py() is None:
-                continue
-            index = IndexFile(contents[at].as_py())
-            for i in range(at + 1, end):
-                out += [(pages[i], *found) for found in index.find(keys[i], pages[i])]
+            with RangeReader(paths[at].as_py()) as reader:
+                index = IndexFile(reader, lengths[at].as_py())
+                for i in range(at, end):
+                    out += [(pages[i], *found) for found in index.find(keys[i], pages[i])]
         return _batch(out, ["page_id", "archive", "at", "size"])
 
-    order = [F.col("content").isNull(), "key", "page_id"]
-    return map_groups(met, ["number"], search, "page_id long, archive long, at long, size long", order)
+    return map_groups(aimed, ["number"], search, "page_id long, archive long, at long, size long",
+                      ["key", "page_id"])
+
+
+def _aimed(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """``wanted`` with (number, path, length) of every index file that may have its captures.
+
+    That is the last file that begins before a page, and those that begin with it: rows
+    repeated as a whole may go on from file to file.
+    """
+    file = F.struct("number", "path", "length").alias("file")
+    none = F.lit(None).cast(files.select(file).schema["file"].dataType).alias("file")
+    both = files.select("key", "page_id", file).union(wanted.select("key", "page_id", none))
+    order = ["key", "page_id"]
+    ranged = both.withColumn("asked", F.col("file").isNull()).repartitionByRange(*order)
+    dealt = settle(ranged.withColumn("part", F.spark_partition_id().cast("long")), "aimed")
+    place = F.struct("key", "page_id")
+    ends = dealt.where("not asked").groupBy("part").agg(F.max_by("file", place).alias("file"), F.max(place).alias("place"))
+    # One row for a range: ranges are as many as shuffle partitions, whatever the corpus.
+    last = {r["part"]: ((r["place"]["key"], r["place"]["page_id"]), tuple(r["file"])) for r in ends.collect()}
+
+    def aim(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        out: list[tuple] = []
+        parts, keys, pages = (rows.column(c).to_pylist() for c in ("part", "key", "page_id"))
+        files_ = rows.column("file").to_pylist()
+        for at, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            before = max((p for p in last if p < parts[at]), default=None)
+            # Files that begin with the place at hand, and the last one that begins before it.
+            here: list[tuple] = []
+            place, earlier = (None, None) if before is None else last[before]
+            if before is not None:
+                here = [earlier]
+                earlier = None
+            for i in range(at, end):
+                if (keys[i], pages[i]) != place:
+                    place, earlier, here = (keys[i], pages[i]), (here[-1] if here else earlier), []
+                if files_[i] is not None:
+                    here.append(tuple(files_[i].values()))
+                else:
+                    out += [(*f, keys[i], pages[i]) for f in ([earlier] if earlier else []) + here]
+        columns = list(zip(*out, strict=True)) or [[]] * 5
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        names = ["number", "path", "length", "key", "page_id"]
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)})
+
+    return map_groups(dealt, ["part"], aim, "number long, path string, length long, key string, page_id long",
+                      [*order, "asked"])
 
 
 def fetch(spark: SparkSession, captures: DataFrame, archive_path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of captured records.
 
-    Records are read by their ranges; sizes and digests are computed from the
-    payloads.  A revisit has those of the response that it refers to.
+    A task has the captures of an archive, opens it where it is, and reads their ranges;
+    no archive is shuffled.  Sizes and digests are computed from the payloads.  A
+    revisit has those of the response that it refers to.
+
+    A capture asked for twice comes twice; captures of no archive of the folder have no
+    row.  Other columns are ignored; empty tables give an empty result.
     """
-    met = captures.select("archive", "at", "size").withColumn(
-        "content", F.lit(None).cast("binary")
-    ).unionByName(archives(spark, archive_path), allowMissingColumns=True)
+    listed = _numbered(list_files(spark, archive_path)).select(F.col("number").alias("archive"), "path")
+    met = captures.select("archive", "at", "size").join(listed, "archive")
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 
     def read(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         out: list[tuple] = []
-        contents = rows.column("content")
-        ats, sizes = rows.column("at").to_pylist(), rows.column("size").to_pylist()
+        paths, ats, sizes = rows.column("path"), rows.column("at").to_pylist(), rows.column("size").to_pylist()
         for at, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            archive = contents[at].as_py()
-            for i in range(at + 1, end):
-                record = read_record(zlib.decompress(archive[ats[i] : ats[i] + sizes[i]], 31))
-                if record.fields["WARC-Type"] == "revisit":
-                    kept = base64.b32decode(record.fields["WARC-Payload-Digest"].removeprefix("sha1:"))
-                    out.append((record.page_id, None, kept.hex(), "revisit",
-                                _page_number(record.fields["WARC-Refers-To"])))
-                else:
-                    digest = hashlib.sha1(record.payload).hexdigest()
-                    out.append((record.page_id, len(record.payload), digest, "response", None))
+            with RangeReader(paths[at].as_py()) as reader:
+                for raw in reader.read_all(list(zip(ats[at:end], sizes[at:end], strict=True))):
+                    record = read_record(zlib.decompress(raw, 31))
+                    if record.fields["WARC-Type"] == "revisit":
+                        kept = base64.b32decode(record.fields["WARC-Payload-Digest"].removeprefix("sha1:"))
+                        out.append((record.page_id, None, kept.hex(), "revisit",
+                                    _page_number(record.fields["WARC-Refers-To"])))
+                    else:
+                        digest = hashlib.sha1(record.payload).hexdigest()
+                        out.append((record.page_id, len(record.payload), digest, "response", None))
         return _batch(out, names)
 
     schema = ("page_id long, payload_bytes long, payload_digest string, record_type string, "
               "refers_to long")
-    records = settle(map_groups(met, ["archive"], read, schema, [F.col("content").isNull(), "at"]),
-                     "records")
+    records = settle(map_groups(met, ["archive"], read, schema, ["at"]), "records")
     originals = (
         records.where("record_type = 'response'")
         .groupBy(F.col("page_id").alias("of"), F.col("payload_digest").alias("same"))

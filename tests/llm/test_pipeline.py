@@ -27,7 +27,7 @@ def test_entry_has_all_queries():
     from __spark_entry__ import oracle_sql, queries as registered
 
     found = set(registered())
-    assert {n.split("_")[0] for n in found if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in found if n.startswith("op")} >= {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in found and set(oracle_sql()) <= found
 
 
