@@ -93,10 +93,41 @@ VARIANTS = {
                         f"a {_CC} share alike 4 0"),
     "BsdNames": ("names of its contributors may be used to endorse or promote products derived from this "
                  "software without specific prior written permission",),
+    "GplHope": (SENTENCES["GplHope"].replace("this program", "this library"),),
+    **{name: tuple(
+        f"this {work} is free software you can redistribute it and or modify it under the terms of the gnu "
+        f"{kind}general public license as published by the free software foundation either version {version} of "
+        "the license or at your option any later version" for work in ("program", "library"))
+       for name, kind, version in (
+           ("Gpl2Free", "", "2"), ("Lgpl21Free", "lesser ", "2 1"), ("Lgpl3Free", "lesser ", "3"),
+           ("AgplFree", "affero ", "3"))},
+    "MplForm": ("this source code form is subject to the terms of the mozilla public license v 2 0",
+                *_under("the mozilla public license version 2 0", "the mozilla public license 2 0", "mpl 2 0"),
+                "spdx license identifier mpl 2 0"),
+    "IscGrant": ("permission to use copy modify and or distribute this software for any purpose with or without "
+                 "fee is hereby granted provided that the above copyright notice and this permission notice "
+                 "appear in all copies", *_under("the isc license"), "spdx license identifier isc"),
+    "UnlicenseFree": ("this is free and unencumbered software released into the public domain",
+                      "spdx license identifier unlicense"),
+    "Gpl2Ref": (*_under("the gnu general public license version 2", "the gnu gpl version 2", "the gpl v2", "gpl v2",
+                        "gplv2"), "spdx license identifier gpl 2 0 only"),
+    "LgplRef": ("spdx license identifier lgpl 2 1 only", "spdx license identifier lgpl 2 1 or later"),
+    "AgplRef": (*_under("the gnu affero general public license version 3", "the gnu agpl version 3", "agpl v3"),
+                "spdx license identifier agpl 3 0 only", "spdx license identifier agpl 3 0 or later"),
 }
 MORE_RULES = (
     ("GPL-3.0-or-later", ("Gpl3LaterRef",)),
     ("BSD-3-Clause", ("Bsd", "BsdSource", "BsdBinary", "BsdNames")),
+    ("GPL-2.0-or-later", ("Gpl2Free", "GplHope")),
+    ("GPL-2.0", ("Gpl2Ref",)),
+    ("LGPL-2.1-or-later", ("Lgpl21Free", "GplHope")),
+    ("LGPL-2.1", ("LgplRef",)),
+    ("LGPL-3.0-or-later", ("Lgpl3Free", "GplHope")),
+    ("AGPL-3.0-or-later", ("AgplFree", "GplHope")),
+    ("AGPL-3.0", ("AgplRef",)),
+    ("MPL-2.0", ("MplForm",)),
+    ("ISC", ("IscGrant",)),
+    ("Unlicense", ("UnlicenseFree",)),
 )
 
 #: words that mark a line as a comment
@@ -107,14 +138,14 @@ OTHER = "[^a-z0-9]+"
 NEGATED = ("\\bnot", "\\bnever", "n t", "\\bnot be", "\\bnot been", "\\bno longer")
 
 
-def _known() -> dict[str, str]:
+def known_sentences() -> dict[str, str]:
     """Identifiers by normalised sentence; the given wordings win."""
     return {v: name for name, said in VARIANTS.items() for v in said} | {v: k for k, v in SENTENCES.items()}
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order; of no text, none."""
-    known = _known()
+    known = known_sentences()
     names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     # At one place the longest sentence wins.
     said = "|".join(sorted(known, key=lambda k: (-len(k), k)))
@@ -131,7 +162,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``sentence_ids`` are joined by blanks, in order of the text; ``licenses`` are
     those whose rule occurs, joined by commas, in order of the rules; a two-clause
-    rule that goes on to the third clause counts as that only.  Texts
+    rule that goes on to the third clause counts as that only.  Licences known: Apache 2.0, MIT,
+    BSD (2 and 3 clauses), ISC, GPL 2 and 3, LGPL 2.1 and 3, AGPL 3, MPL 2.0, Unlicense and
+    Creative Commons 4.0 (BY, BY-SA, BY-NC), by their notices or by reference.  Texts
     without licence sentences, empty and null ones have empty strings.  Repeated
     rows and null ids are reported as they are; other columns are ignored.
     """

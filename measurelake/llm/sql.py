@@ -43,27 +43,31 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 
 def _license_sql() -> str:
-    known = ", ".join(f"'{said}': '{name}'" for name, said in licenses.SENTENCES.items())
+    known = licenses.known_sentences()
+    names = ", ".join(f"'{said}': '{name}'" for said, name in known.items())
+    # Without a look behind: a word of negation before a sentence is taken with it, and then both dropped.
+    negated = "|".join(sorted(licenses.NEGATED, key=len, reverse=True))
+    said = "|".join(sorted(known, key=lambda k: (-len(k), k)))
+    longer = f" {' '.join(licenses.MORE_RULES[1][1])} "
     met = ", ".join(
-        f"CASE WHEN contains(seq, ' {' '.join(rule)} ') THEN '{name}' END"
-        for name, rule in licenses.RULES
-    )
+        f"CASE WHEN contains({f"replace(seq, '{longer}', ' ')" if name == 'BSD-2-Clause' else 'seq'}, "
+        f"' {' '.join(rule)} ') THEN '{name}' END" for name, rule in (*licenses.RULES, *licenses.MORE_RULES))
     return f"""
 WITH s AS (
-  SELECT doc_id, list_transform(
-    list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[.!?:;]+[ \\t\\r]|\\n'),
-                lambda s: regexp_matches(s, 'licen|permi|distribut|softw')),
-    lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))) AS normal
-  FROM documents
-), i AS (
-  SELECT doc_id, list_filter(list_transform(normal, lambda s: MAP {{{known}}}[s]),
-                             lambda x: x IS NOT NULL) AS ids FROM s
+  SELECT doc_id, CASE WHEN regexp_matches(lower(coalesce(text, '')), 'licen|permi|distribut|softw') THEN
+    regexp_replace(regexp_replace(lower(text), '{licenses.REMARK.replace("(?=[ \\t])", "[ \\t]")}', ' ', 'g'), '{licenses.OTHER}', ' ', 'g')
+    ELSE '' END AS normal FROM documents
+), f AS (
+  SELECT doc_id, list_filter(regexp_extract_all(normal, '(?:(?:{negated}) )?\\b(?:{said})\\b'),
+    lambda x: NOT regexp_matches(x, '^(?:{negated}) ')) AS said FROM s
 ), q AS (
-  SELECT *, ' ' || coalesce(array_to_string(ids, ' '), '') || ' ' AS seq FROM i
-), m AS (SELECT *, list_filter([{met}], lambda x: x IS NOT NULL) AS met FROM q)
+  SELECT doc_id, list_transform(said, lambda x: MAP {{{names}}}[x]) AS ids FROM f
+), m AS (
+  SELECT *, ' ' || coalesce(array_to_string(ids, ' '), '') || ' ' AS seq FROM q
+), l AS (SELECT *, list_filter([{met}], lambda x: x IS NOT NULL) AS met FROM m)
 SELECT doc_id, len(ids) AS n_sentences, coalesce(array_to_string(ids, ' '), '') AS sentence_ids,
   coalesce(array_to_string(list_filter(met, lambda x, n: list_position(met, x) = n), ','), '') AS licenses
-FROM m
+FROM l
 """
 
 

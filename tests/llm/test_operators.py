@@ -404,6 +404,38 @@ def test_published_notices_wrapped_and_commented(spark):
         assert r.licenses == names[r.doc_id], (rows[r.doc_id][1], r.sentence_ids)
 
 
+FURTHER = {
+    "GPL-2.0-or-later": GPL.replace("version 3", "version 2"),
+    "LGPL-2.1-or-later": GPL.replace("version 3", "version 2.1").replace("This program", "This library").replace(
+        "GNU General", "GNU Lesser General"),
+    "LGPL-3.0-or-later": GPL.replace("GNU General", "GNU Lesser General"),
+    "AGPL-3.0-or-later": GPL.replace("GNU General", "GNU Affero General"),
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy",
+    "ISC": "# Permission to use, copy, modify, and/or distribute this software for any\n# purpose with or without fee is "
+           "hereby granted, provided that the above\n# copyright notice and this permission notice appear in all copies.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "AGPL-3.0": "SPDX-License-Identifier: AGPL-3.0-only", "LGPL-2.1": "SPDX-License-Identifier: LGPL-2.1-only",
+    "GPL-2.0": "Licensed under the GPL v2.", "": "It is not licensed under the GPL v2.",
+}
+
+
+def test_further_licences_and_their_sql(spark):
+    import duckdb
+
+    from measurelake.llm import sql
+
+    texts = [*FURTHER.values(), APACHE, MIT, BSD, BSD3, GPL, None, "", "dnl Licensed under the MIT license\nrem x"]
+    rows = list(enumerate(texts))
+    got = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.licenses for r in sorted(got)][: len(FURTHER)] == list(FURTHER)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = con.execute(sql.all_sql()["op6_license_scan"])
+    names = [d[0] for d in want.description]
+    assert sorted(tuple(r[n] for n in names) for r in got) == sorted(want.fetchall())
+
+
 def test_raked_shares_meet_targets(spark):
     cells = spark.createDataFrame(
         [(s, g, t, 10 + 90 * (i == 0) + 7 * j * k) for i, s in enumerate("ab") for j, g in enumerate(("en", "de", "xx"))
