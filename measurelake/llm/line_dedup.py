@@ -23,7 +23,7 @@ from measurelake.llm.components import components
 from measurelake.llm.files import binary
 
 EDITS = 2  # the threshold
-LEAST_CHARS = 24  # shorter lines are duplicates only if equal
+CHARS_AN_EDIT = 6  # of the shorter line, so that short lines may differ by one edit or none
 BLOCK = 256  # lines of one side that a task compares at once
 
 _HELD = 100_000  # rows of a key that a task waits with
@@ -32,14 +32,15 @@ _TRIM = b" \t\r"
 
 def line_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS,
-    least_chars: int = LEAST_CHARS, key_col: str | None = None,
+    chars_an_edit: int = CHARS_AN_EDIT, key_col: str | None = None,
 ) -> DataFrame:
     """doc_id, line_no, n_links, class_doc, class_line and kept of every line of every text.
 
     Lines are the parts between line feeds, compared without blanks, tabs and
     carriage returns around them, numbered from 0; empty ones are left out.
-    Lines are linked if equal, or if both have ``least_chars`` characters and at
-    most ``edits`` insertions, deletions and substitutions between them.  A class
+    Lines are linked if equal, or with at most as many insertions, deletions and
+    substitutions between them as :func:`allowed`: one for each ``chars_an_edit`` characters of the
+    shorter line, up to ``edits``.  A class
     holds what is reachable over links; its first line, by document and number, is
     ``kept``.  ``n_links`` counts the different texts that a line's text is linked
     with, itself not included.
@@ -54,7 +55,7 @@ def line_classes(
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keys, F.col(text_col).alias("text"))
     of = ["doc_id", "row_key"] if key_col else ["doc_id"]
     lines = settle(_lines(base, of), "lines")
-    links = settle(_links(base, lines, edits, least_chars), "line_links")
+    links = settle(_links(base, lines, edits, chars_an_edit), "line_links")
     near = components(links.where("b is not null").select("a", "b"))
     counts = links.groupBy("a").agg(F.sum("n").alias("n_links"))
     found = near.join(counts, F.col("node") == F.col("a"), "full").select(
@@ -111,12 +112,20 @@ def places(length: int, other: int, edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _plan(length: int, edits: int, least: int) -> list[tuple[int, int, int, int]]:
+def allowed(length: int, edits: int = EDITS, chars: int = CHARS_AN_EDIT) -> int:
+    """Edits by which a line may differ from one of this length that is no longer than it."""
+    return min(edits, length // chars)
+
+
+def _plan(length: int, edits: int, chars: int) -> list[tuple[int, int, int, int]]:
     """(seed, start, end, own) of each key of a line: its own segments, and what it looks for."""
     out = []
-    for other in range(max(least, length - edits), length + 1):
-        own = dict(enumerate(segments(other, edits))) if other == length else {}
-        for i, start, size in places(length, other, edits):
+    for other in range(max(chars, length - edits), length + 1):
+        few = allowed(other, edits, chars)
+        if length - other > few:
+            continue
+        own = dict(enumerate(segments(other, few))) if other == length else {}
+        for i, start, size in places(length, other, few):
             seed = other * (edits + 1) + i
             out.append((seed, start, start + size, int(own.get(i) == (start, size))))
     return out
@@ -126,7 +135,7 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _keys(rows: pa.Table, edits: int, least: int) -> pa.RecordBatch:
+def _keys(rows: pa.Table, edits: int, chars: int) -> pa.RecordBatch:
     """(key, h, own) of the lines of a batch; equal lines once."""
     seen: set[bytes] = set()
     keys: list[int] = []
@@ -138,16 +147,16 @@ def _keys(rows: pa.Table, edits: int, least: int) -> pa.RecordBatch:
     for text in binary(rows, "text"):
         for line in (text or b"").split(b"\n"):
             line = line.strip(_TRIM)
-            if len(line) < least or line in seen:
+            if len(line) < chars or line in seen:
                 continue
             seen.add(line)
             part = line if line.isascii() else line.decode("utf-8", "replace")
             n = len(part)
-            if n < least:
+            if n < chars:
                 continue
             plan = plans.get(n)
             if plan is None:
-                plan = plans[n] = _plan(n, edits, least)
+                plan = plans[n] = _plan(n, edits, chars)
             if part is line:
                 keys += [digest(line[a:b], seed) for seed, a, b, _ in plan]
             else:
@@ -162,9 +171,9 @@ def _keys(rows: pa.Table, edits: int, least: int) -> pa.RecordBatch:
     )
 
 
-def _links(base: DataFrame, lines: DataFrame, edits: int, least: int) -> DataFrame:
+def _links(base: DataFrame, lines: DataFrame, edits: int, chars: int) -> DataFrame:
     """Rows (a, b, null) that connect all linked lines, and rows (a, null, n): links of a line."""
-    listed = map_arrow(base.select("text"), lambda rows: _keys(rows, edits, least),
+    listed = map_arrow(base.select("text"), lambda rows: _keys(rows, edits, chars),
                        "key long, h long, own boolean")
     sorted_ = listed.repartition("key").sortWithinPartitions("key")
     met = settle(run_arrow(sorted_, _meet, "key long, h long, own boolean"), "meetings")
@@ -181,7 +190,7 @@ def _links(base: DataFrame, lines: DataFrame, edits: int, least: int) -> DataFra
     keys = ["key", "block_a", "block_b"]
     return map_groups(
         dealt.select(*keys, "block_own", "h", "own", "line"), keys,
-        lambda rows, starts: _verify(rows, starts, edits), "a long, b long, n long",
+        lambda rows, starts: _verify(rows, starts, edits, chars), "a long, b long, n long",
     )
 
 
@@ -224,7 +233,7 @@ def _different(
         [pa.array(c[rows]) for c in (key, h, own)], ["key", "h", "own"])
 
 
-def _verify(rows: pa.Table, starts: np.ndarray, edits: int) -> pa.RecordBatch:
+def _verify(rows: pa.Table, starts: np.ndarray, edits: int, chars: int) -> pa.RecordBatch:
     hashes, blocks = rows.column("h").to_pylist(), rows.column("block_own").to_pylist()
     owns, lines = rows.column("own").to_pylist(), rows.column("line").to_pylist()
     keys = rows.column("key").to_pylist()
@@ -242,13 +251,14 @@ def _verify(rows: pa.Table, starts: np.ndarray, edits: int) -> pa.RecordBatch:
         root: dict[int, int] = {}
         for a in listed:
             line, block = members[a]
+            few = allowed(len(line), edits, chars)
             for b, (other, other_block) in members.items():
                 if a == b or (sides and block == other_block) or len(line) > len(other):
                     continue
-                if (len(line) == len(other) and b < a) or not within(line, other, edits):
+                if (len(line) == len(other) and b < a) or not within(line, other, few):
                     continue
                 # Pairs that meet under several keys count under the first.
-                if _first_key(line, other, edits) == keys[at]:
+                if _first_key(line, other, edits, chars) == keys[at]:
                     counts[a] = counts.get(a, 0) + 1
                     counts[b] = counts.get(b, 0) + 1
                 x, y = _root(root, a), _root(root, b)
@@ -266,10 +276,11 @@ def _root(root: dict[int, int], node: int) -> int:
     return node
 
 
-def _first_key(line: str, other: str, edits: int) -> int | None:
+def _first_key(line: str, other: str, edits: int, chars: int = CHARS_AN_EDIT) -> int | None:
     """The first key under which ``other`` looks up ``line`` and finds it."""
-    parts = segments(len(line), edits)
-    for i, start, size in places(len(other), len(line), edits):
+    few = allowed(len(line), edits, chars)
+    parts = segments(len(line), few)
+    for i, start, size in places(len(other), len(line), few):
         own = line[parts[i][0] : parts[i][0] + size]
         if other.startswith(own, start):
             return _signed(xxhash.xxh64_intdigest(own.encode(), len(line) * (edits + 1) + i))

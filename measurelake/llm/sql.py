@@ -172,7 +172,7 @@ line_all AS (
 ), line_links AS MATERIALIZED (
   SELECT a.id AS a, b.id AS b FROM line_texts a JOIN line_texts b
     ON b.size BETWEEN a.size - 2 AND a.size + 2 AND a.id <> b.id
-  WHERE a.size >= 24 AND b.size >= 24 AND levenshtein(a.line, b.line) <= 2
+  WHERE levenshtein(a.line, b.line) <= least(2, least(a.size, b.size) // 6)
 ), line_reach AS (
   SELECT a, b FROM line_links
   UNION SELECT r.a, l.b FROM line_reach r JOIN line_links l ON r.b = l.a

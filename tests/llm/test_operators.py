@@ -123,8 +123,8 @@ def test_edit_distance_and_segments():
         for edits in (1, 2, 3):
             assert line_dedup.within(a, b, edits) == (distance(a, b) <= edits), (a, b)
         short, long_ = sorted((a, b), key=len)
-        if len(short) >= 6 and distance(a, b) <= 2:  # a segment is found where it may have moved to
-            assert line_dedup._first_key(short, long_, 2) is not None
+        if distance(a, b) <= line_dedup.allowed(len(short)):  # a segment is found where it may have moved to
+            assert short == long_ or line_dedup._first_key(short, long_, 2) is not None
 
 
 @pytest.mark.parametrize("block", [256, 3])
@@ -132,7 +132,7 @@ def test_line_classes(spark, monkeypatch, block):
     monkeypatch.setattr(line_dedup, "BLOCK", block)
     monkeypatch.setattr(line_dedup, "_HELD", 4)
     rng = random.Random(5)
-    base = ["".join(rng.choice("abcd é") for _ in range(n)) + "#" for n in (23, 24, 40, 41, 90, 300)]
+    base = ["".join(rng.choice("abcd é") for _ in range(n)) + "#" for n in (4, 5, 6, 8, 11, 12, 17, 23, 24, 41, 90, 300)]
     lines = [edited(b, rng, n) for b in base for n in (0, 1, 2, 3, 1, 0)] + ["short", "shorT", "short", "", " "]
     rng.shuffle(lines)
     texts = ["\n".join(lines[i : i + 4]) for i in range(0, len(lines), 4)] + [None, "", "short\r"]
@@ -143,13 +143,13 @@ def test_line_classes(spark, monkeypatch, block):
 
     def linked(a, b):
         x, y = flat[a][2], flat[b][2]
-        return x == y or (min(len(x), len(y)) >= 24 and distance(x, y) <= 2)
+        return distance(x, y) <= min(2, min(len(x), len(y)) // 6)
 
     order = sorted(range(len(flat)), key=lambda i: flat[i][:2])
     flat = [flat[i] for i in order]
     want = reach(range(len(flat)), linked)
-    partners = {t: len({u for *_, u in flat if u != t and min(len(t), len(u)) >= 24
-                        and distance(t, u) <= 2}) for *_, t in flat}
+    partners = {t: len({u for *_, u in flat if u != t and distance(t, u) <= min(2, min(len(t), len(u)) // 6)})
+                for *_, t in flat}
     got = {(-1 if r.doc_id is None else r.doc_id, r.line_no): r for r in line_dedup.line_classes(df).collect()}
     assert len(got) == len(flat)
     for i, (doc, no, text) in enumerate(flat):
