@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from measurelake.llm.common import map_arrow, map_groups, run_arrow, settle
 from measurelake.llm.components import components
 
-SHORT = 24  # items of a list whose pairs are all passed on
+SHORT = 6  # items of a list whose pairs are all passed on
 BLOCK = 4096  # items of one side of a pair of blocks, told apart by sketches
 WHOLE, WHOLE_BYTES = 768, 1 << 24  # a group compared in one task: its members, the size of its sets
 SET_BLOCK, SET_BYTES = 256, 1 << 23  # one side of a pair of blocks of sets
