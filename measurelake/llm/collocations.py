@@ -194,11 +194,16 @@ def _grams(
             fits[at] = marks.value.has(parts[size][at + start])
         wanted |= fits
     at = np.flatnonzero(wanted)
+    bits = max(1, (len(hashes) - 1).bit_length())
+    if length * bits <= 63:  # a phrase in one number, from which its words are read back
+        key = ids[at]
+        for i in range(1, length):
+            key = key << bits | ids[at + i]
+        key, counts = np.unique(key, return_counts=True)
+        return [key >> bits * (length - 1 - i) & (1 << bits) - 1 for i in range(length)], counts
     key = ids[at]
     for i in range(1, length):
-        if int(key.max(initial=0)) >= 1 << 40:
-            key = np.unique(key, return_inverse=True)[1]
-        key = key << 22 | ids[at + i] if len(hashes) <= 1 << 22 else _paired(key, ids[at + i])
+        key = _paired(key, ids[at + i])
     _, first, counts = np.unique(key, return_index=True, return_counts=True)
     return [ids[at[first] + i] for i in range(length)], counts
 
