@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from measurelake.sources.writers import settle, working_path
 
-__all__ = ["blocked", "forest", "hashed_sample", "keyed", "map_arrow", "map_groups", "run_arrow",
+__all__ = ["blocked", "hashed_sample", "keyed", "map_arrow", "map_groups", "run_arrow",
            "settle", "spans", "table", "working_path"]
 
 
@@ -134,19 +134,3 @@ def blocked(df: DataFrame, item: str, count: str, block: int) -> DataFrame:
     return out.withColumns({
         "block_a": F.least("block_own", "_other"), "block_b": F.greatest("block_own", "_other"),
     }).drop("_other")
-
-
-def forest(linked: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Edges of a spanning forest of a symmetric boolean matrix, as (root, node)."""
-    open_ = np.ones(len(linked), bool)
-    for root in range(len(linked)):
-        if not open_[root]:
-            continue
-        open_[root] = False
-        stack = [root]
-        while stack:
-            found = np.flatnonzero(linked[stack.pop()] & open_)
-            open_[found] = False
-            for node in found.tolist():
-                yield root, node
-                stack.append(node)
