@@ -6,7 +6,8 @@ Two uses: items that stand under a common key, told apart by sketches
 links.  A short list is compared pair by pair.  A long one is first compared with one
 item of its own, its pivot, which is linear and connects most of a group of copies.
 Items that ended up under one label need no comparison among themselves; the rest is
-compared with the rest and with all others, dealt out as pairs of blocks.
+compared with the rest and with all others, dealt out as pairs of blocks.  Lists that
+hold mostly the same items, as those of a group of near copies, are first made one list.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ SHORT = 6  # items of a list whose pairs are all passed on
 BLOCK = 4096  # items of one side of a pair of blocks, told apart by sketches
 WHOLE, WHOLE_BYTES = 768, 1 << 24  # a group compared in one task: its members, the size of its sets
 SET_BLOCK, SET_BYTES = 256, 1 << 23  # one side of a pair of blocks of sets
+ROW = 64  # comparisons of sketches that cost as much as dealing out one row
 ROUNDS = 8  # pivots of a large group at most; what they leave is dealt out in blocks
 
 
@@ -59,11 +61,11 @@ def candidate_groups(lists: DataFrame, payload: DataFrame, kind: Sketches, perce
     near = settle(_near_pairs(pairs, payload, kind), "near")
 
     long_ = shared.where(F.col("n") > SHORT)
-    labels = settle(_labels(near), "labels")
-    named = long_.join(labels, F.col("item") == F.col("node"), "left").select(
-        *keys, "item", F.coalesce("component", "item").alias("label"))
-    rest = _rest_edges(named, keys, payload, kind)
-    return components(near.union(rest))
+    labels = settle(components(near), "labels")
+    named = settle(long_.join(labels, F.col("item") == F.col("node"), "left").select(
+        *keys, "item", F.coalesce("component", "item").alias("label")), "named")
+    rest = settle(_rest_edges(*_merged_lists(named, keys), payload, kind), "rest")
+    return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest))
 
 
 def _labels(edges: DataFrame) -> DataFrame:
@@ -169,6 +171,45 @@ def dealt(members: DataFrame, keys: list[str], blocks: Callable[[Column, Column]
     }).drop("_other", "_main", "_rest_blocks", "_main_blocks")
 
 
+def _work(n: Column, main: Column) -> Column:
+    """What it costs to compare a list of ``n`` items, ``main`` of them of one label: rows dealt out, and comparisons."""
+    rest = n - main
+    rest_blocks, main_blocks = (F.ceil(x / F.lit(BLOCK)) for x in (rest, main))
+    rows = main * rest_blocks + rest * (rest_blocks + main_blocks)
+    return (F.lit(ROW) * rows + rest * n).cast("double")
+
+
+def _merged_lists(named: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """(rows of lists with unlike labels, their keys), lists of one main label made one where that costs less.
+
+    The items of a group of near copies stand in many lists together.  An item of another label
+    that is in several of these lists would be compared with the same items in each.  A
+    merged list holds all items of its lists, so whoever shared a list still does.
+    """
+    sizes = named.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("_n"))
+    mixed = sizes.groupBy(*keys).agg(
+        F.sum("_n").alias("_all"), F.max(F.struct("_n", "label")).alias("_main"), F.count(F.lit(1)).alias("_labels"),
+    ).where("_labels > 1").select(
+        *[F.col(k).alias(f"_{k}") for k in keys], F.col("_main.label").alias("of"),
+        _work(F.col("_all"), F.col("_main._n")).alias("_work"))
+    mixed = settle(mixed, "mixed")
+    same = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"_{k}") for k in keys])
+    rows = settle(named.join(mixed, same).select(*keys, "item", "label", "of"), "rows")
+    apart = mixed.groupBy(F.col("of").alias("_of")).agg(F.sum("_work").alias("_apart"))
+    whole = rows.select("of", "item", "label").distinct().groupBy("of").agg(
+        F.count(F.lit(1)).alias("_all"), F.count_if(F.col("label") == F.col("of")).alias("_n"))
+    merged = settle(
+        whole.join(apart, F.col("of") == F.col("_of")).where(_work(F.col("_all"), F.col("_n")) < F.col("_apart"))
+        .select("_of"), "merged")
+    told = rows.join(merged, F.col("of") == F.col("_of"), "left")
+    one = F.col("_of").isNotNull()
+    told = told.select(
+        *[F.when(~one, F.col(k)).otherwise(F.lit(0)).cast("long").alias(k) for k in keys],
+        F.when(one, F.col("of")).otherwise(F.lit(0)).cast("long").alias("of"), one.cast("long").alias("one"),
+        "item", "label")
+    return settle(told.distinct(), "members"), [*keys, "of", "one"]
+
+
 def _rest_edges(named: DataFrame, keys: list[str], payload: DataFrame, kind: Sketches) -> DataFrame:
     """Edges between items of unlike labels that are strictly near, enough to connect them."""
     deal = dealt(named.withColumn("weight", F.lit(0)), keys, lambda n, w: F.ceil(n / F.lit(BLOCK)).cast("long"))

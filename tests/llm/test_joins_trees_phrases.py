@@ -201,6 +201,35 @@ def test_edges_grow_with_a_group_and_not_with_its_square(spark, monkeypatch):
     assert found["links"][1] <= 2.6 * found["links"][0]
 
 
+def test_lists_of_the_same_items_are_dealt_out_once(spark, monkeypatch):
+    class Firsts(linking.Sketches):
+        """Sketches that are near if their first bytes are equal."""
+
+        def compared(self, data, sizes):
+            return lambda i: np.array([d[0] == data[i][0] for d in data])
+
+        def pairs(self, a, b, sizes, relaxed):
+            return np.array([x[0] == y[0] for x, y in zip(a, b, strict=True)], bool)
+
+    dealt, real = [], linking.dealt
+
+    def counted(*args):
+        dealt.append(linking.settle(real(*args), "counted"))
+        return dealt[-1]
+
+    monkeypatch.setattr(linking, "dealt", counted)
+    # Forty lists of fifty copies and five others, of which two are near each other; one list of nine pairs.
+    kinds = {i: b"a" for i in range(50)} | {50: b"b", 51: b"c", 52: b"d", 53: b"e", 54: b"e"}
+    kinds |= {i: b"%c" % (100 + i % 9) for i in range(60, 78)}
+    lists = [(k, i, 10) for k in range(40) for i in range(55) if i != k] + [(99, i, 10) for i in range(60, 78)]
+    lists = linking.settle(spark.createDataFrame(lists, "k long, item long, size long"), "lists")
+    payload = linking.settle(spark.createDataFrame(
+        [(i, 10, bytearray(x)) for i, x in kinds.items()], "item long, size long, data binary"), "payload")
+    got = {r.node: r.component for r in linking.candidate_groups(lists, payload, Firsts(), 75).collect()}
+    assert got == {i: 0 for i in range(50)} | {53: 53, 54: 53} | {i: 60 + (i - 60) % 9 for i in range(60, 78)}
+    assert dealt[0].count() <= 3 * len(kinds)  # not once for each of the lists
+
+
 def test_components_of_a_hub_and_a_path(spark):
     edges = [(0, i) for i in range(1, 500)] + [(i, i + 1) for i in range(1000, 1040)] + [(7, 7), (None, 3)]
     got = components(spark.createDataFrame(edges, "a long, b long"))
