@@ -29,6 +29,7 @@ KEYS = ("state_name", "county_name", "site_name", "date_local")
 _MEASURES = {"pm25": "pm25_cleaned", "aqi": "aqi_cleaned", "latitude": "latitude",
              "longitude": "longitude", "observed": "observation_percent"}
 _FLOORED = ("pm25", "aqi")  # also summed with missing and negative values as zero
+_SHARES = 8  # tasks that the readings of one key are dealt to
 
 
 def daily_rollup(cleaned: DataFrame) -> DataFrame:
@@ -37,15 +38,24 @@ def daily_rollup(cleaned: DataFrame) -> DataFrame:
     ``n`` counts readings, ``n_<m>`` those with a value of a measure and ``sum_<m>`` adds them
     up.  ``m2_pm25`` is the sum of squared deviations from the row's own mean, from which
     deviations of larger groups follow without losing digits.
+
+    Readings are dealt by key before they are grouped: most keys have few readings, so what
+    is grouped within a task of the scan would grow with the rows of a compressed file.
+    Those of one key go to several tasks, so a frequent one is reduced before it meets.
+    The number of tasks is told, as adaptive execution would merge them by compressed size.
     """
     pm25, aqi = F.col("pm25_cleaned"), F.col("aqi_cleaned")
+    measures = list(_MEASURES.values())
+    share = F.pmod(F.xxhash64(*measures), F.lit(_SHARES))
+    tasks = int(cleaned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cleaned.select(*KEYS, *measures).repartition(tasks, *KEYS, share)
     figures = [F.count(F.lit(1)).alias("n")]
     for name, column in _MEASURES.items():
         figures += [F.sum(column).alias(f"sum_{name}"), F.count(column).alias(f"n_{name}")]
         if name in _FLOORED:
             floored = F.greatest(F.coalesce(column, F.lit(0.0)), F.lit(0.0))
             figures.append(F.sum(floored).alias(f"floored_{name}"))
-    return cleaned.groupBy(*KEYS).agg(
+    return dealt.groupBy(*KEYS).agg(
         *figures,
         F.min(pm25).alias("min_pm25"), F.max(pm25).alias("max_pm25"),
         (F.var_pop(pm25) * F.count(pm25)).alias("m2_pm25"),

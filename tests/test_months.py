@@ -138,6 +138,19 @@ def test_rollup_answers_as_the_readings_do(spark, year, tmp_path):
     assert rollup.state_comparison(rollup.daily_rollup(done.where("false")), everything).count() == 0
 
 
+def test_the_rollup_groups_no_more_in_a_task_than_it_was_dealt(spark, cleaned):
+    one = cleaned({}).drop("site_name", "pm25_cleaned")
+    rows = spark.range(0, 8000, 1, 1).crossJoin(F.broadcast(one))  # the scan is one task
+    own = rows.selectExpr("*", "concat('s', id) AS site_name", "double(id) AS pm25_cleaned")
+    hot = rows.selectExpr("*", "'s' AS site_name", "double(id) AS pm25_cleaned")
+    for made in (own, hot):
+        plan = rollup.daily_rollup(made)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan[plan.index("partial_count"):]  # rows are dealt before the first grouping
+    found = rollup.daily_rollup(hot).collect()
+    assert len(found) == 1 and found[0].n == 8000 and found[0].sum_pm25 == sum(range(8000))
+    assert rollup.daily_rollup(own).count() == 8000
+
+
 def test_the_rollup_is_all_that_is_read(spark, year, tmp_path):
     path = rollup.write_rollup(rollup.daily_rollup(cleanup.clean(year)), str(tmp_path / "rollup"))
     pruned = rollup.state_comparison(rollup.read_rollup(spark, path, keep_folders=True),
