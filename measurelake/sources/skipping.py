@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from measurelake.model import ColumnMap
 from measurelake.operators.filters import search
@@ -53,6 +55,8 @@ def write_clustered(
 
 # -- words and the files that hold them ------------------------------------------
 
+_PLAIN_TYPES = (T.IntegralType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+
 
 def _folded(text: Column) -> Column:
     """Text in a form in which all spellings are equal that a search regards as equal."""
@@ -66,16 +70,28 @@ def write_token_index(
 ) -> str:
     """Write (token, file) of every word, between white space, of every column of a Parquet table.
 
-    One row for each file without any word keeps it known.  Distinct words of a file are
-    few beside its rows; they are counted within the scan's tasks before the shuffle.
+    One row for each file without any word keeps it known.  Distinct values of a column are
+    few beside its rows: each column is reduced to those of each file, in a scan of its own
+    that reads this column only, before any text is folded and split.
     """
     rows = spark.read.parquet(table)
-    cells = [F.coalesce(_folded(F.col(f"`{c}`").cast("string")), F.lit("")) for c in columns or rows.columns]
-    words = F.array_distinct(F.flatten(F.array(*[F.split(c, r"\s+") for c in cells])))
-    told = rows.select(F.col("_metadata.file_path").alias("file"), F.explode(words).alias("token"))
+    told = reduce(DataFrame.union, [_words(_values(rows, c)) for c in columns or rows.columns])
     return write_parquet(told.distinct().repartitionByRange("token", "file").sortWithinPartitions("token"), path, mode=mode)
 
 
+def _values(rows: DataFrame, column: str) -> DataFrame:
+    """(file, value) of the distinct values of a column, as they are if grouping keeps their spelling."""
+    value = F.col(f"`{column}`")
+    if not isinstance(rows.select(value).schema[0].dataType, _PLAIN_TYPES):
+        value = value.cast("string")  # negative zero would become zero, for one
+    return rows.select(F.col("_metadata.file_path").alias("file"), value.alias("value")).distinct()
+
+
+def _words(values: DataFrame) -> DataFrame:
+    text = F.coalesce(_folded(F.col("value").cast("string")), F.lit(""))
+    return values.select("file", F.explode(F.split(text, r"\s+")).alias("token"))
+
+
 def files_with(index: DataFrame, term: str) -> DataFrame:
     """(file) of the files that may hold a text; all of them for white space only."""
     parts = re.split(r"[ \t\n\x0b\f\r]+", term)

@@ -90,6 +90,28 @@ def test_the_same_rows_as_a_full_search(spark, words, term):
     assert plain(skipping.search_indexed(spark, table, index, term)) == want
 
 
+def test_the_index_folds_distinct_values_only(spark, cleaned, tmp_path, monkeypatch):
+    path = writers.write_parquet(cleaned, str(tmp_path / "t"))
+    written, real = [], skipping.write_parquet
+    monkeypatch.setattr(skipping, "write_parquet", lambda df, *a, **k: written.append(df) or real(df, *a, **k))
+    skipping.write_token_index(spark, path, str(tmp_path / "i"))
+    plan = written[0]._jdf.queryExecution().optimizedPlan().toString()
+    branches = plan.split("Generate explode")[1:]
+    assert len(branches) == len(cleaned.columns) and all("Aggregate" in b for b in branches)
+
+
+def test_the_index_has_the_words_of_every_type(spark, tmp_path):
+    rows = spark.sql("""
+        SELECT -0D AS a, float('nan') AS b, 1.50BD AS c, true AS d, date'2024-01-02' AS e, ' Zwei  Worte' AS f,
+               array(1, 2) AS g, 7Y AS h, binary('q r') AS i, timestamp'2024-01-02 03:04:05' AS j
+        UNION ALL SELECT 0D, null, null, false, null, 'zwei', null, null, null, null""")
+    path = writers.write_parquet(rows.coalesce(1), str(tmp_path / "t"))
+    told = spark.read.parquet(skipping.write_token_index(spark, path, str(tmp_path / "i")))
+    words = sorted(r.token for r in told.collect())
+    assert words == sorted(["-0.0", "0.0", "nan", "1.50", "true", "false", "2024-01-02", "", "zwei", "worte", "[1,", "2]",
+                            "7", "q", "r", "03:04:05"])
+
+
 def test_files_without_the_word_are_not_read(spark, words):
     table, index = words
     assert len(skipping.search_indexed(spark, table, index, "x.y").inputFiles()) == 1
