@@ -17,14 +17,16 @@ survive.  Where fewer than the number wanted survive, the threshold falls and th
 frontier is expanded again; at 0 it holds everything.
 
 Each level is one pass over the texts.  A task numbers the words it meets, counts in
-arrays, and passes on sums.  What a pass has to count is told by bitmaps of bounded
-size; a phrase that they let through by chance is counted whole and judged like any.
+arrays of bounded size, and passes on sums, a row for a phrase unless it meets very
+many.  What a pass has to count is told by bitmaps of bounded size; a phrase that they
+let through by chance is counted whole and judged like any.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +43,13 @@ NO_LANGUAGE = "und"
 
 _PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _ONE_END = bytes.maketrans(_PIECE_ENDS, b"." * len(_PIECE_ENDS))
-_SLICE = 4_000_000  # bytes of texts that are cut into words at once
-_TOKENS = 3_000_000  # words that are counted at once
+_ROWS = 500  # texts that are taken from a batch at once
+_SLICE = 1_000_000  # bytes of texts that are cut into words at once
+_TOKENS = 1_000_000  # words that are counted at once
+_PLACES = 1 << 18  # places in them that are looked up at once
 _WORDS = 700_000  # words that a task keeps numbered
+_SUMS = 2_000_000  # phrases that a task keeps sums of
+_OUT = 50_000  # rows that are passed on at once
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                      0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -64,34 +70,31 @@ class _Reader:
 
     def __init__(self, seed: int) -> None:
         self._seed = seed
-        self._start_over()
+        self.start_over()
 
-    def _start_over(self) -> None:
+    def start_over(self) -> None:
+        """Forget the numbers given so far."""
         self._numbers = _Numbers({b".": 0})
         self._hashes = np.zeros(1, np.uint64)
 
-    def read(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray]]:
-        """(language, numbers of words); 0 between pieces."""
+    def full(self) -> bool:
+        return len(self._numbers) > _WORDS
+
+    def read(self, batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[np.ndarray]]]:
+        """Numbers of words by language, in parts that end with a 0; 0 between pieces."""
         held: dict[str, list[np.ndarray]] = {}
         tokens = 0
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            for lang, text in _slices(rows.column("lang").to_pylist(), binary(rows, "text")):
-                found = words_of(text)
-                held.setdefault(lang, []).append(
-                    np.fromiter(map(self._numbers.__getitem__, found), np.int64, len(found)))
-                tokens += len(found)
-                if tokens > _TOKENS:
-                    yield from self._given(held)
-                    held, tokens = {}, 0
-                    if len(self._numbers) > _WORDS:
-                        self._start_over()
-        yield from self._given(held)
-
-    def _given(self, held: dict[str, list[np.ndarray]]) -> Iterator[tuple[str, np.ndarray]]:
-        gap = np.zeros(1, np.int64)
-        for lang, parts in held.items():
-            yield lang, np.concatenate([x for part in parts for x in (part, gap)])
+        for lang, text in _slices(batches):
+            found = words_of(text)
+            found.append(b".")
+            held.setdefault(lang, []).append(
+                np.fromiter(map(self._numbers.__getitem__, found), np.int32, len(found)))
+            tokens += len(found)
+            if tokens > _TOKENS:
+                del text, found
+                yield held
+                held, tokens = {}, 0
+        yield held
 
     def words(self) -> list[bytes]:
         return list(self._numbers)
@@ -100,24 +103,28 @@ class _Reader:
         """A hash for each number."""
         known = len(self._hashes)
         if known < len(self._numbers):
-            new = list(self._numbers)[known:]
-            digests = [xxhash.xxh64_intdigest(w, self._seed) for w in new]
-            self._hashes = np.concatenate([self._hashes, np.array(digests, np.uint64)])
+            new = islice(self._numbers, known, None)
+            digests = np.fromiter((xxhash.xxh64_intdigest(w, self._seed) for w in new), np.uint64,
+                                  len(self._numbers) - known)
+            self._hashes = np.concatenate([self._hashes, digests])
         return self._hashes
 
 
-def _slices(langs: list[str], texts: list[bytes | None]) -> Iterator[tuple[str, bytes]]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
     """(language, texts joined), of limited size unless one text is larger."""
-    held: dict[str, list[bytes]] = {}
-    sizes: dict[str, int] = {}
-    for lang, text in zip(langs, texts, strict=True):
-        held.setdefault(lang, []).append(text or b"")
-        sizes[lang] = sizes.get(lang, 0) + len(text or b"")
-        if sizes[lang] > _SLICE:
-            yield lang, b" . ".join(held.pop(lang))
-            del sizes[lang]
-    for lang, parts in held.items():
-        yield lang, b" . ".join(parts)
+    for batch in batches:
+        for start in range(0, batch.num_rows, _ROWS):
+            rows = pa.Table.from_batches([batch.slice(start, _ROWS)])
+            held: dict[str, list[bytes]] = {}
+            sizes: dict[str, int] = {}
+            for lang, text in zip(rows.column("lang").to_pylist(), binary(rows, "text"), strict=True):
+                held.setdefault(lang, []).append(text or b"")
+                sizes[lang] = sizes.get(lang, 0) + len(text or b"")
+                if sizes[lang] > _SLICE:
+                    yield lang, b" . ".join(held.pop(lang))
+                    del sizes[lang]
+            for lang, parts in held.items():
+                yield lang, b" . ".join(parts)
 
 
 def _hash(lang: str, words: list[np.ndarray]) -> np.ndarray:
@@ -159,73 +166,131 @@ def _count(base: DataFrame, length: int, ways: list[_Way], least: int, seed: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader(seed)
-        for lang, ids in reader.read(batches):
-            found, counts = _grams(ids, reader.hashes(), lang, length, ways)
-            if len(counts):
-                words = [reader.hashes()[c].view(np.int64) for c in found]
-                rows = pa.table({"lang": pa.array([lang] * len(counts), pa.string()),
-                                 **dict(zip(names, words, strict=True)), "n": counts})
-                yield from rows.to_batches(max_chunksize=50_000)
+        for lang, found, counts in _sums(
+                reader, batches, length, lambda lang, ids: _wanted(ids, reader.hashes(), lang, length, ways)):
+            words = [reader.hashes()[c].view(np.int64) for c in found]
+            yield pa.record_batch({"lang": pa.array([lang] * len(counts), pa.string()),
+                                   **dict(zip(names, words, strict=True)), "n": counts})
 
     schema = ", ".join(["lang string", *[f"{n} long" for n in names], "n long"])
-    counted = run_arrow(base, run, schema).groupBy("lang", *names).agg(F.sum("n").alias("a"))
+    # Tasks pass on sums: they are dealt as they are, and not gathered by each task once more.
+    dealt = run_arrow(base, run, schema).repartition("lang", *names)
+    counted = dealt.groupBy("lang", *names).agg(F.sum("n").alias("a"))
     return settle(counted.where(F.col("a") >= least), f"phrases{length}")
 
 
-def _grams(
-    ids: np.ndarray, hashes: np.ndarray, lang: str, length: int, ways: list[_Way]
-) -> tuple[list[np.ndarray], np.ndarray]:
-    """Word numbers by place, and counts, of the wanted phrases of a run of words."""
-    n = len(ids) - length + 1
-    if n <= 0:
-        return [], np.empty(0, np.int64)
-    word = hashes[ids]
-    parts: dict[int, np.ndarray] = {}
-    within = ids != 0
-    whole = reduce(np.logical_and, [within[i : i + n] for i in range(length)])
-    wanted = np.zeros(n, bool)
-    for way in ways:
-        fits = whole.copy()
-        for marks, start, size in way:
-            if size not in parts:
-                m = len(ids) - size + 1
-                parts[size] = _hash(lang, [word[i : i + m] for i in range(size)])
-            at = np.flatnonzero(fits)
-            fits[at] = marks.value.has(parts[size][at + start])
-        wanted |= fits
-    at = np.flatnonzero(wanted)
-    bits = max(1, (len(hashes) - 1).bit_length())
-    if length * bits <= 63:  # a phrase in one number, from which its words are read back
-        key = ids[at]
-        for i in range(1, length):
-            key = key << bits | ids[at + i]
-        key, counts = np.unique(key, return_counts=True)
-        return [key >> bits * (length - 1 - i) & (1 << bits) - 1 for i in range(length)], counts
-    key = ids[at]
-    for i in range(1, length):
-        key = _paired(key, ids[at + i])
-    _, first, counts = np.unique(key, return_index=True, return_counts=True)
-    return [ids[at[first] + i] for i in range(length)], counts
-
+def _wanted(ids: np.ndarray, hashes: np.ndarray, lang: str, length: int, ways: list[_Way]) -> np.ndarray:
+    """Where the wanted phrases of a run of words begin."""
+    out = [np.empty(0, np.int64)]
+    for first in range(0, len(ids) - length + 1, _PLACES):
+        here = ids[first : first + _PLACES + length - 1]
+        n = len(here) - length + 1
+        word = hashes[here]
+        parts: dict[int, np.ndarray] = {}
+        within = here != 0
+        whole = reduce(np.logical_and, [within[i : i + n] for i in range(length)])
+        wanted = np.zeros(n, bool)
+        for way in ways:
+            fits = whole.copy()
+            for marks, start, size in way:
+                if size not in parts:
+                    m = len(here) - size + 1
+                    parts[size] = _hash(lang, [word[i : i + m] for i in range(size)])
+                at = np.flatnonzero(fits)
+                fits[at] = marks.value.has(parts[size][at + start])
+            wanted |= fits
+        out.append(np.flatnonzero(wanted) + first)
+    return np.concatenate(out)
+
+
+#: Phrases as the numbers of their words by place, and how often each occurs.
+_Counted = tuple[list[np.ndarray], np.ndarray]
+
+
+def _sums(
+    reader: _Reader, batches: Iterator[pa.RecordBatch], length: int,
+    places: Callable[[str, np.ndarray], np.ndarray],
+) -> Iterator[tuple[str, list[np.ndarray], np.ndarray]]:
+    """(language, numbers of words by place, counts) of the phrases that begin at ``places``.
+
+    A phrase is given once, unless there are more than a task keeps; a few rows at a time.
+    """
+    held: dict[str, list[_Counted]] = {}
 
-def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.unique(a, return_inverse=True)[1] << 32 | b
+    def merged() -> int:
+        for lang, parts in held.items():
+            if len(parts) > 1:
+                words = [np.concatenate(column) for column in zip(*[w for w, _ in parts], strict=True)]
+                counts = np.concatenate([c for _, c in parts])
+                parts[:] = [_grouped(words, counts, reader)]
+        return sum(len(counts) for parts in held.values() for _, counts in parts)
+
+    def given() -> Iterator[tuple[str, list[np.ndarray], np.ndarray]]:
+        merged()
+        while held:
+            lang, parts = held.popitem()
+            for words, counts in parts:
+                for start in range(0, len(counts), _OUT):
+                    yield lang, [w[start : start + _OUT] for w in words], counts[start : start + _OUT]
+
+    size = 0
+    for run in reader.read(batches):
+        while run:
+            lang, parts = run.popitem()
+            ids = np.concatenate(parts)
+            del parts
+            at = places(lang, ids)
+            words, counts = _grouped([ids[at + i] for i in range(length)], None, reader)
+            if len(counts):
+                held.setdefault(lang, []).append((words, counts))
+                size += len(counts)
+        if size > _SUMS:
+            size = merged()
+            if size > _SUMS // 2:  # merged again and again, they would stay many
+                yield from given()
+                size = 0
+        if reader.full():
+            yield from given()
+            size = 0
+            reader.start_over()
+    yield from given()
+
+
+def _grouped(words: list[np.ndarray], counts: np.ndarray | None, reader: _Reader) -> _Counted:
+    """Each phrase once, with the sum of its counts (of 1 each, if none are given)."""
+    bits = max(1, (len(reader.hashes()) - 1).bit_length())
+    key, used = words[0].astype(np.int64), bits
+    for word in words[1:]:  # a phrase in one number, with ranks for its first words where they are too many
+        if used + bits > 63:
+            ranked, key = np.unique(key, return_inverse=True)
+            used = len(ranked).bit_length()
+        key = key << bits | word
+        used += bits
+    if counts is None and len(words) * bits <= 63:  # the words are read back from the number
+        key, counts = np.unique(key, return_counts=True)
+        last = len(words) - 1
+        return [(key >> bits * (last - i) & (1 << bits) - 1).astype(np.int32) for i in range(len(words))], counts
+    order = key.argsort(kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    if counts is None:
+        counts = np.diff(np.append(first, len(key)))
+    elif len(first):
+        counts = np.add.reduceat(counts[order], first)
+    order = order[first]
+    return [w[order] for w in words], counts
 
 
 def _vocabulary(base: DataFrame, seed: int) -> DataFrame:
     """(lang, word, h, f) of all words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader(seed)
-        for lang, ids in reader.read(batches):
-            counts = np.bincount(ids)
-            counts[0] = 0
-            used = np.flatnonzero(counts)
-            words, hashes = reader.words(), reader.hashes()
-            rows = pa.table({
+        for lang, (used,), counts in _sums(reader, batches, 1, lambda lang, ids: np.flatnonzero(ids)):
+            words = reader.words()
+            yield pa.record_batch({
                 "lang": pa.array([lang] * len(used), pa.string()),
                 "word": pa.array([words[i] for i in used.tolist()], pa.binary()),
-                "h": hashes[used].view(np.int64), "n": counts[used]})
-            yield from rows.to_batches(max_chunksize=50_000)
+                "h": reader.hashes()[used].view(np.int64), "n": counts})
 
     counted = run_arrow(base, run, "lang string, word binary, h long, n long")
     return settle(counted.groupBy("lang", "word").agg(F.first("h").alias("h"), F.sum("n").alias("f")), "words")

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from measurelake.llm import collocations as phrases
@@ -427,3 +431,73 @@ def test_words_that_share_a_hash_are_told_apart(spark, spoken, monkeypatch):
     docs = spark.createDataFrame([(1, t, lang, "s", 1, 2, 3, 4) for lang, t in spoken], SCHEMA)
     got = sorted(tuple(r) for r in phrases.collocations(docs, least=10, limit=30).collect())
     assert got == phrases_by_brute_force(spoken, 10, 30) and seeds == [0, 1]
+
+
+class Everything:
+    """Lets all phrases through."""
+
+    class value:
+        has = staticmethod(lambda hashes: np.ones(len(hashes), bool))
+
+
+def run_of_task(monkeypatch, make):
+    """What ``make`` has tasks do with their batches."""
+    held = []
+
+    def caught(df, run, schema):
+        held.append(run)
+        raise InterruptedError
+
+    monkeypatch.setattr(phrases, "run_arrow", caught)
+    with pytest.raises(InterruptedError):
+        make()
+    return held[0]
+
+
+def batches_of(rows, size):
+    for start in range(0, len(rows), size):
+        langs, texts = zip(*rows[start : start + size], strict=True)
+        yield pa.record_batch({"lang": pa.array(langs, pa.string()), "text": pa.array(texts, pa.string())})
+
+
+@pytest.mark.parametrize("bounds", [
+    {}, {"_TOKENS": 300, "_PLACES": 64}, {"_TOKENS": 300, "_SUMS": 200}, {"_TOKENS": 500, "_SUMS": 2000, "_WORDS": 40},
+    {"_ROWS": 3, "_SLICE": 50, "_OUT": 7}])
+def test_a_task_sums_phrases_whatever_its_bounds(spoken, monkeypatch, bounds):
+    for name, value in bounds.items():
+        monkeypatch.setattr(phrases, name, value, raising=False)
+    rows = [("und" if lang is None else lang, text) for lang, text in spoken]
+    wide = [("en", " ".join(f"u{(7 * i) % 3001}" for i in range(5000))), ("xx", "")]
+    for length in (1, 2, 3, 4):
+        want = Counter()
+        for lang, text in rows + wide:
+            for piece in re.split(rb"[.,;:!?\x0a-\x0d]", (text or "").encode().lower()):
+                words = re.findall(rb"[^\x20\x09]+", piece)
+                want.update((lang, *(xxhash.xxh64_intdigest(w, 3) for w in words[i : i + length]))
+                            for i in range(len(words) - length + 1))
+        ways = [[(Everything, 0, 1)]]
+        run = run_of_task(monkeypatch, lambda n=length, w=ways: phrases._count(None, n, w, 1, 3))
+        got, given = Counter(), 0
+        for batch in run(batches_of(rows + wide, 40)):
+            for row in batch.to_pylist():
+                given += 1
+                got[row["lang"], *(row[f"w{i + 1}"] % 2**64 for i in range(length))] += row["n"]
+        assert got == want
+        if not bounds:
+            assert given == len(want)
+
+
+def test_a_task_counts_in_little_memory_whatever_its_share(monkeypatch):
+    rng = np.random.default_rng(5)
+    names = np.array([f"w{i}" for i in range(3000)], object)
+    rows = [("en", " ".join(names[(rng.pareto(0.7, 1000) * 3).astype(np.int64) % 3000])) for _ in range(3000)]
+    run = run_of_task(monkeypatch, lambda: phrases._count(None, 2, [[(Everything, 0, 1), (Everything, 1, 1)]], 30, 0))
+    batches = list(batches_of(rows, 1000))
+    tracemalloc.start()
+    try:
+        total = sum(pc.sum(batch.column("n")).as_py() for batch in run(iter(batches)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert total == 3000 * 999
+    assert peak < 120e6, peak
