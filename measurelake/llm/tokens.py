@@ -2,8 +2,8 @@
 
 The tokenizer file ``word_bpe_49k.json`` drops white space and never joins
 characters across it, so a text's ids are the ids of its pieces between ASCII
-white space, in order.  Most pieces occur many times; each is encoded once per
-Python worker.
+white space, in order.  Arrow splits many texts at once and numbers their different
+pieces; each of these is looked up once a call, and encoded once per Python worker.
 """
 
 from __future__ import annotations
@@ -15,8 +15,11 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _CACHE_PIECES = 850_000  # pieces a Python worker keeps; beyond it starts over
+_TEXTS = 1024  # texts split at once
 
 def _byte_names() -> dict[int, str]:
     """The characters by which byte-level vocabularies write bytes: printable ones stand for
@@ -28,6 +31,7 @@ def _byte_names() -> dict[int, str]:
 
 _BYTE_NAMES = _byte_names()
 
+_MARKS = frozenset((b".", b","))
 _ASCII_PARTS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -47,6 +51,17 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
+def _split(texts: list[bytes | None]) -> tuple[list[int], pa.DictionaryArray]:
+    """Where the pieces of each text begin, and where the last ends; and all pieces.
+
+    A text with white space at an end, and one without pieces, has an empty piece there.
+    """
+    # Any bytes pass as a string here: the kernel looks for ASCII white space only.
+    whole = pa.array([t or b"" for t in texts], pa.large_binary()).view(pa.large_string())
+    parts = pc.ascii_split_whitespace(whole)
+    return parts.offsets.to_pylist(), parts.values.view(pa.large_binary()).dictionary_encode()
+
+
 class _Numbers(dict):
     """Numbers pieces as they are first asked for."""
 
@@ -83,14 +98,16 @@ class PieceEncoder:
 
     def encode_all(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
         """Ids of each text in turn."""
-        for first in range(0, len(texts), 512):
+        for first in range(0, len(texts), _TEXTS):
             if len(self._number) > _CACHE_PIECES:
                 self._start_over()
-            number = self._number.__getitem__
-            pieces = [t.split() if t else [] for t in texts[first : first + 512]]
-            places = [np.fromiter(map(number, p), np.int64, len(p)) for p in pieces]
+            starts, pieces = _split(texts[first : first + _TEXTS])
+            different = pieces.dictionary.to_numpy(zero_copy_only=False)  # objects, quicker than a list
+            numbers = np.fromiter(map(self._number.__getitem__, different), np.int64, len(different))
             self._learn()
-            yield from map(self._gather, places)
+            places = numbers[pieces.indices.to_numpy()]
+            for start, end in zip(starts[:-1], starts[1:], strict=True):
+                yield self._gather(places[start:end])
 
     def _gather(self, places: np.ndarray) -> np.ndarray:
         size = self._size[places]
@@ -102,7 +119,18 @@ class PieceEncoder:
 
     def _learn(self) -> None:
         new = self._number.new
-        found = [self._piece(p.decode("utf-8", "replace")) for p in new]
+        stems, found = self._stems, []
+        for piece in new:
+            # ASCII letters, with one full stop or comma at most, are most of all.
+            letters = piece[:-1] if piece[-1:] in _MARKS else piece
+            if not letters.isalpha():
+                found.append(self._piece(piece.decode("utf-8", "replace")))
+                continue
+            stem = letters.lower().decode()
+            ids = stems.get(stem)
+            if ids is None:
+                ids = stems[stem] = self._word(stem)
+            found.append(ids if letters is piece else ids + self._mark(piece[-1:].decode()))
         new.clear()
         size = np.fromiter(map(len, found), np.int64, len(found)) // 2
         begin = len(self._ids) + np.cumsum(size) - size
@@ -111,7 +139,12 @@ class PieceEncoder:
         self._begin = np.concatenate([self._begin, begin])
         self._size = np.concatenate([self._size, size])
 
+    def _word(self, word: str) -> bytes:
+        return array("H", [t.id for t in self._tokenizer.model.tokenize(word)]).tobytes()
+
     def _piece(self, piece: str) -> bytes:
+        if not piece:
+            return b""
         # Letters, with one full stop or comma at most, in Latin-1, where lower case and
         # normal form are character by character: one word of the model, and the mark.
         letters = piece[:-1] if piece[-1] in ".," else piece
@@ -125,7 +158,7 @@ class PieceEncoder:
         ids = self._stems.get(stem)
         if ids is None:
             word = stem if stem.isascii() else "".join(map(_BYTE_NAMES.__getitem__, stem.encode()))
-            ids = self._stems[stem] = array("H", [t.id for t in self._tokenizer.model.tokenize(word)]).tobytes()
+            ids = self._stems[stem] = self._word(word)
         return ids if letters is piece else ids + self._mark(piece[-1])
 
     def _mark(self, mark: str) -> bytes:

@@ -186,6 +186,24 @@ def test_tokens_equal_the_library():
         assert ids.tolist() == library_ids(text)
 
 
+class Counted(tokens._Numbers):
+    asked = 0
+
+    def __getitem__(self, piece):
+        self.asked += 1
+        return super().__getitem__(piece)
+
+
+def test_a_piece_is_looked_up_once_for_many_texts():
+    encoder = tokens.PieceEncoder(tokens.default_path())
+    encoder._number = Counted()
+    texts = [ODD_PIECES.encode(), b"one two, one\ttwo ", b"", None, b" two, three", b"a\x1cb \xff\xfe one", b"\n"]
+    got = list(encoder.encode_all(texts * 150))
+    assert [x.tolist() for x in got[:7]] == [library_ids((t or b"").decode("utf-8", "replace")) for t in texts]
+    assert all(np.array_equal(a, b) for a, b in zip(got, got[:7] * 150, strict=True))
+    assert encoder._number.asked < 60
+
+
 def test_wavelet_matrix_reads_by_position_and_id():
     rng = np.random.default_rng(1)
     ids = (rng.zipf(1.4, 300_000) % 700 + 3).astype(np.uint32)
