@@ -55,16 +55,17 @@ def candidate_groups(lists: DataFrame, payload: DataFrame, kind: Sketches, perce
     keys = [c for c in lists.columns if c.startswith("k")]
     counts = lists.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = settle(lists.join(counts, keys), "shared")
+    rows = shared.count()
 
     pairs = _sorted(shared, keys, lambda b: _list_pairs(b, keys, percent), "a long, b long, star boolean")
-    pairs = settle(pairs.groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
+    pairs = settle(pairs.groupBy("a", "b").agg(F.max("star").alias("star")), "pairs", SHORT * rows // 2)
     near = settle(_near_pairs(pairs, payload, kind), "near")
 
     long_ = shared.where(F.col("n") > SHORT)
-    labels = settle(components(near), "labels")
+    labels = settle(components(near), "labels", rows)
     named = settle(long_.join(labels, F.col("item") == F.col("node"), "left").select(
-        *keys, "item", F.coalesce("component", "item").alias("label")), "named")
-    rest = settle(_rest_edges(*_merged_lists(named, keys), payload, kind), "rest")
+        *keys, "item", F.coalesce("component", "item").alias("label")), "named", rows)
+    rest = settle(_rest_edges(*_merged_lists(named, keys, rows), rows, payload, kind), "rest")
     return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest))
 
 
@@ -140,7 +141,9 @@ def _near_pairs(pairs: DataFrame, payload: DataFrame, kind: Sketches) -> DataFra
     return map_arrow(both, judge, "a long, b long")
 
 
-def dealt(members: DataFrame, keys: list[str], blocks: Callable[[Column, Column], Column]) -> DataFrame:
+def dealt(
+    members: DataFrame, keys: list[str], blocks: Callable[[Column, Column], Column], rows: int | None = None
+) -> DataFrame:
     """Copies of the rows of each list for the pairs of blocks in which unlike labels meet.
 
     ``members`` has ``item``, ``label`` and ``weight``.  The rows of a list's most
@@ -158,15 +161,15 @@ def dealt(members: DataFrame, keys: list[str], blocks: Callable[[Column, Column]
         blocks(F.col("_all_n") - F.col("_main._n"), F.col("_all_w") - F.col("_main._w")).alias("_rest_blocks"),
         blocks(F.col("_main._n"), F.col("_main._w")).alias("_main_blocks"),
     )
-    lists = settle(lists, "lists")
+    lists = settle(lists, "lists", rows)
     same = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"_{k}") for k in keys])
-    rows = members.join(lists, same).drop(*[f"_{k}" for k in keys])
+    out = members.join(lists, same).drop(*[f"_{k}" for k in keys])
     main, hashed = F.col("label") == F.col("_main"), F.xxhash64("item")
     own = F.when(main, F.col("_rest_blocks") + F.pmod(hashed, "_main_blocks")).otherwise(F.pmod(hashed, "_rest_blocks"))
     last = F.when(main, F.col("_rest_blocks")).otherwise(F.col("_rest_blocks") + F.col("_main_blocks")) - 1
-    rows = rows.withColumn("block_own", own).withColumn(
+    out = out.withColumn("block_own", own).withColumn(
         "_other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    return rows.withColumns({
+    return out.withColumns({
         "block_a": F.least("block_own", "_other"), "block_b": F.greatest("block_own", "_other"),
     }).drop("_other", "_main", "_rest_blocks", "_main_blocks")
 
@@ -179,7 +182,7 @@ def _work(n: Column, main: Column) -> Column:
     return (F.lit(ROW) * rows + rest * n).cast("double")
 
 
-def _merged_lists(named: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+def _merged_lists(named: DataFrame, keys: list[str], rows: int) -> tuple[DataFrame, list[str]]:
     """(rows of lists with unlike labels, their keys), lists of one main label made one where that costs less.
 
     The items of a group of near copies stand in many lists together.  An item of another label
@@ -192,31 +195,31 @@ def _merged_lists(named: DataFrame, keys: list[str]) -> tuple[DataFrame, list[st
     ).where("_labels > 1").select(
         *[F.col(k).alias(f"_{k}") for k in keys], F.col("_main.label").alias("of"),
         _work(F.col("_all"), F.col("_main._n")).alias("_work"))
-    mixed = settle(mixed, "mixed")
+    mixed = settle(mixed, "mixed", rows)
     same = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"_{k}") for k in keys])
-    rows = settle(named.join(mixed, same).select(*keys, "item", "label", "of"), "rows")
+    listed = settle(named.join(mixed, same).select(*keys, "item", "label", "of"), "rows", rows)
     apart = mixed.groupBy(F.col("of").alias("_of")).agg(F.sum("_work").alias("_apart"))
-    whole = rows.select("of", "item", "label").distinct().groupBy("of").agg(
+    whole = listed.select("of", "item", "label").distinct().groupBy("of").agg(
         F.count(F.lit(1)).alias("_all"), F.count_if(F.col("label") == F.col("of")).alias("_n"))
     merged = settle(
         whole.join(apart, F.col("of") == F.col("_of")).where(_work(F.col("_all"), F.col("_n")) < F.col("_apart"))
-        .select("_of"), "merged")
-    told = rows.join(merged, F.col("of") == F.col("_of"), "left")
+        .select("_of"), "merged", rows)
+    told = listed.join(merged, F.col("of") == F.col("_of"), "left")
     one = F.col("_of").isNotNull()
     told = told.select(
         *[F.when(~one, F.col(k)).otherwise(F.lit(0)).cast("long").alias(k) for k in keys],
         F.when(one, F.col("of")).otherwise(F.lit(0)).cast("long").alias("of"), one.cast("long").alias("one"),
         "item", "label")
-    return settle(told.distinct(), "members"), [*keys, "of", "one"]
+    return settle(told.distinct(), "members", rows), [*keys, "of", "one"]
 
 
-def _rest_edges(named: DataFrame, keys: list[str], payload: DataFrame, kind: Sketches) -> DataFrame:
+def _rest_edges(named: DataFrame, keys: list[str], rows: int, payload: DataFrame, kind: Sketches) -> DataFrame:
     """Edges between items of unlike labels that are strictly near, enough to connect them."""
-    deal = dealt(named.withColumn("weight", F.lit(0)), keys, lambda n, w: F.ceil(n / F.lit(BLOCK)).cast("long"))
-    rows = deal.join(payload.select(F.col("item").alias("_item"), "size", "data"), F.col("item") == F.col("_item"))
+    deal = dealt(named.withColumn("weight", F.lit(0)), keys, lambda n, w: F.ceil(n / F.lit(BLOCK)).cast("long"), rows)
+    dealt_rows = deal.join(payload.select(F.col("item").alias("_item"), "size", "data"), F.col("item") == F.col("_item"))
     by = [*keys, "block_a", "block_b"]
     return map_groups(
-        rows.select(*by, "block_own", "item", "label", "size", "data"), by,
+        dealt_rows.select(*by, "block_own", "item", "label", "size", "data"), by,
         lambda table, starts: _rest_of(table, starts, kind), "a long, b long", ["size"],
     ).distinct()
 
@@ -277,7 +280,7 @@ def exact_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.col("component").alias("group"), "item", "size", "data")
     held = settle(held, "held")
     sizes = settle(held.groupBy("group").agg(
-        F.count(F.lit(1)).alias("n"), (F.sum("size") * 8).alias("bytes")).where("n > 1"), "sizes")
+        F.count(F.lit(1)).alias("n"), (F.sum("size") * 8).alias("bytes")).where("n > 1"), "sizes", held.count())
     small = (F.col("n") <= WHOLE) & (F.col("bytes") <= WHOLE_BYTES)
 
     def of(chosen: Column) -> DataFrame:

@@ -134,7 +134,7 @@ def group_sets(groups: DataFrame, base: DataFrame, shingles) -> DataFrame:
     ``base`` is (doc_id, text).  Tasks are sent a bitmap of the ids, so that texts are
     read where they are and only sets are passed on; a few others may be among them.
     """
-    ids = settle(groups.select("node").distinct(), "nodes")
+    ids = settle(groups.select("node").distinct(), "nodes", groups.count())
     marks = broadcast_marks(ids, lambda rows: _id_hash(rows.column("node").to_numpy()), rows_of(ids))
 
     def fetch(rows: pa.Table) -> pa.Table:

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -501,3 +502,22 @@ def test_a_task_counts_in_little_memory_whatever_its_share(monkeypatch):
         tracemalloc.stop()
     assert total == 3000 * 999
     assert peak < 120e6, peak
+
+
+def test_components_of_few_edges_are_written_by_few_tasks(spark):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100 + i, 100) for i in range(40)] + [(7, None), (8, 8)]
+    held = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    seen = set(shared.glob("least-*"))
+    before = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert got == {i: 0 for i in range(61)} | {100 + i: 100 for i in range(40)}
+    cores = spark.sparkContext.defaultParallelism
+    rounds = set(shared.glob("least-*")) - seen
+    assert rounds and all(len(list(r.glob("part-*"))) <= cores for r in rounds)
